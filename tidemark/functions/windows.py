@@ -1,4 +1,4 @@
-"""Window specifications and full-frame rolling helpers.
+"""Window specifications.
 
 Every window here is partitioned by ``symbol`` or ``(symbol, month)``. The key
 ``(symbol, date)`` is unique (the ``quality`` module checks it, the composite operators
@@ -10,7 +10,7 @@ and date.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol")
@@ -41,23 +41,21 @@ def trailing(rows: int) -> WindowSpec:
     return by_date().rowsBetween(-rows, -1)
 
 
-def full(value: Column, aggregate: Column, rows: int) -> Column:
-    """``aggregate`` over the trailing frame, NULL unless the frame holds ``rows`` values."""
-    frame = trailing(rows)
-    return F.when(F.count(value).over(frame) == rows, aggregate.over(frame))
+def known_by(rows_ago: int) -> WindowSpec:
+    """All rows up to the one ``rows_ago`` rows back; with ``last`` it pads gaps."""
+    return by_date().rowsBetween(Window.unboundedPreceding, -rows_ago)
 
 
-def trailing_zscore(value: Column, rows: int) -> Column:
-    """z-score of yesterday's value in its trailing frame (population deviation)."""
-    mean = full(value, F.avg(value), rows)
-    spread = full(value, F.stddev_pop(value), rows)
-    return F.try_divide(F.lag(value).over(by_date()) - mean, spread)
-
+def running_product(value: Column | str) -> Column:
+    return F.product(value).over(so_far())
 
-def padded(value: Column) -> Column:
-    """The last known value at or before the current row."""
-    return F.last(value, ignorenulls=True).over(so_far())
 
+def spread_by_symbol(df: DataFrame) -> DataFrame:
+    """Hash rows by symbol into as many tasks as shuffles are set to.
 
-def running_product(value: Column) -> Column:
-    return F.product(value).over(so_far())
+    The windows that follow need this exchange anyway. Stated here it keeps its task
+    number: they are bound by computation, and adaptive execution, which sizes tasks by
+    bytes, would run them in far too few.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, "symbol")

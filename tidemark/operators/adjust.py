@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.functions.scalars import guard, ratio
-from tidemark.functions.windows import by_symbol, by_date, running_product
+from tidemark.functions.windows import by_date, by_symbol, running_product, spread_by_symbol
 from tidemark.operators.quality import KEY, ohlc_ordered
 
 OHLC = ("open", "high", "low", "close")
@@ -48,46 +48,51 @@ def attach_events(prices: DataFrame, dividends: DataFrame, splits: DataFrame) ->
 
 def split_adjusted(df: DataFrame) -> DataFrame:
     """Prices in today's units: divided by the product of all later splits."""
-    later = F.product("split_ratio").over(by_symbol()) / running_product(F.col("split_ratio"))
-    return (
-        df.withColumn("_later", later)
-        .withColumns({f"split_adjusted_{name}": F.col(name) / F.col("_later") for name in OHLC})
-        .drop("_later")
-    )
+    return _in_units(df.withColumns({
+        "_all": F.product("split_ratio").over(by_symbol()), "_until": running_product("split_ratio")}))
+
+
+def _in_units(df: DataFrame) -> DataFrame:
+    later = F.col("_all") / F.col("_until")
+    return df.withColumns({f"split_adjusted_{name}": F.col(name) / later for name in OHLC}).drop("_all", "_until")
 
 
 def adjust(df: DataFrame) -> DataFrame:
     """Total-return index and adjusted prices from prices with their events attached.
 
-    Needs one exchange by symbol. Duplicate dates, disordered or non-positive prices and
-    unusable returns fail the job where they occur.
+    Three passes over one sorted partition: previous row, running products, last row.
+    Duplicate dates, disordered or non-positive prices and unusable returns fail the job
+    where they occur.
     """
-    previous = F.lag("close").over(by_date())
-    fresh = F.lag("date").over(by_date()).isNull() | (F.lag("date").over(by_date()) < F.col("date"))
+    before = df.withColumns({
+        "_close": F.lag("close").over(by_date()), "_date": F.lag("date").over(by_date())})
     gross = F.coalesce(
-        ratio((F.col("close") + F.col("cash_dividend")) * F.col("split_ratio"), previous), F.lit(1.0)
+        ratio((F.col("close") + F.col("cash_dividend")) * F.col("split_ratio"), F.col("_close")), F.lit(1.0)
     )
-    sane = fresh & (F.least(*OHLC) > 0) & ohlc_ordered()
-    indexed = (
-        df.withColumn("gross_return", guard(sane, gross, "duplicate date or invalid prices"))
-        .withColumn("gross_return", guard(
-            (F.col("gross_return") > 0) & (F.col("gross_return") < float("inf")),
-            F.col("gross_return"), "invalid total return"))
-        .withColumn("total_return_index", F.lit(100.0) * running_product(F.col("gross_return")))
-    )
-    last_close = F.max_by("close", "date").over(by_symbol())
-    last_index = F.max_by("total_return_index", "date").over(by_symbol())
-    adjusted = indexed.withColumn(
-        "adjusted_close", last_close * F.col("total_return_index") / last_index
+    sane = (F.col("_date").isNull() | (F.col("_date") < F.col("date"))) & (F.least(*OHLC) > 0) & ohlc_ordered()
+    usable = (gross > 0) & (gross < float("inf"))
+    running = before.withColumn(
+        "gross_return", guard(sane & usable, gross, "duplicate date, invalid prices or invalid total return")
+    ).drop("_close", "_date").withColumns({
+        "total_return_index": F.lit(100.0) * running_product("gross_return"),
+        "_until": running_product("split_ratio"),
+    })
+    last = running.withColumns({
+        "_last_close": F.max_by("close", "date").over(by_symbol()),
+        "_last_index": F.max_by("total_return_index", "date").over(by_symbol()),
+        "_all": F.product("split_ratio").over(by_symbol()),
+    })
+    adjusted = last.withColumn(
+        "adjusted_close", F.col("_last_close") * F.col("total_return_index") / F.col("_last_index")
     ).withColumn("adjustment_factor", F.col("adjusted_close") / F.col("close"))
     adjusted = adjusted.withColumns({
         f"adjusted_{name}": F.col(name) * F.col("adjustment_factor") for name in ("open", "high", "low")
     })
-    return split_adjusted(adjusted)
+    return _in_units(adjusted).drop("_last_close", "_last_index")
 
 
 def build_adjusted_prices(prices: DataFrame, dividends: DataFrame, splits: DataFrame) -> DataFrame:
-    return adjust(attach_events(prices, dividends, splits))
+    return adjust(spread_by_symbol(attach_events(prices, dividends, splits)))
 
 
 def trailing_yield(df: DataFrame, cash: str, split: str) -> DataFrame:
@@ -123,7 +128,7 @@ def distribution_yield(daily: DataFrame, dividends: DataFrame, splits: DataFrame
                           F.col("split_ratio").alias("_split_in"), F.lit(False).alias("_trading")),
             allowMissingColumns=True)
     )
-    return trailing_yield(rows, "_cash_in", "_split_in").where("_trading").drop(
+    return trailing_yield(spread_by_symbol(rows), "_cash_in", "_split_in").where("_trading").drop(
         "_cash_in", "_split_in", "_trading"
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.functions.windows import spread_by_symbol
 from tidemark.operators import adjust as A
 from tidemark.operators.quality import KEY, cross_source_report, not_one_to_one, require
 
@@ -54,7 +55,7 @@ def check_daily(daily: DataFrame, *sides: DataFrame) -> None:
 
 def assemble_us_daily(prices: DataFrame) -> DataFrame:
     """Daily table of a market that has only vendor prices: placeholders elsewhere."""
-    with_actions = A.infer_us_actions(A.vendor_adjusted(prices))
+    with_actions = A.infer_us_actions(A.vendor_adjusted(spread_by_symbol(prices)))
     table = A.trailing_yield(A.split_adjusted(with_actions), "cash_dividend", "split_ratio")
     return table.withColumns({
         "trading_value": F.col("volume") * F.col("close"),

@@ -20,14 +20,15 @@ def add_monthly_labels(
     ``first_month`` cut comes last because the prior close crosses month borders.
     """
     check_near_threshold(near_threshold)
-    previous_date = F.lag("date").over(by_date())
     sane = (F.least("open", "adjusted_open", "adjusted_close") > 0) & (
         F.greatest("open", "adjusted_open", "adjusted_close") < float("inf")
-    ) & (previous_date.isNull() | (previous_date < F.col("date")))
+    ) & (F.col("_before").isNull() | (F.col("_before") < F.col("date")))
     df = through_last_complete_month(daily, complete_through).withColumns({
         "previous_adjusted_close": F.lag("adjusted_close").over(by_date()),
-        "_open": guard(sane, F.col("adjusted_open"), "duplicate date or price not positive"),
-    })
+        "_before": F.lag("date").over(by_date()),
+    }).withColumn(
+        "_open", guard(sane, F.col("adjusted_open"), "duplicate date or price not positive")
+    ).drop("_before")
     df = df.withColumns({
         "trading_day": F.row_number().over(in_month()),
         "remaining_min_adjusted_open": F.min("_open").over(rest_of_month()),

@@ -103,47 +103,57 @@ def weighted_quantile(values: np.ndarray, weight: np.ndarray, level: float) -> f
 
 
 def best_split(
-    columns: np.ndarray, order: np.ndarray, slope: np.ndarray, weight: np.ndarray, leaf: int
+    columns: np.ndarray, order: np.ndarray, pull: np.ndarray, weight: np.ndarray, leaf: int
 ) -> tuple[int, float] | None:
     """(feature, threshold) of the largest between-side gain, or None.
 
-    ``columns`` is features by rows; ``order`` holds the node's rows sorted per feature.
+    ``columns`` is features by rows, ``order`` the node's rows sorted per feature, ``pull``
+    the weighted slopes. Cuts between equal values do not count; few are best by chance,
+    so only the leading candidates are looked at before all cuts are masked.
     """
     rows = order.shape[1]
-    node = slope[order[0]]
-    if rows < 2 * leaf or np.ptp(node) == 0.0:
+    if rows < 2 * leaf:
         return None
-    values = np.take_along_axis(columns, order, axis=1)
-    w = weight[order]
-    left_w = np.cumsum(w, axis=1)
-    left_s = np.cumsum(w * slope[order], axis=1)
-    cut = slice(leaf - 1, rows - leaf)
-    wl, sl = left_w[:, cut], left_s[:, cut]
-    wr, sr = left_w[:, -1:] - wl, left_s[:, -1:] - sl
-    apart = values[:, leaf:rows - leaf + 1] - values[:, cut] > SAME_VALUE
-    gain = np.where(apart, (wr * sl - wl * sr) ** 2 / (wl * wr), -1.0)
-    feature, at = np.unravel_index(np.argmax(gain), gain.shape)
-    if gain[feature, at] < 0.0:
-        return None
-    low, high = values[feature, at + leaf - 1], values[feature, at + leaf]
+    w, s = np.cumsum(weight.take(order), axis=1), np.cumsum(pull.take(order), axis=1)
+    wl, sl = w[:, leaf - 1:rows - leaf], s[:, leaf - 1:rows - leaf]
+    gain = sl * w[:, -1:]
+    gain -= wl * s[:, -1:]
+    gain *= gain
+    gain /= wl * (w[:, -1:] - wl)
+    tries = 8
+    while True:
+        feature, at = divmod(int(gain.argmax()), gain.shape[1])
+        if gain[feature, at] < 0.0:
+            return None
+        low, high = columns[feature, order[feature, at + leaf - 1:at + leaf + 1]]
+        if high - low > SAME_VALUE:
+            break
+        gain[feature, at] = -1.0
+        tries -= 1
+        if tries == 0:
+            values = np.take_along_axis(columns, order[:, leaf - 1:rows - leaf + 1], axis=1)
+            gain[np.diff(values, axis=1) <= SAME_VALUE] = -1.0
     middle = low / 2.0 + high / 2.0
-    return int(feature), float(middle if middle < high else low)
+    return feature, float(middle if middle < high else low)
 
 
-def grow(columns: np.ndarray, order: np.ndarray, slope: np.ndarray, weight: np.ndarray, config: ModelConfig):
+def grow(columns: np.ndarray, order: np.ndarray, slope: np.ndarray, weight: np.ndarray, config: ModelConfig) -> list:
     """List of (rows, path) leaves of one tree; a path is a list of (feature, threshold, left)."""
+    pull = slope * weight
     leaves, open_nodes = [], [(order, [])]
     while open_nodes:
         node, path = open_nodes.pop()
         split = None
-        if len(path) < config.max_depth:
-            split = best_split(columns, node, slope, weight, config.min_leaf)
+        if len(path) < config.max_depth and np.ptp(slope[node[0]]) > 0.0:
+            split = best_split(columns, node, pull, weight, config.min_leaf)
         if split is None:
             leaves.append((node[0], path))
             continue
         feature, threshold = split
         goes_left = columns[feature] <= threshold
-        inside = goes_left[node]
+        if len(path) + 1 == config.max_depth:
+            node = node[:1]  # leaves need their rows only, not their sort orders
+        inside = goes_left.take(node)
         for left in (True, False):
             child = node[inside if left else ~inside].reshape(len(node), -1)
             open_nodes.append((child, [*path, (feature, threshold, left)]))

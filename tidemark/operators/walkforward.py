@@ -74,7 +74,12 @@ def folds_to_score(wanted: DataFrame, stored: DataFrame | None) -> DataFrame:
 
 
 def _cogroup(labelled: DataFrame, folds: DataFrame, columns: Sequence[str], buckets: int):
-    """Rows and folds grouped by (symbol, bucket); only buckets with folds receive rows."""
+    """Rows and folds grouped by (symbol, bucket); only buckets with folds receive rows.
+
+    Training is bound by computation, so the number of tasks is set from the cluster's
+    cores; sized by bytes, adaptive execution would merge these small groups.
+    """
+    tasks = 3 * labelled.sparkSession.sparkContext.defaultParallelism
     ordinal = F.substring("test_month", 1, 4).cast("int") * 12 + F.substring("test_month", 6, 2).cast("int")
     dealt = folds.withColumn("bucket", F.pmod(ordinal, F.lit(buckets)))
     needed = dealt.groupBy("symbol", "bucket").agg(F.max("test_month").alias("_last"))
@@ -82,7 +87,10 @@ def _cogroup(labelled: DataFrame, folds: DataFrame, columns: Sequence[str], buck
         labelled.select("symbol", "date", "month", *columns)
         .join(needed, "symbol").where(F.col("month") <= F.col("_last")).drop("_last")
     )
-    return rows.groupBy("symbol", "bucket").cogroup(dealt.groupBy("symbol", "bucket"))
+    # Fresh column identities: both sides descend from the labelled table.
+    asked = dealt.select(*[F.col(name).alias(name) for name in dealt.columns])
+    sides = [df.repartition(tasks, "symbol", "bucket").groupBy("symbol", "bucket") for df in (rows, asked)]
+    return sides[0].cogroup(sides[1])
 
 
 def _split(rows: pd.DataFrame, folds: pd.DataFrame) -> Iterator[tuple[pd.Series, pd.DataFrame, pd.DataFrame]]:

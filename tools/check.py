@@ -31,7 +31,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
     def plain(value):
-        if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
             return None
         if hasattr(value, "isoformat"):
             return value.isoformat()[:10]
