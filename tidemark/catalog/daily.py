@@ -84,8 +84,9 @@ FLOWS = "institutional_net, foreign_net, trust_net, dealer_net"
 SELECT symbol, date, {rounded("nav", 9)}, close, margin_balance, short_balance, {FLOWS}, official_close,
        close_difference, institutional_available FROM daily""")
 def _(s):
+    m = s.landed
     joined = assemble.join_sources(
-        s.prices, s.dividends, s.splits, s.nav, s.margin, s.institutions, s.official)
+        m.prices, m.dividends, m.splits, m.nav, m.margin, s.institutions, m.official)
     return columns(joined, "symbol, date, nav", f"close, margin_balance, short_balance, {FLOWS}, "
                    "official_close, close_difference, institutional_available", 9)
 
@@ -100,9 +101,10 @@ SELECT symbol, date, i.institutional_net IS NOT NULL AS institutional_available,
        coalesce(i.institutional_net, 0e0) AS institutional_net
 FROM prices LEFT JOIN (SELECT * FROM institutions WHERE institutional_net > 0) i USING (symbol, date)""")
 def _(s):
+    m = s.landed
     joined = assemble.join_sources(
-        s.prices, s.dividends, s.splits, s.nav, s.margin,
-        s.institutions.where("institutional_net > 0"), s.official)
+        m.prices, m.dividends, m.splits, m.nav, m.margin,
+        s.institutions.where("institutional_net > 0"), m.official)
     return joined.select(*KEY, "institutional_available", "institutional_net")
 
 
@@ -145,8 +147,8 @@ def _(s):
 
 @case("join_09_dividends_and_later_splits", f"SELECT symbol, date, {rounded('distribution_yield_ttm', 8)} FROM yields")
 def _(s):
-    daily = s.prices.select(*KEY, "close")
-    return tidy(A.distribution_yield(daily, s.dividends, s.splits).drop("close"), digits=8)
+    closes = s.prices.select(*KEY, "close")
+    return tidy(A.distribution_yield(closes, s.dividends, s.splits).drop("close"), digits=8)
 
 
 @case("join_10_expanding_train_sets", """
@@ -264,9 +266,10 @@ def _(s):
 @case("adj_12_close_difference", """
 SELECT symbol, date, close - (close + (CASE WHEN day(date) = 9 THEN 0.02e0 ELSE 0e0 END)) AS close_difference FROM prices""")
 def _(s):
-    moved = s.official.withColumn(
+    m = s.landed
+    moved = m.official.withColumn(
         "official_close", F.col("official_close") + F.when(F.dayofmonth("date") == 9, 0.02).otherwise(0.0))
-    joined = assemble.join_sources(s.prices, s.dividends, s.splits, s.nav, s.margin, s.institutions, moved)
+    joined = assemble.join_sources(m.prices, m.dividends, m.splits, m.nav, m.margin, s.institutions, moved)
     return joined.select(*KEY, "close_difference")
 
 

@@ -27,9 +27,9 @@ class Stages(Market):
 
     @cached_property
     def daily(self) -> DataFrame:
+        m = self.landed
         return assemble.assemble_daily(
-            self.prices, self.dividends, self.splits, self.nav, self.margin, self.institutions,
-            self.official)
+            m.prices, m.dividends, m.splits, m.nav, m.margin, self.institutions, m.official)
 
     @cached_property
     def us_daily(self) -> DataFrame:

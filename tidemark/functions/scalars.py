@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -26,6 +27,12 @@ def guard(ok: Column, value: Column, message: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)))
 
 
+def positive(*names: str) -> Column:
+    """All named columns are finite and above zero; NULL when one is NULL, so guards fail."""
+    tests = [(F.col(name) > 0) & (F.col(name) < F.lit(math.inf)) for name in names]
+    return reduce(Column.__and__, tests)
+
+
 def month_of(date: Column | str) -> Column:
     return F.date_format(date, "yyyy-MM")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from tidemark.functions.scalars import guard, ratio
+from tidemark.functions.scalars import guard, positive, ratio
 from tidemark.functions.windows import by_date, by_symbol, running_product, spread_by_symbol
 from tidemark.operators.quality import KEY, ohlc_ordered
 
@@ -69,7 +69,7 @@ def adjust(df: DataFrame) -> DataFrame:
     gross = F.coalesce(
         ratio((F.col("close") + F.col("cash_dividend")) * F.col("split_ratio"), F.col("_close")), F.lit(1.0)
     )
-    sane = (F.col("_date").isNull() | (F.col("_date") < F.col("date"))) & (F.least(*OHLC) > 0) & ohlc_ordered()
+    sane = (F.col("_date").isNull() | (F.col("_date") < F.col("date"))) & positive(*OHLC) & ohlc_ordered()
     usable = (gross > 0) & (gross < float("inf"))
     running = before.withColumn(
         "gross_return", guard(sane & usable, gross, "duplicate date, invalid prices or invalid total return")
@@ -175,7 +175,7 @@ def infer_us_actions(df: DataFrame) -> DataFrame:
 def vendor_adjusted(prices: DataFrame) -> DataFrame:
     """Adjusted prices and index straight from the vendor's adjusted close."""
     factor = F.col("adj_close") / F.col("close")
-    sane = (F.least(*OHLC, "adj_close") > 0) & (F.col("volume") >= 0) & ohlc_ordered()
+    sane = positive(*OHLC, "adj_close") & (F.col("volume") >= 0) & ohlc_ordered()
     return prices.withColumn(
         "adjustment_factor", guard(sane, factor, "invalid prices or volume")
     ).withColumns({

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.config import NEAR_THRESHOLD, check_near_threshold
-from tidemark.functions.scalars import guard, ratio
+from tidemark.functions.scalars import guard, positive, ratio
 from tidemark.functions.windows import by_month, by_date, in_month, rest_of_month
 from tidemark.operators.filters import from_month, through_last_complete_month
 
@@ -20,9 +20,8 @@ def add_monthly_labels(
     ``first_month`` cut comes last because the prior close crosses month borders.
     """
     check_near_threshold(near_threshold)
-    sane = (F.least("open", "adjusted_open", "adjusted_close") > 0) & (
-        F.greatest("open", "adjusted_open", "adjusted_close") < float("inf")
-    ) & (F.col("_before").isNull() | (F.col("_before") < F.col("date")))
+    sane = positive("open", "adjusted_open", "adjusted_close") & (
+        F.col("_before").isNull() | (F.col("_before") < F.col("date")))
     df = through_last_complete_month(daily, complete_through).withColumns({
         "previous_adjusted_close": F.lag("adjusted_close").over(by_date()),
         "_before": F.lag("date").over(by_date()),

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.config import INSTITUTION_NAMES
-from tidemark.functions.scalars import guard, number, plain_number, roc_date
+from tidemark.functions.scalars import guard, number, plain_number, positive, roc_date
 from tidemark.operators.quality import KEY, duplicate_keys, ohlc_ordered, require
 
 # ---------------------------------------------------------------- fixed values
@@ -134,7 +134,7 @@ def parse_us_prices(rows: DataFrame) -> DataFrame:
 def parse_us_ohlc(rows: DataFrame) -> DataFrame:
     """Vendor bars; prices must be positive and ordered, volume not negative."""
     bars = rows.select("symbol", _date(), *_numeric(US_FIELDS, "US prices"))
-    sane = (F.least("open", "high", "low", "close", "adj_close") > 0) & (F.col("volume") >= 0) & ohlc_ordered()
+    sane = positive("open", "high", "low", "close", "adj_close") & (F.col("volume") >= 0) & ohlc_ordered()
     return bars.withColumn("adj_close", guard(sane, F.col("adj_close"), "US prices: invalid bar"))
 
 

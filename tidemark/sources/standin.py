@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.functions.scalars import month_of
 from tidemark.functions.windows import so_far
 from tidemark.operators.quality import KEY
+from tidemark.session import written
 
 SPLIT_DATES = {"1998-06-01": 2.0, "2000-03-01": 4.0}
 FIRST_MONTH = "1995-02"
@@ -61,30 +62,47 @@ class Market:
         )
 
     @cached_property
-    def prices(self) -> DataFrame:
-        bars = self.ticks.groupBy(*KEY).agg(
+    def days(self) -> DataFrame:
+        """Everything the line items say about one symbol and date, in one aggregation."""
+        on_margin = F.col("l_discount") >= 0.05
+        return self.ticks.groupBy(*KEY).agg(
             F.min_by("price", "seq").alias("open"), F.max("price").alias("high"),
             F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
             F.sum("quantity").alias("volume"),
             F.sum(F.col("quantity") * F.col("price")).alias("trading_value"),
             F.count(F.lit(1)).cast("double").alias("transactions"),
+            (F.lit(10.0) * F.avg("l_tax") / F.max("units")).alias("cash"),
+            F.sum(F.when(on_margin, F.col("quantity"))).alias("margin_balance"),
+            (F.count_if(F.col("l_discount") < 0.02) * F.max("units")).alias("short_balance"),
         )
-        return bars.select(
+
+    @cached_property
+    def landed(self) -> "Market":
+        """The same market with its day facts written once.
+
+        For jobs that read several source tables: they share one scan of the ticks, and
+        the planner knows the real size of what it joins.
+        """
+        copy = type(self)(self.spark, self.folder, self.symbols)
+        copy.__dict__["days"] = written(self.days, "days")
+        return copy
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return self.days.select(
             *KEY, "open", "high", "low", "close", "volume", "trading_value",
             (F.col("close") - F.col("open")).alias("price_change"), "transactions")
 
     @cached_property
     def dividends(self) -> DataFrame:
-        quarter_end = F.month("date").isin(3, 6, 9, 12)
-        days = self.ticks.where(quarter_end).groupBy(*KEY).agg(
-            (F.lit(10.0) * F.avg("l_tax") / F.max("units")).alias("cash"))
-        firsts = days.groupBy("symbol", month_of("date").alias("month")).agg(
+        quarter_end = self.days.where(F.month("date").isin(3, 6, 9, 12))
+        firsts = quarter_end.groupBy("symbol", month_of("date").alias("month")).agg(
             F.min("date").alias("date"), F.min_by("cash", "date").alias("cash_dividend"))
         return firsts.where("cash_dividend > 0").select(*KEY, "cash_dividend")
 
     @cached_property
     def splits(self) -> DataFrame:
-        firsts = self.ticks.groupBy("symbol").agg(*[
+        firsts = self.days.groupBy("symbol").agg(*[
             F.min(F.when(F.col("date") >= _day(start), F.col("date"))).alias(start) for start in SPLIT_DATES])
         pairs = F.array(*[
             F.struct(F.col(f"`{start}`").alias("date"), F.lit(ratio).alias("split_ratio"))
@@ -100,11 +118,7 @@ class Market:
 
     @cached_property
     def margin(self) -> DataFrame:
-        on_margin = F.col("l_discount") >= 0.05
-        return self.ticks.groupBy(*KEY).agg(
-            F.sum(F.when(on_margin, F.col("quantity"))).alias("margin_balance"),
-            (F.count_if(F.col("l_discount") < 0.02) * F.max("units")).alias("short_balance"),
-        ).where("margin_balance IS NOT NULL")
+        return self.days.where("margin_balance IS NOT NULL").select(*KEY, "margin_balance", "short_balance")
 
     @cached_property
     def institutions_raw(self) -> DataFrame:
