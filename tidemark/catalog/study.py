@@ -238,8 +238,8 @@ def _(s):
 @case("ml_08_model_scores")
 def _(s):
     predictions = written(_walk(s, *FEATURE_SETS), "predictions")
-    _, metrics = research.model_scores(predictions, s.terminal)
-    return tidy(metrics)
+    models = research.model_purchases(research.policy_purchases(predictions))
+    return tidy(research.model_metrics(models, predictions, s.terminal))
 
 
 @case("ml_09_fingerprints")

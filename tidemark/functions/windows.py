@@ -50,12 +50,16 @@ def running_product(value: Column | str) -> Column:
     return F.product(value).over(so_far())
 
 
-def spread_by_symbol(df: DataFrame) -> DataFrame:
-    """Hash rows by symbol into as many tasks as shuffles are set to.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by ``keys`` into as many tasks as shuffles are set to.
 
-    The windows that follow need this exchange anyway. Stated here it keeps its task
-    number: they are bound by computation, and adaptive execution, which sizes tasks by
-    bytes, would run them in far too few.
+    The windows or groups that follow need this exchange anyway. Stated here it keeps its
+    task number: they are bound by computation, and adaptive execution, which sizes tasks
+    by bytes, would run them in far too few.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, "symbol")
+    return df.repartition(tasks, *keys)
+
+
+def spread_by_symbol(df: DataFrame) -> DataFrame:
+    return spread(df, "symbol")

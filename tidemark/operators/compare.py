@@ -14,6 +14,7 @@ from tidemark.config import (
     BOOTSTRAP_SEED, BOOTSTRAP_SIMULATIONS, FIXED_DAYS, HOLDOUT_BLOCK, OOS_BLOCK,
 )
 from tidemark.functions.scalars import rate
+from tidemark.functions.windows import spread
 from tidemark.operators import metrics as M
 from tidemark.operators.selection import fixed_day, select_by_rules
 
@@ -86,7 +87,7 @@ def hashed_interval(
     adds ceil(n / block) numbers instead of n. Simulations are exploded and spread over
     the cluster; series (a few hundred doubles) travel with them.
     """
-    series = paired.groupBy(*key).agg(monthly_series().alias("s")).where(F.size("s") >= 2)
+    series = spread(paired, *key).groupBy(*key).agg(monthly_series().alias("s")).where(F.size("s") >= 2)
     shaped = series.select(
         *key, F.size("s").alias("n"),
         F.least(F.lit(block), F.size("s")).alias("block"),
@@ -113,7 +114,8 @@ def paired_improvement(
     simulations: int = BOOTSTRAP_SIMULATIONS, with_interval: bool = True,
 ) -> DataFrame:
     """Mean improvement in basis points per strategy, with its interval."""
-    paired = pair_months(candidate, baseline).groupBy(*PAIR_KEY).agg(
+    months = pair_months(candidate, baseline)
+    paired = (spread(months, *PAIR_KEY) if with_interval else months).groupBy(*PAIR_KEY).agg(
         F.count(F.lit(1)).alias("months"),
         (F.avg("improvement") * 10_000.0).alias("improvement_bps"),
         *([monthly_series().alias("_series")] if with_interval else []),
@@ -142,7 +144,7 @@ def compare_to_day1(
     series = [
         monthly_series(paired).alias("_oos"), monthly_series(paired & held).alias("_holdout"),
     ] if with_interval else []
-    grouped = rows.groupBy(*PAIR_KEY).agg(
+    grouped = (spread(rows, *PAIR_KEY) if with_interval else rows).groupBy(*PAIR_KEY).agg(
         *M.metric_columns(), M.invested_units().alias("_units"),
         (F.avg("improvement") * 10_000.0).alias("improvement_bps"),
         F.avg(F.when(held, F.col("regret"))).alias("holdout_mean_regret"),
@@ -214,7 +216,8 @@ def _month_lists(labelled: DataFrame) -> DataFrame:
 
     A symbol has one row per trading date, so a list of lists stays a few hundred kB.
     """
-    months = labelled.groupBy("symbol", "month").agg(
+    months = spread(labelled.select("symbol", "month", "trading_day", "regret"), "symbol").groupBy(
+        "symbol", "month").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("trading_day", "regret"))), lambda x: x["regret"])
         .alias("regrets"))
     return months.groupBy("symbol").agg(

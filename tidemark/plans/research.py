@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.config import (
-    BOOTSTRAP_SIMULATIONS, FEATURE_SETS, INSTRUMENTS, POLICIES, Instrument,
+    BOOTSTRAP_SIMULATIONS, FEATURE_SETS, INSTRUMENTS, LEAD_RULES, POLICIES, Instrument,
 )
+from tidemark.functions.windows import spread_by_symbol
 from tidemark.operators import compare as C, metrics as M, selection as S
 from tidemark.operators.features import build_features
 from tidemark.operators.filters import from_first_predicted
@@ -35,56 +36,78 @@ def prepare(daily: DataFrame, first_complete_month: str, complete_through: str |
     return Prepared(features, labelled, monthly_oracle(labelled))
 
 
-def model_scores(predictions: DataFrame, terminal: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Purchases of every model under the default policy, and their metrics and scores."""
+BOUGHT = ("symbol", "strategy", "month", "date", "trading_day", "days_in_month", "adjusted_open", "regret", "forced")
+
+
+def policy_purchases(predictions: DataFrame) -> DataFrame:
+    """Purchases of every policy for every feature set, from one pass over the predictions."""
+    bought = S.select_by_rules(predictions, S.policy_rules(), ("symbol", "feature_set", "month"))
+    return bought.select(*BOUGHT, "feature_set")
+
+
+def model_purchases(bought: DataFrame) -> DataFrame:
+    """Each feature set as a strategy of its own, under the default policy."""
+    default = bought.where(F.col("strategy") == POLICIES[0].name)
+    return default.withColumn("strategy", F.col("feature_set")).drop("feature_set")
+
+
+def model_metrics(purchases: DataFrame, predictions: DataFrame, terminal: DataFrame) -> DataFrame:
+    """Metrics and probability scores per model."""
     key = ("symbol", "feature_set")
-    bought = S.select_by_rules(
-        predictions, [S.policy_rule(POLICIES[0])], (*key, "month")
-    ).withColumn("strategy", F.col("feature_set"))
     scores = M.brier_score(predictions, key).join(M.average_precision(predictions, key), list(key))
-    metrics = M.metrics_with_wealth(bought, terminal).join(
+    return M.metrics_with_wealth(purchases, terminal).join(
         scores.withColumnRenamed("feature_set", "strategy"), ["symbol", "strategy"])
-    return bought, metrics
 
 
 def evaluate(
     daily: DataFrame, labelled: DataFrame, oracle: DataFrame, predictions: DataFrame,
     instrument: Instrument, with_interval: bool = True, simulations: int = BOOTSTRAP_SIMULATIONS,
 ) -> dict[str, DataFrame]:
-    """All metric tables. ``predictions`` carries a ``feature_set`` column."""
+    """All metric tables. ``predictions`` carries a ``feature_set`` column.
+
+    Baselines and signal rules are picked in one pass over the labelled rows, policies in
+    one pass over the predictions. Both purchase tables (one row per month and strategy)
+    are written once; every comparison reads them.
+    """
     rows = from_first_predicted(labelled, predictions)
     terminal = M.terminal_close(daily)
-    purchases, model_metrics = model_scores(predictions, terminal)
-    baselines = S.baselines(rows)
+    ruled = written(
+        S.select_by_rules(rows, S.baseline_rules() + S.lead_rules()).select(*BOUGHT), "rule-purchases")
+    policies = written(policy_purchases(predictions), "policy-purchases")
+    baselines = ruled.where(~F.col("strategy").isin(*LEAD_RULES))
+    signals = ruled.where(F.col("strategy").isin(*LEAD_RULES))
     day1 = baselines.where("strategy = 'fixed_day_1'")
     day5 = baselines.where("strategy = 'fixed_day_5'")
-    primary = predictions.where(F.col("feature_set") == instrument.primary_model)
-    model = purchases.where(F.col("strategy") == instrument.primary_model)
-    policies = C.compare_to_day1(
-        S.policy_purchases(primary), day1, terminal, instrument.holdout, with_interval, simulations)
-    leads = C.compare_to_day1(
-        S.lead_purchases(rows), day1, terminal, instrument.holdout, with_interval, simulations
-    ).join(M.signal_rates(rows), ["symbol", "strategy"])
+    models = model_purchases(policies)
+    model = models.where(F.col("strategy") == instrument.primary_model)
+    primary = policies.where(F.col("feature_set") == instrument.primary_model).drop("feature_set")
     first = predictions.groupBy("symbol").agg(F.min("month").alias("_first"))
     names = [name for key in instrument.feature_sets for name in FEATURE_SETS[key]]
+
+    def against_day1(purchases: DataFrame) -> DataFrame:
+        return with_verdict(
+            C.compare_to_day1(purchases, day1, terminal, instrument.holdout, with_interval, simulations),
+            with_interval)
+
     return {
         "data_quality": data_quality(daily),
         "oracle_distribution": M.oracle_distribution(oracle),
         "oracle_ranges": M.oracle_ranges(labelled, daily, instrument.has_local_crosscheck),
         "oracle_feature_profile": M.oracle_feature_profile(labelled, tuple(dict.fromkeys(names))),
-        "strategy_metrics": model_metrics.unionByName(
+        "strategy_metrics": model_metrics(models, predictions, terminal).unionByName(
             M.metrics_with_wealth(baselines, terminal), allowMissingColumns=True),
         "primary": C.paired_improvement(model, day1, simulations=simulations, with_interval=with_interval),
         "holdout": C.holdout_result(
             labelled.join(first, "symbol"), model, F.col("_first"), instrument.holdout,
             with_interval, simulations),
         "day1_vs_day5": C.paired_improvement(day1, day5, simulations=simulations, with_interval=with_interval),
-        "policy_ablation": with_verdict(policies, with_interval),
-        "lead_rules": with_verdict(leads, with_interval).withColumn(
+        "policy_ablation": against_day1(primary),
+        "lead_rules": against_day1(signals).join(M.signal_rates(rows), ["symbol", "strategy"]).withColumn(
             "role", C.rule_role(F.col("forced_rate"), F.col("mean_trading_day"))),
         "lead_coverage": M.lead_coverage(rows),
         "random_strategy": C.random_strategy(rows, simulations),
-        "walk_forward_purchases": purchases,
+        "walk_forward_purchases": models,
+        "rule_purchases": ruled,
         "meta": meta(rows, instrument),
     }
 
@@ -123,7 +146,7 @@ def run_research(
     The labelled table with its leads and the predictions are written once: folds,
     baselines, rules and profile all read them.
     """
-    parts = prepare(daily, instrument.first_complete_month, complete_through)
+    parts = prepare(spread_by_symbol(daily), instrument.first_complete_month, complete_through)
     labelled = written(attach_leads(parts.labelled, tsm, sox, fx), "labelled")
     oracle = monthly_oracle(labelled)
     sets = {name: FEATURE_SETS[name] for name in instrument.feature_sets}
