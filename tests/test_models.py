@@ -171,35 +171,44 @@ def test_config_is_checked():
     assert [p.name for p in POLICIES][3:] == ["prob_and_res_deadline5", "prob_only_deadline5", "res_only_deadline5"]
 
 
-def test_whole_study_on_vendor_prices(spark):
+def test_whole_study_from_files(spark, tmp_path):
     from tidemark import schemas
     from tidemark.operators.assemble import assemble_us_daily
+    from tidemark.sources import landed
 
     rng = np.random.default_rng(0)
     dates = [d.date() for d in pd.bdate_range("2019-12-10", "2020-11-20")]
     close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, len(dates))))
     prices = spark.createDataFrame(
-        [("VT", d, float(c), float(c * 1.01), float(c * 0.99), float(c), float(c), 1000.0) for d, c in zip(dates, close)],
-        schemas.US_OHLC)
+        [(s, d, float(c), float(c * 1.01), float(c * 0.99), float(c), float(c), 1000.0)
+         for s in ("VT", "VX") for d, c in zip(dates, close)], schemas.US_OHLC)
     daily = assemble_us_daily(prices)
-    lead = spark.createDataFrame([(d, float(c)) for d, c in zip(dates, close[::-1])], schemas.LEAD_PRICE)
-    fx = spark.createDataFrame([(d, 31.0 + 0.01 * (n % 7)) for n, d in enumerate(dates)], schemas.FX)
+    for name in set(schemas.DAILY.fieldNames()) - set(daily.columns):
+        daily = daily.withColumn(name, F.lit(None).cast("double"))
+    daily.select(*schemas.DAILY.fieldNames()).write.parquet(str(tmp_path / "daily"))
+    for name, filename in landed.LEAD_FILES.items():
+        value = "usd_twd" if name == "fx" else "adj_close"
+        pd.DataFrame({"date": dates, value: close[::-1]}).to_csv(tmp_path / filename, index=False, encoding="utf-8-sig")
     preset = replace(US_VT, first_complete_month="2020-01", holdout=("2020-09", "2020-10"),
                      model=ModelConfig(initial_months=5, trees=5))
-    tables = research.run_research(daily, lead, lead, fx, preset, simulations=200)
-    assert column(tables["meta"], "oos_months") == [5]
+    presets = [preset, replace(preset, code="VX", first_complete_month="2020-03")]
+    found = research.research_from_files(spark, str(tmp_path / "daily"), str(tmp_path), str(tmp_path / "out"), presets)
+    assert list(found) == ["technical_calendar-0"]
+    tables = found["technical_calendar-0"]
+    assert {r["symbol"]: r["oos_months"] for r in rows(tables["meta"])} == {"VT": 5, "VX": 3}
     assert column(tables["monthly_oracle"], "month", "month")[-1] == "2020-10"
-    metrics = {r["strategy"]: r for r in rows(tables["strategy_metrics"])}
+    back = spark.read.parquet(str(tmp_path / "out" / "technical_calendar-0" / "policy_ablation"))
+    policies = rows(back.where("symbol = 'VT'"))
+    assert len(policies) == 6 and all(len(r["ci95_bps"]) == 2 and r["verdict"] for r in policies)
+    metrics = {r["strategy"]: r for r in rows(tables["strategy_metrics"].where("symbol = 'VT'"))}
     assert set(metrics) == {"fixed_day_1", "fixed_day_5", "fixed_day_10", "fixed_day_15", "last_day", "rsi30_or_last",
                             "technical_calendar"}
     assert metrics["technical_calendar"]["brier"] is not None and metrics["last_day"]["forced_rate"] is None
-    policies = rows(tables["policy_ablation"])
-    assert len(policies) == 6 and all(len(r["ci95_bps"]) == 2 and r["verdict"] for r in policies)
-    assert len(rows(tables["lead_rules"])) == 6
-    assert column(tables["lead_coverage"], "tsm_available_rate") == [1.0]
-    assert column(tables["data_quality"], "rows") == [len(dates)]
-    assert rows(tables["holdout"])[0]["months"] == 2
-    primary = rows(tables["primary"])[0]
+    assert len(rows(tables["lead_rules"])) == 12
+    assert column(tables["lead_coverage"], "tsm_available_rate") == [1.0, 1.0]
+    assert column(tables["data_quality"], "rows") == [len(dates)] * 2
+    assert rows(tables["holdout"].where("symbol = 'VT'"))[0]["months"] == 2
+    primary = rows(tables["primary"].where("symbol = 'VT'"))[0]
     chosen = next(r for r in policies if r["strategy"] == "prob_and_res")
     assert primary["improvement_bps"] == pytest.approx(chosen["improvement_bps"])
     names = set(column(tables["oracle_feature_profile"], "feature"))

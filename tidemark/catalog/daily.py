@@ -12,6 +12,7 @@ from tidemark.operators.features import build_features
 from tidemark.operators.walkforward import (
     expanding_folds, fingerprints, folds_to_score,
 )
+from tidemark.session import written
 from tidemark.sources.standin import DEVELOPMENT_START, FIRST_MONTH, HOLDOUT, INITIAL_MONTHS
 
 KEY = ("symbol", "date")
@@ -169,7 +170,8 @@ CROSS JOIN (VALUES ('all'), ('technical_calendar'), ('technical_valuation_calend
 def _(s):
     from tidemark.config import ModelConfig
 
-    wanted = fingerprints(s.labelled_features, ModelConfig(initial_months=INITIAL_MONTHS))
+    wanted = written(
+        fingerprints(s.labelled_features, ModelConfig(initial_months=INITIAL_MONTHS)), "fingerprints")
     stored = wanted.where("test_month <= '2001-06'")
     return folds_to_score(wanted, stored).groupBy("symbol", "feature_set").agg(F.count(F.lit(1)).alias("folds"))
 

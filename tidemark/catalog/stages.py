@@ -54,11 +54,11 @@ class Stages(Market):
 
     @cached_property
     def led(self) -> DataFrame:
-        return attach_leads(self.labelled, self.tsm, self.sox, self.fx)
+        return attach_leads(self.labelled, self.tsm, self.sox, self.fx, self.ticks)
 
     @cached_property
     def led_features(self) -> DataFrame:
-        return attach_leads(self.labelled_features, self.tsm, self.sox, self.fx)
+        return attach_leads(self.labelled_features, self.tsm, self.sox, self.fx, self.ticks)
 
     @cached_property
     def oos(self) -> DataFrame:

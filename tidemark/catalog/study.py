@@ -190,7 +190,7 @@ _LONG = " UNION ALL ".join(
 
 @case("ml_02_median_fill", _PREPARED, values_long=_LONG)
 def _(s):
-    prepared = W.fold_preparation(s.labelled_features, MODEL)
+    prepared = W.fold_preparation(written(s.labelled_features, "labelled"), MODEL)
     return tidy(prepared.select("symbol", "test_month", "feature", "fill", "has_gaps"))
 
 
@@ -201,12 +201,13 @@ FROM (SELECT f.symbol, f.month, t.feature, t.value, median(t.value) OVER (PARTIT
       FROM (SELECT DISTINCT symbol, month FROM oos) f JOIN values_long t ON t.symbol = f.symbol AND t.month < f.month) p
 GROUP BY ALL""", values_long=_LONG)
 def _(s):
-    prepared = W.fold_preparation(s.labelled_features, MODEL)
+    prepared = W.fold_preparation(written(s.labelled_features, "labelled"), MODEL)
     return tidy(prepared.select("symbol", "test_month", "feature", "mean", "spread"))
 
 
 def _walk(s, *names: str):
-    return W.walk_forward(s.labelled_features, MODEL, {name: FEATURE_SETS[name] for name in names})
+    labelled = written(s.labelled_features, "labelled")
+    return W.walk_forward(labelled, MODEL, {name: FEATURE_SETS[name] for name in names})
 
 
 @case("ml_04_near_probability")
@@ -422,7 +423,8 @@ def _(s):
         return pd.DataFrame({"near_probability": [float(train["near_optimal"].mean())] * len(test),
                              "predicted_remaining_log_ratio": [0.0] * len(test)})
 
-    scored = W.walk_forward(s.labelled_features, MODEL, {"all": FEATURE_SETS["all"]}, estimator=share)
+    labelled = written(s.labelled_features, "labelled")
+    scored = W.walk_forward(labelled, MODEL, {"all": FEATURE_SETS["all"]}, estimator=share)
     return columns(scored, "symbol, date, near_probability, reservation_adjusted")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import FEATURE_SETS, check_month
 from tidemark.functions.scalars import month_of, previous_month
@@ -23,8 +23,10 @@ def through_last_complete_month(daily: DataFrame, complete_through: str | None =
     return dated.withColumn("_cutoff", cutoff).where(F.col("month") <= F.col("_cutoff")).drop("_cutoff")
 
 
-def from_month(df: DataFrame, first: str) -> DataFrame:
-    return df.where(F.col("month") >= F.lit(check_month(first)))
+def from_month(df: DataFrame, first: str | Column) -> DataFrame:
+    """Rows from a month on; a column gives each symbol its own first month."""
+    start = F.lit(check_month(first)) if isinstance(first, str) else first
+    return df.where(F.col("month") >= start)
 
 
 def month_numbers(labelled: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.config import NEAR_THRESHOLD, check_near_threshold
 from tidemark.functions.scalars import guard, positive, ratio
@@ -12,7 +12,7 @@ from tidemark.operators.filters import from_month, through_last_complete_month
 
 def add_monthly_labels(
     daily: DataFrame, complete_through: str | None = None, near_threshold: float = NEAR_THRESHOLD,
-    first_month: str | None = None,
+    first_month: str | Column | None = None,
 ) -> DataFrame:
     """Label the rows of complete months.
 
@@ -43,7 +43,7 @@ def add_monthly_labels(
             ratio(F.col("remaining_min_adjusted_open"), F.col("previous_adjusted_close"))
         ),
     }).withColumn("near_optimal", F.col("regret") <= F.lit(near_threshold))
-    return from_month(df, first_month) if first_month else df
+    return df if first_month is None else from_month(df, first_month)
 
 
 def monthly_oracle(labelled: DataFrame) -> DataFrame:

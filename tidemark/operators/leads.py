@@ -93,13 +93,18 @@ def lead_flags() -> dict[str, Column]:
     }
 
 
-def attach_leads(frame: DataFrame, tsm: DataFrame, sox: DataFrame, fx: DataFrame) -> DataFrame:
+def attach_leads(
+    frame: DataFrame, tsm: DataFrame, sox: DataFrame, fx: DataFrame, calendar: DataFrame | None = None
+) -> DataFrame:
     """Add the four lead values and the six flags to every row; no further lag.
 
+    ``calendar`` may name a cheaper table that holds all dates of ``frame`` (the landed
+    daily table, say), so that the frame is not computed twice.
     The table joined on has one row per date and five narrow columns: the date type
     itself bounds it (a century of trading is 26,000 rows), so it is broadcast.
     """
-    aligned = align_prior_session(lead_signals(tsm, sox, fx), frame.select("date").distinct())
+    targets = (frame if calendar is None else calendar).select("date").distinct()
+    aligned = align_prior_session(lead_signals(tsm, sox, fx), targets)
     wide = aligned.groupBy("date").agg(*[
         F.max(F.when(F.col("series") == name, F.col("value"))).alias(name) for name in LEAD_COLUMNS
     ])

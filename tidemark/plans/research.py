@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.config import (
     BOOTSTRAP_SIMULATIONS, FEATURE_SETS, INSTRUMENTS, LEAD_RULES, POLICIES, Instrument,
@@ -29,7 +29,9 @@ class Prepared:
     oracle: DataFrame
 
 
-def prepare(daily: DataFrame, first_complete_month: str, complete_through: str | None = None) -> Prepared:
+def prepare(
+    daily: DataFrame, first_complete_month: str | Column, complete_through: str | None = None
+) -> Prepared:
     """Features, labels of complete months, and the monthly oracle; one exchange by symbol."""
     features = build_features(daily)
     labelled = add_monthly_labels(features, complete_through, first_month=first_complete_month)
@@ -125,7 +127,6 @@ def meta(rows: DataFrame, instrument: Instrument) -> DataFrame:
     """Run facts per symbol."""
     facts = {
         "display_name": instrument.display_name,
-        "first_complete_month": instrument.first_complete_month,
         "primary_model": instrument.primary_model,
         "has_local_crosscheck": instrument.has_local_crosscheck,
         "deadline_first_5_rate": instrument.deadline_first_5_rate,
@@ -144,10 +145,14 @@ def run_research(
     """Daily table to every result table.
 
     The labelled table with its leads and the predictions are written once: folds,
-    baselines, rules and profile all read them.
+    baselines, rules and profile all read them. A ``first_complete_month`` column in the
+    daily table overrides the preset's month, symbol by symbol.
     """
-    parts = prepare(spread_by_symbol(daily), instrument.first_complete_month, complete_through)
-    labelled = written(attach_leads(parts.labelled, tsm, sox, fx), "labelled")
+    own = "first_complete_month" in daily.columns
+    first = F.col("first_complete_month") if own else instrument.first_complete_month
+    parts = prepare(spread_by_symbol(daily), first, complete_through)
+    labelled = written(attach_leads(parts.labelled, tsm, sox, fx, daily), "labelled")
+    daily = daily.drop("first_complete_month")
     oracle = monthly_oracle(labelled)
     sets = {name: FEATURE_SETS[name] for name in instrument.feature_sets}
     fresh = walk_forward(labelled, instrument.model, sets, stored=stored)
@@ -162,16 +167,28 @@ def research_from_files(
     spark: SparkSession, daily_path: str, leads_folder: str, out_folder: str,
     instruments: Sequence[Instrument] = INSTRUMENTS,
 ) -> dict[str, dict[str, DataFrame]]:
-    """The preset instruments over one daily table; results land under ``out_folder``."""
+    """The preset instruments over one daily table; results land under ``out_folder``.
+
+    Instruments that differ only in name and first month share one job, so a market of
+    any number of symbols is one run.
+    """
     daily = landed.read_daily(spark, daily_path)
     leads = landed.load_leads(spark, leads_folder)
-    results = {}
+    groups: dict[Instrument, list[Instrument]] = {}
     for instrument in instruments:
-        own = daily.where(F.col("symbol") == instrument.code)
-        tables = run_research(own, leads["tsm"], leads["sox"], leads["fx"], instrument)
-        landed.write_results(tables, f"{out_folder.rstrip('/')}/{instrument.code}")
-        landed.write_json(tables["strategy_metrics"], f"{out_folder.rstrip('/')}/{instrument.code}/results_json")
-        results[instrument.code] = tables
+        common = replace(instrument, code="", display_name="", first_complete_month="")
+        groups.setdefault(common, []).append(instrument)
+    results = {}
+    for preset, members in groups.items():
+        name = members[0].code if len(members) == 1 else f"{preset.primary_model}-{len(results)}"
+        firsts = settings_table(spark, members).select("symbol", "first_complete_month")
+        tables = run_research(
+            daily.join(firsts, "symbol"), leads["tsm"], leads["sox"], leads["fx"],
+            replace(preset, display_name=name))
+        folder = f"{out_folder.rstrip('/')}/{name}"
+        landed.write_results(tables, folder)
+        landed.write_json(tables["strategy_metrics"], f"{folder}/results_json")
+        results[name] = tables
     return results
 
 
