@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.monthly import PROFILE, WEALTH, _ranks
 from tidemark.catalog.registry import case, columns, tidy
 from tidemark.catalog.sqltext import FEATURE_LIST, METRICS, rounded
-from tidemark.config import FEATURE_SETS, TW_0050, ModelConfig
+from tidemark.config import BOOTSTRAP_SIMULATIONS, FEATURE_SETS, TW_0050, ModelConfig
 from tidemark.functions import scalars as X
 from tidemark.operators import compare as C, filters, metrics as M, selection as S, walkforward as W
 from tidemark.operators.quality import KEY
@@ -19,7 +19,7 @@ from tidemark.sources.standin import DEVELOPMENT_START, FIRST_MONTH, HOLDOUT, IN
 
 MODEL = ModelConfig(initial_months=INITIAL_MONTHS)
 STAND_IN = replace(TW_0050, code="stand-in", first_complete_month=FIRST_MONTH, holdout=HOLDOUT, model=MODEL)
-SIMULATIONS = 200
+SIMULATIONS = BOOTSTRAP_SIMULATIONS
 GAIN = "round(avg(b.regret - c.regret) * 10000e0, 4) AS improvement_bps"
 
 
@@ -61,14 +61,14 @@ def _(s):
                               F.col("ci95_bps")[1].alias("ci95_high_bps")), digits=4)
 
 
-@case("sta_03_random_strategy", """
+@case("sta_03_random_strategy", f"""
 SELECT symbol, round(avg(mean), 6) AS mean_regret, round(quantile_cont(mean, 0.025), 6) AS ci95_low,
        round(quantile_cont(mean, 0.975), 6) AS ci95_high
 FROM (SELECT d.symbol AS symbol, sim, avg(regret) AS mean
       FROM (SELECT m.symbol, m.month, sim, ('0x' || substr(md5(sim || '-' || no || '-42'), 1, 8))::BIGINT % n + 1 AS day
             FROM (SELECT symbol, month, count(*) AS n,
                          row_number() OVER (PARTITION BY symbol ORDER BY month) - 1 AS no FROM oos GROUP BY symbol, month) m,
-                 range(200) r(sim)) d
+                 range({SIMULATIONS}) r(sim)) d
       JOIN oos o ON o.symbol = d.symbol AND o.month = d.month AND o.trading_day = d.day GROUP BY d.symbol, sim)
 GROUP BY symbol""")
 def _(s):
@@ -300,10 +300,10 @@ def _(s):
         F.min("l_linenumber").alias("first_line"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@case("set_03_feature_columns", f"SELECT symbol, date, {rounded(FEATURE_LIST.replace('trading_day, ', ''))}, trading_day FROM features WHERE symbol = 'RF'")
+@case("set_03_feature_columns", f"SELECT symbol, date, {rounded(FEATURE_LIST.replace('trading_day, ', ''))}, trading_day FROM features")
 def _(s):
     names = [name for name in dict.fromkeys(n for key in FEATURE_SETS for n in FEATURE_SETS[key]) if name != "trading_day"]
-    return columns(s.features.where("symbol = 'RF'"), "symbol, date, " + ", ".join(names), "trading_day")
+    return columns(s.features, "symbol, date, " + ", ".join(names), "trading_day")
 
 
 # ----------------------------------------------------------------------- scalar functions

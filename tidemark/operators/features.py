@@ -13,12 +13,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.scalars import month_of, month_progress, ratio, weekday_angle
 from tidemark.functions.windows import by_date, in_month, known_by, running_product, trailing
 from tidemark.operators.adjust import last_365_days
+from tidemark.operators.quality import require_columns
 
 RETURN_SPANS = (1, 5, 20, 60)
 BALANCES = ("margin_balance", "short_balance", "outstanding_units")
 TRADING_DAYS_A_YEAR = 252.0
 
 
+REQUIRED = (
+    "date", "open", "high", "low", "close", "volume", "trading_value", "total_return_index", "nav",
+    "cash_dividend", "margin_balance", "short_balance", "institutional_net", "outstanding_units",
+)
+
+
 def lagged(value: Column | str, rows: int = 1) -> Column:
     return F.lag(value, rows).over(by_date())
 
@@ -127,6 +134,7 @@ def calendar() -> dict[str, Column]:
 def build_features(daily: DataFrame) -> DataFrame:
     """The daily table plus the 22 feature columns."""
     columns = daily.columns
+    require_columns(daily, ("symbol", *REQUIRED), "daily table", non_empty=False)
     cash_yield = (
         F.col("distribution_yield_ttm") if "distribution_yield_ttm" in columns
         else ratio(last_365_days("cash_dividend"), F.col("close"))

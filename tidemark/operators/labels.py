@@ -8,6 +8,7 @@ from tidemark.config import NEAR_THRESHOLD, check_near_threshold
 from tidemark.functions.scalars import guard, positive, ratio
 from tidemark.functions.windows import by_month, by_date, in_month, rest_of_month
 from tidemark.operators.filters import from_month, through_last_complete_month
+from tidemark.operators.quality import require_columns
 
 
 def add_monthly_labels(
@@ -20,6 +21,7 @@ def add_monthly_labels(
     ``first_month`` cut comes last because the prior close crosses month borders.
     """
     check_near_threshold(near_threshold)
+    require_columns(daily, ("symbol", "date", "open", "adjusted_open", "adjusted_close"), "daily table", non_empty=False)
     sane = positive("open", "adjusted_open", "adjusted_close") & (
         F.col("_before").isNull() | (F.col("_before") < F.col("date")))
     df = through_last_complete_month(daily, complete_through).withColumns({

@@ -104,14 +104,16 @@ def wrong_month(df: DataFrame) -> DataFrame:
     return df.where(~F.coalesce(same, F.lit(False)))
 
 
-def bad_prediction_months(predictions: DataFrame) -> DataFrame:
+def bad_prediction_months(
+    predictions: DataFrame, key: Sequence[str] = ("symbol", "month")
+) -> DataFrame:
     """Symbol-months that are not the full run of trading days 1..N with sane values."""
     bad_value = ~F.coalesce(
         F.col("near_probability").between(0.0, 1.0)
         & (F.col("adjusted_open") > 0) & (F.col("reservation_adjusted") > 0),
         F.lit(False),
     )
-    per_month = predictions.groupBy("symbol", "month").agg(
+    per_month = predictions.groupBy(*key).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("trading_day").alias("distinct_days"),
         F.min("trading_day").alias("first_day"),

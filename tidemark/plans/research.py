@@ -16,7 +16,7 @@ from tidemark.operators.features import build_features
 from tidemark.operators.filters import from_first_predicted
 from tidemark.operators.labels import add_monthly_labels, monthly_oracle
 from tidemark.operators.leads import attach_leads
-from tidemark.operators.quality import data_quality
+from tidemark.operators.quality import bad_prediction_months, data_quality, require
 from tidemark.operators.walkforward import walk_forward
 from tidemark.session import written
 from tidemark.sources import landed
@@ -158,6 +158,7 @@ def run_research(
     fresh = walk_forward(labelled, instrument.model, sets, stored=stored)
     predictions = written(
         fresh if stored is None else fresh.unionByName(stored.select(*fresh.columns)), "predictions")
+    require(bad_prediction_months(predictions, ("symbol", "feature_set", "month")), "unusable predictions")
     tables = evaluate(daily, labelled, oracle, predictions, instrument, simulations=simulations)
     return {"features": parts.features, "labelled": labelled, "monthly_oracle": oracle,
             "walk_forward_predictions": predictions, **tables}
