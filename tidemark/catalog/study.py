@@ -11,7 +11,7 @@ from tidemark.catalog.registry import case, columns, tidy
 from tidemark.catalog.sqltext import FEATURE_LIST, METRICS, rounded
 from tidemark.config import BOOTSTRAP_SIMULATIONS, FEATURE_SETS, TW_0050, ModelConfig
 from tidemark.functions import scalars as X
-from tidemark.operators import compare as C, filters, metrics as M, selection as S, walkforward as W
+from tidemark.operators import compare as C, metrics as M, selection as S, walkforward as W
 from tidemark.operators.quality import KEY
 from tidemark.plans import research
 from tidemark.session import written

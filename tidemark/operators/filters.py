@@ -29,14 +29,6 @@ def from_month(df: DataFrame, first: str | Column) -> DataFrame:
     return df.where(F.col("month") >= start)
 
 
-def month_numbers(labelled: DataFrame) -> DataFrame:
-    """Distinct symbol-months with their position; rows shrink map-side before the shuffle."""
-    months = labelled.groupBy("symbol", "month").agg(F.count(F.lit(1)).alias("rows"))
-    return months.withColumn(
-        "position", F.row_number().over(Window.partitionBy("symbol").orderBy("month")) - 1
-    )
-
-
 def out_of_sample(labelled: DataFrame, initial_months: int) -> DataFrame:
     """Rows from the first predicted month on, the month at position ``initial_months``."""
     ordinal = F.dense_rank().over(Window.partitionBy("symbol").orderBy("month"))
