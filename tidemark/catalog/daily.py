@@ -27,7 +27,9 @@ def _(s):
 
 
 @case("fil_02_complete_months", """
-SELECT symbol, date, strftime(date, '%Y-%m') AS month, close FROM prices WHERE date < DATE '2001-11-01'""")
+SELECT symbol, date, strftime(date, '%Y-%m') AS month, close FROM prices
+JOIN (SELECT symbol, max(date) AS last FROM prices GROUP BY symbol) USING (symbol)
+WHERE strftime(date, '%Y-%m') < strftime(last, '%Y-%m')""")
 def _(s):
     return filters.through_last_complete_month(s.prices).select(*KEY, "month", "close")
 
