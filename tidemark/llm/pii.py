@@ -98,8 +98,8 @@ def digest(spans: Column) -> Column:
 def disclosing_terms(texts: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """``kind, value, term, disclosure`` over ``texts(text, spans)``: one row per disclosing pair."""
     beside = (texts.where(F.size("spans") > 0)
-              .select(F.xxhash64("text").alias("doc"), "text", F.explode("spans").alias("span"))
-              .select("doc", "span.kind", "span.value",
+              .select("text", F.explode("spans").alias("span"))
+              .select("span.kind", "span.value",
                       F.expr(f"substring(text, greatest(span.start - {reach}, 0) + 1, span.start - greatest(span.start - {reach}, 0))").alias("left"),
                       F.expr(f"substring(text, span.end + 1, {reach})").alias("right"),
                       (F.col("span.start") > reach).alias("cut")))
@@ -108,8 +108,8 @@ def disclosing_terms(texts: DataFrame, reach: int = REACH, support: int = SUPPOR
     words = F.concat(F.slice(left, F.when(F.col("cut"), 2).otherwise(1), F.size(left)),
                      F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0))))
     words = F.array_distinct(F.filter(words, lambda word: (F.char_length(word) > 1) & ~word.rlike(r"[@0-9]")))
-    near = written(beside.select("doc", "kind", "value", F.xxhash64("left", "right").alias("around"), words.alias("terms")), "pii-near")
-    pairs = near.select("doc", "kind", "value", "around", F.explode("terms").alias("term"))
+    near = written(beside.select("kind", "value", F.xxhash64("left", "right").alias("around"), words.alias("terms")), "pii-near")
+    pairs = near.select("kind", "value", "around", F.explode("terms").alias("term"))
     # different surroundings first: what a passage repeats is one row here, however often it is copied
     seen = (pairs.groupBy("kind", "value", "term", "around").agg(F.lit(1))
             .groupBy("kind", "value", "term").agg(F.count("*").alias("surroundings")).where(F.col("surroundings") >= support))
@@ -137,7 +137,7 @@ def disclosing_terms(texts: DataFrame, reach: int = REACH, support: int = SUPPOR
 def term_spans(texts: DataFrame, disclosing: DataFrame) -> DataFrame:
     """``_key, terms``: the places of disclosing terms, per different text that holds their value."""
     edge = "\\x20\\x09-\\x0D"
-    hits = (texts.where(F.size("spans") > 0).select(F.xxhash64("text").alias("_key"), "text", F.explode("spans").alias("span"))
+    hits = (texts.where(F.size("spans") > 0).select(F.md5("text").alias("_key"), "text", F.explode("spans").alias("span"))
             .select("_key", "text", "span.kind", "span.value").join(disclosing, ["kind", "value"])
             .dropDuplicates(["_key", "term"]))
     pattern = F.concat(F.lit(f"(?<![^{edge}])"), F.lit("\\Q"), "term", F.lit("\\E"), F.lit(f"(?![^{edge}])"))
@@ -155,7 +155,7 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold:
     texts = docs.drop("spans").withColumn("spans", base_spans(whole_text()))
     plain = texts.select(whole_text().alias("text"), "spans")
     added = term_spans(plain, disclosing_terms(plain, reach, support, threshold))
-    joined = texts.withColumn("_key", F.xxhash64(whole_text())).join(added, "_key", "left")
+    joined = texts.withColumn("_key", F.md5(whole_text())).join(added, "_key", "left")
     return joined.withColumn("spans", F.concat("spans", F.coalesce("terms", F.array().cast(SPAN)))).drop("_key", "terms")
 
 
