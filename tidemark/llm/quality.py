@@ -23,9 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.common import slices, whole_text
 from tidemark.session import written
 
-SAMPLE, WORDS, SEEN, TELLING = 8_000, 512, 3, 12.0
-#: A telling word accounts for this share of what the labels of the sample hold at least.
-TELLING_SHARE = 0.02
+SAMPLE, WORDS, SEEN, TELLING = 16_000, 512, 3, 12.0
 BATCH_BYTES = 16 << 20
 RIDGE, CLIP, KEEP_AT = 1e-2, 12.0, 0.5
 SYMBOLS = "!#$%&*|@~^_=+<>{}[]\\/"
@@ -117,8 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     weight = (F.log((F.col("a") + 0.1) / (bad + 0.2)) - F.log((F.col("c") - F.col("a") + 0.1) / (n - bad + 0.2)))
     # what the word tells: its toxic share against the sample's, times its count
     tells = 2 * F.col("a") * F.log(F.col("a") * n / (F.col("c") * F.greatest(F.lit(bad), F.lit(1.0))))
-    telling_at = max(TELLING, TELLING_SHARE * 2 * bad * float(np.log(max(1.0, n) / max(1.0, bad))))
-    top = (counted.withColumn("weight", weight).withColumn("tells", tells).where((F.col("weight") > 1.5) & (F.col("tells") > telling_at))
+    top = (counted.withColumn("weight", weight).withColumn("tells", tells).where((F.col("weight") > 1.5) & (F.col("tells") > TELLING))
            .orderBy(F.col("tells").desc(), "word").limit(WORDS).collect())
     telling = {row["word"]: min(5.0, row["weight"]) for row in top}
 
