@@ -98,8 +98,8 @@ def digest(spans: Column) -> Column:
 def disclosing_terms(texts: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """``kind, value, term, disclosure`` over ``texts(text, spans)``: one row per disclosing pair."""
     beside = (texts.where(F.size("spans") > 0)
-              .select("text", F.explode("spans").alias("span"))
-              .select("span.kind", "span.value",
+              .select(F.monotonically_increasing_id().alias("doc"), "text", F.explode("spans").alias("span"))
+              .select("doc", "span.kind", "span.value",
                       F.expr(f"substring(text, greatest(span.start - {reach}, 0) + 1, span.start - greatest(span.start - {reach}, 0))").alias("left"),
                       F.expr(f"substring(text, span.end + 1, {reach})").alias("right"),
                       (F.col("span.start") > reach).alias("cut")))
@@ -108,17 +108,23 @@ def disclosing_terms(texts: DataFrame, reach: int = REACH, support: int = SUPPOR
     words = F.concat(F.slice(left, F.when(F.col("cut"), 2).otherwise(1), F.size(left)),
                      F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0))))
     words = F.array_distinct(F.filter(words, lambda word: (F.char_length(word) > 1) & ~word.rlike(r"[@0-9]")))
-    near = written(beside.select("kind", "value", F.xxhash64("left", "right").alias("around"), words.alias("terms")), "pii-near")
-    pairs = near.select("kind", "value", "around", F.explode("terms").alias("term"))
+    near = written(beside.select("doc", "kind", "value", F.xxhash64("left", "right").alias("around"), words.alias("terms")), "pii-near")
+    pairs = near.select("doc", "kind", "value", "around", F.explode("terms").alias("term"))
     # different surroundings first: what a passage repeats is one row here, however often it is copied
     seen = (pairs.groupBy("kind", "value", "term", "around").agg(F.lit(1))
             .groupBy("kind", "value", "term").agg(F.count("*").alias("surroundings")).where(F.col("surroundings") >= support))
-    candidates = written(seen, "pii-candidates")
+    # A term stands in as many documents at least as it stands beside values in. Where that alone keeps
+    # its disclosure below the threshold, even if every document of the value held it, it need not be counted.
+    n = texts.count()
+    beside_any = pairs.select("doc", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    n_value = near.select("doc", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_value"))
+    most = F.col("n_value") * F.pow(F.lit(float(n)) / F.col("n_value"), F.lit(1 - threshold)) * (1 + 1e-9)
+    candidates = written(seen.join(n_value, ["kind", "value"]).join(beside_any, "term").where(F.col("n_near") <= most)
+                         .select("kind", "value", "term"), "pii-candidates")
     terms = written(candidates.select("term").distinct(), "pii-terms")
     if terms.isEmpty():
         return candidates.select("kind", "value", "term", F.lit(1.0).alias("disclosure")).where("false")
     values = candidates.select("kind", "value").distinct()
-    n = texts.count()
     # documents (rows, copies included) with a term, with a value, with both
     holding = texts.select(F.explode(F.array_distinct(F.split("text", GAP))).alias("term")).join(terms, "term")
     n_term = holding.groupBy("term").agg(F.count("*").alias("n_term"))
