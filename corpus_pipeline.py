@@ -31,8 +31,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of every document as the mix takes, a row each."""
-    mixed = mixing.mix(docs, narrow=False)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    kept = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_document"))
+    copies = mixing.mix(kept, narrow=False).where("copies > 0").select("_document", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copies.select("_document.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

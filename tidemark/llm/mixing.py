@@ -27,11 +27,6 @@ STEPS, PASSES, SALTS = 60, 8, 64
 NEAR, NEAR_TOKENS = 1e-6, 1e-1
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """The rows with ``size``, the number of words of the whole text; null counts as no word."""
-    return docs.withColumn("size", F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
-
-
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
     """Adds ``weight`` and ``target`` to ``sources(source, source_size)``, one row per source.
 
@@ -80,7 +75,7 @@ def balance(classes: DataFrame, sources: DataFrame, limit: int = LIMIT, steps: i
              .withColumn("_idle", (F.col("target") <= 0) | F.col("_least").isNull())
              .withColumns({
                  "_high": F.log(F.lit(float(limit))) / F.col("_least"),
-                 "_low": F.least(F.lit(0.0), F.log(F.col("target") / (limit * F.col("source_size"))) / F.col("_least")),
+                 "_low": F.least(F.lit(0.0), F.log(F.try_divide("target", limit * F.col("source_size"))) / F.col("_least")),
                  "tilt": F.lit(0.0), "_done": F.col("_full") | F.col("_idle")}))
     for step in range(steps):
         state = written(state, f"mix-tilt-{step}")
@@ -97,8 +92,8 @@ def balance(classes: DataFrame, sources: DataFrame, limit: int = LIMIT, steps: i
         low = F.when(off < 0, F.col("tilt")).otherwise(F.col("_low"))
         high = F.when(off > 0, F.col("tilt")).otherwise(F.col("_high"))
         state = state.withColumns({"_near": F.coalesce("_done", F.lit(False)) | F.coalesce(near, F.lit(True)), "_low": low, "_high": high})
-        newton = F.col("tilt") - F.log(F.col("_got") / F.col("target")) * F.col("_got") / F.col("_slope")
-        inside = (F.col("_slope") > 0) & (newton > F.col("_low")) & (newton < F.col("_high"))
+        newton = F.col("tilt") - F.try_divide(F.log(F.try_divide("_got", "target")) * F.col("_got"), F.col("_slope"))
+        inside = F.coalesce(F.col("_slope") > 0, F.lit(False)) & newton.isNotNull() & (newton > F.col("_low")) & (newton < F.col("_high"))
         middle = (F.col("_low") + F.col("_high")) / 2
         # a bracket as narrow as doubles allow is settled as well
         stuck = (F.col("_high") - F.col("_low")) <= F.abs(middle) * 1e-15
@@ -140,13 +135,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """Copies of each row of ``docs(doc_id, text, source, ...)`` that bring its source to its target.
 
     Returns every row's doc_id, source, size, source_size, target, rate, copies and taken = copies * size;
-    with ``narrow=False`` also the other columns. Null text has size 0, a null source is a source of its
+    with ``narrow=False`` also the other columns, but for those of these names. Null text has size 0, a null source is a source of its
     own, rows without words keep one copy and take nothing. Repeated rows are rows of their own, and
-    which of them gets an odd copy cannot be told apart. An empty table gives an empty one. Extra columns
-    pass through; names that begin with an underscore are reserved.
+    which of them gets an odd copy cannot be told apart. An empty table gives an empty one.
     """
-    keys = sized(docs).select("doc_id", "source", "size")
-    base = written(keys, "mix-sizes") if narrow else sized(docs)
+    words = F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size")
+    keys = docs.select("doc_id", "source", words)
+    base = written(keys, "mix-sizes") if narrow else docs.select("doc_id", "source", words, F.struct("*").alias("_row"))
     counted = base.groupBy("source", "size").agg(F.count("*").alias("n"))
     classes = written(counted, "mix-classes")
     per_source = classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -169,4 +164,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     place = F.col("_before") + F.col("_rank")
     copies = F.floor(F.col("copies") / F.col("n")) + (place <= F.col("copies") % F.col("n")).cast("int")
     out = full.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_hash", "_salt", "_rank", "_before", "n", "weight", "tilt")
+    added = ["size", "source_size", "target", "rate", "copies", "taken"]
+    if narrow:
+        return out.select("doc_id", "source", *added)
+    return out.select(*[F.col("_row").getField(name).alias(name) for name in docs.columns if name not in added], *added)

@@ -135,34 +135,35 @@ def disclosing_terms(texts: DataFrame, reach: int = REACH, support: int = SUPPOR
     n_value = held.groupBy("kind", "value").agg(F.count("*").alias("n_value"))
     both = (held.select("kind", "value", F.explode("terms").alias("term")).join(candidates.select("kind", "value", "term"), ["kind", "value", "term"])
             .groupBy("kind", "value", "term").agg(F.count("*").alias("n_both")))
-    scored = both.join(n_value, ["kind", "value"]).join(n_term, "term").withColumn("disclosure", F.log2(
-        F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_value"))) / F.log2(F.lit(float(n)) / F.col("n_value")))
+    pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_value")))
+    content = F.log2(F.lit(float(n)) / F.col("n_value"))  # zero where every document holds the value: nothing to disclose
+    scored = both.join(n_value, ["kind", "value"]).join(n_term, "term").withColumn("disclosure", F.try_divide(pmi, content))
     return written(scored.where(F.col("disclosure") >= threshold).select("kind", "value", "term", "disclosure"), "pii-disclosing")
 
 
 def term_spans(texts: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """``_key, terms``: the places of disclosing terms, per different text that holds their value."""
+    """``_key, _terms``: the places of disclosing terms, per different text that holds their value."""
     edge = "\\x20\\x09-\\x0D"
     hits = (texts.where(F.size("spans") > 0).select(F.md5("text").alias("_key"), "text", F.explode("spans").alias("span"))
             .select("_key", "text", "span.kind", "span.value").join(disclosing, ["kind", "value"])
             .dropDuplicates(["_key", "term"]))
     pattern = F.concat(F.lit(f"(?<![^{edge}])"), F.lit("\\Q"), "term", F.lit("\\E"), F.lit(f"(?![^{edge}])"))
     found = hits.select("_key", places(F.col("text"), pattern, len(KINDS)).alias("found"))
-    return found.groupBy("_key").agg(F.array_sort(F.flatten(F.collect_set("found"))).alias("terms"))
+    return found.groupBy("_key").agg(F.array_sort(F.flatten(F.collect_set("found"))).alias("_terms"))
 
 
 def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``spans``, an array of (kind, start, end, value): the base spans, then the terms'.
 
     Null text counts as empty and has no span, as has any text without a match. Repeated rows get equal
-    spans and count as documents each. An empty table gives an empty one. Columns named ``spans``, ``_key``
-    or ``terms`` are replaced; others pass through.
+    spans and count as documents each. An empty table gives an empty one. A column named
+    ``spans`` is replaced, names that begin with an underscore are reserved, others pass through.
     """
     texts = docs.drop("spans").withColumn("spans", base_spans(whole_text()))
     plain = texts.select(whole_text().alias("text"), "spans")
     added = term_spans(plain, disclosing_terms(plain, reach, support, threshold))
     joined = texts.withColumn("_key", F.md5(whole_text())).join(added, "_key", "left")
-    return joined.withColumn("spans", F.concat("spans", F.coalesce("terms", F.array().cast(SPAN)))).drop("_key", "terms")
+    return joined.withColumn("spans", F.concat("spans", F.coalesce("_terms", F.array().cast(SPAN)))).drop("_key", "_terms")
 
 
 def sanitise(found: DataFrame) -> DataFrame:

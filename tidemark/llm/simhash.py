@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import slices, whole_text
+from tidemark.llm.common import WORD, slices, whole_text
 from tidemark.llm.components import components
 from tidemark.session import written
 
@@ -286,6 +286,11 @@ def hex16(value: Column) -> Column:
 COPY_WORDS, SIMILARITY, COPY_RADIUS, KEYS, SKETCH = 5, 0.8, 20, 4, 512
 
 
+def text_node() -> Column:
+    """The text's digest; texts without words are one text."""
+    return F.md5(F.when(whole_text().rlike(WORD), whole_text()).otherwise(""))
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, node, print, keys, sketch`` per row: the text's digest, its fingerprint, its smallest
     shingle hashes, and up to ``SKETCH`` smallest 32-bit shingle hashes."""
@@ -303,7 +308,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                  pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
                 ["doc_id", "node", "print", "keys", "sketch"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(whole_text()).alias("node"), whole_text().alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node().alias("node"), whole_text().alias("text"))
     return keyed.mapInArrow(sketch, "doc_id long, node string, print long, keys array<long>, sketch binary")
 
 
@@ -342,7 +347,8 @@ def keep_one(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMIL
     Different texts that share one of their ``KEYS`` smallest shingle hashes are compared on bit planes
     within ``COPY_RADIUS`` bits, and links are confirmed on the shingle sets, at ``similarity`` or more of
     their union. Two sets of that similarity share a key but for one pair in several hundred. Groups are
-    connected components. Empty and null texts are copies of each other. A null doc_id counts as the
+    connected components. Null texts and texts without words are copies of
+    each other. A null doc_id counts as the
     largest. Of fully repeated rows one stays. Columns and their order stay.
     """
     rows = written(sketches(docs, words), "copies-sketch")
@@ -363,7 +369,7 @@ def keep_one(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMIL
     best = placed.groupBy("root").agg(F.min(F.struct("least", "node")).alias("best")).select("best.*")
     times = rows.select("node", null_last.alias("least")).groupBy("node", "least").agg(F.count("*").alias("times"))
     kept = written(best.join(times, ["node", "least"]).withColumnsRenamed({"node": "_node", "least": "_least", "times": "_times"}), "copies-kept")
-    named = docs.withColumns({"_node": F.md5(whole_text()), "_least": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
+    named = docs.withColumns({"_node": text_node(), "_least": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
     once = named.join(kept.where("_times = 1").drop("_times"), ["_node", "_least"], "left_semi")
     again = named.join(kept.where("_times > 1").drop("_times"), ["_node", "_least"], "left_semi").dropDuplicates(["_node", "_least"])
     return once.unionByName(again).select(*docs.columns)
