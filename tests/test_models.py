@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.session import written
 from tests.conftest import column, rows
 from tidemark.config import POLICIES, US_VT, ModelConfig
 from tidemark.operators import models, walkforward as W
@@ -98,6 +99,25 @@ def test_stored_folds_are_not_run_again(spark):
     assert set(column(half, "month")) == {"2020-06"}
 
 
+def test_stored_predictions_are_reused(spark):
+    frame = market()
+    first = W.predictions(table(spark, frame), CONFIG, FEATURES)
+    stored = written(first, "stored")
+    plain = rows(stored, "date")
+    again = W.predictions(table(spark, frame), CONFIG, FEATURES, stored)
+    assert W.folds_to_score(W.fingerprints(table(spark, frame), CONFIG, FEATURES), stored).count() == 0
+    assert rows(again, "date") == plain
+    moved = frame.copy()
+    moved.loc[moved["month"] == "2020-07", "a"] = 9.0
+    later = W.predictions(table(spark, moved), CONFIG, FEATURES, stored)
+    assert later.count() == len(plain) and later.select("date").distinct().count() == len(plain)
+    priced = frame.assign(adjusted_open=frame["adjusted_open"] * 0.9, previous_adjusted_close=frame["previous_adjusted_close"] * 0.9)
+    restated = rows(W.predictions(table(spark, priced), CONFIG, FEATURES, stored), "date")
+    assert [r["near_probability"] for r in restated] == [r["near_probability"] for r in plain]
+    assert [r["adjusted_open"] for r in restated] == pytest.approx([0.9 * r["adjusted_open"] for r in plain])
+    assert [r["reservation_adjusted"] for r in restated] == pytest.approx([0.9 * r["reservation_adjusted"] for r in plain])
+
+
 def test_one_class_history_gives_that_class():
     frame = market()
     frame["near_optimal"] = False

@@ -12,6 +12,7 @@ from tidemark.operators.filters import out_of_sample
 from tidemark.operators.labels import add_monthly_labels, monthly_oracle
 from tidemark.operators.leads import attach_leads
 from tidemark.operators.metrics import terminal_close
+from tidemark.session import written
 from tidemark.sources import parsers
 from tidemark.sources.standin import FIRST_MONTH, INITIAL_MONTHS, Market
 
@@ -19,11 +20,12 @@ from tidemark.sources.standin import FIRST_MONTH, INITIAL_MONTHS, Market
 class Stages(Market):
     @cached_property
     def institutions(self) -> DataFrame:
-        return parsers.parse_institutions(self.institutions_raw)
+        return written(parsers.parse_institutions(self.institutions_raw), "institutions")
 
     @cached_property
     def adjusted(self) -> DataFrame:
-        return A.build_adjusted_prices(self.prices, self.dividends, self.splits)
+        m = self.landed  # one scan of the facts for all three
+        return A.build_adjusted_prices(m.prices, m.dividends, m.splits)
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -54,11 +56,11 @@ class Stages(Market):
 
     @cached_property
     def led(self) -> DataFrame:
-        return attach_leads(self.labelled, self.tsm, self.sox, self.fx, self.ticks)
+        return attach_leads(self.labelled, self.tsm, self.sox, self.fx, self.landed.days)
 
     @cached_property
     def led_features(self) -> DataFrame:
-        return attach_leads(self.labelled_features, self.tsm, self.sox, self.fx, self.ticks)
+        return attach_leads(self.labelled_features, self.tsm, self.sox, self.fx, self.landed.days)
 
     @cached_property
     def oos(self) -> DataFrame:

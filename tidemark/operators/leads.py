@@ -101,13 +101,13 @@ def attach_leads(
     ``calendar`` may name a cheaper table that holds all dates of ``frame`` (the landed
     daily table, say), so that the frame is not computed twice.
     The table joined on has one row per date and five narrow columns: the date type
-    itself bounds it (a century of trading is 26,000 rows), so it is broadcast.
+    itself bounds it (a century of trading is 26,000 rows), and the planner may broadcast it.
     """
     targets = (frame if calendar is None else calendar).select("date").distinct()
     aligned = align_prior_session(lead_signals(tsm, sox, fx), targets)
     wide = aligned.groupBy("date").agg(*[
         F.max(F.when(F.col("series") == name, F.col("value"))).alias(name) for name in LEAD_COLUMNS
     ])
-    return frame.join(F.broadcast(wide), "date", "left").withColumns(lead_flags())
+    return frame.join(wide, "date", "left").withColumns(lead_flags())
 
 

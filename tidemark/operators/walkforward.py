@@ -65,12 +65,20 @@ def fingerprints(
     )
 
 
+FOLD = ["symbol", "feature_set", "test_month", "fingerprint"]
+SCORES = ("near_probability", "predicted_remaining_log_ratio", "training_through")
+
+
+def stored_folds(stored: DataFrame) -> DataFrame:
+    """Folds of a stored table: of fingerprints, or of predictions, whose month is the fold's."""
+    if "test_month" not in stored.columns:
+        stored = stored.withColumnRenamed("month", "test_month")
+    return stored.select(*FOLD).distinct()
+
+
 def folds_to_score(wanted: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Folds whose fingerprint no stored prediction has."""
-    if stored is None:
-        return wanted
-    key = ["symbol", "feature_set", "test_month", "fingerprint"]
-    return wanted.join(stored.select(*key).distinct(), key, "left_anti")
+    return wanted if stored is None else wanted.join(stored_folds(stored), FOLD, "left_anti")
 
 
 def _cogroup(labelled: DataFrame, folds: DataFrame, columns: Sequence[str], buckets: int):
@@ -98,8 +106,9 @@ def _split(rows: pd.DataFrame, folds: pd.DataFrame) -> Iterator[tuple[pd.Series,
     for _, fold in folds.iterrows():
         train = ordered[ordered["month"] < fold["test_month"]]
         test = ordered[ordered["month"] == fold["test_month"]].reset_index(drop=True)
-        if len(train) and len(test):
-            yield fold, train, test
+        if train.empty or test.empty:
+            raise ValueError(f"fold {fold['test_month']} of {fold['symbol']} lacks training or test rows")
+        yield fold, train, test
 
 
 def walk_forward(
@@ -142,6 +151,27 @@ def walk_forward(
     return reservation_prices(scored, config)
 
 
+def predictions(
+    labelled: DataFrame, config: ModelConfig = ModelConfig(),
+    sets: Mapping[str, Sequence[str]] = FEATURE_SETS, stored: DataFrame | None = None, buckets: int = BUCKETS,
+) -> DataFrame:
+    """``walk_forward`` over folds that are new or changed, and stored scores for the rest.
+
+    ``stored`` is an earlier result of this function. Of it only the scores of folds whose fingerprint
+    still stands are used: prices and labels come from ``labelled``, so that restated prices show in
+    the reservations, and stale folds or feature sets not asked for are left out.
+    """
+    fresh = walk_forward(labelled, config, sets, buckets, stored)
+    if stored is None:
+        return fresh
+    wanted = fingerprints(labelled, config, sets)
+    scores = (stored.withColumnRenamed("month", "test_month").join(wanted, FOLD, "left_semi")
+              .select("symbol", "date", "feature_set", *SCORES, "fingerprint"))
+    current = [name for name in fresh.columns if name in labelled.columns]
+    reused = reservation_prices(labelled.select(*current).join(scores, ["symbol", "date"]), config)
+    return fresh.unionByName(reused.select(*fresh.columns))
+
+
 def reservation_prices(scored: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """Price to accept today: prior close times the predicted ratio plus a buffer."""
     price = (

@@ -11,13 +11,12 @@ from tidemark.config import (
     BOOTSTRAP_SIMULATIONS, FEATURE_SETS, INSTRUMENTS, LEAD_RULES, POLICIES, Instrument,
 )
 from tidemark.functions.windows import spread_by_symbol
-from tidemark.operators import compare as C, metrics as M, selection as S
+from tidemark.operators import compare as C, metrics as M, selection as S, walkforward
 from tidemark.operators.features import build_features
 from tidemark.operators.filters import from_first_predicted
 from tidemark.operators.labels import add_monthly_labels, monthly_oracle
 from tidemark.operators.leads import attach_leads
 from tidemark.operators.quality import bad_prediction_months, data_quality, require
-from tidemark.operators.walkforward import walk_forward
 from tidemark.session import written
 from tidemark.sources import landed
 
@@ -146,7 +145,9 @@ def run_research(
 
     The labelled table with its leads and the predictions are written once: folds,
     baselines, rules and profile all read them. A ``first_complete_month`` column in the
-    daily table overrides the preset's month, symbol by symbol.
+    daily table overrides the preset's month, symbol by symbol. ``stored`` may be the
+    ``walk_forward_predictions`` of an earlier run. Symbols that no result table can have
+    are listed in ``refused`` with the reason.
     """
     own = "first_complete_month" in daily.columns
     first = F.col("first_complete_month") if own else instrument.first_complete_month
@@ -155,34 +156,45 @@ def run_research(
     daily = daily.drop("first_complete_month")
     oracle = monthly_oracle(labelled)
     sets = {name: FEATURE_SETS[name] for name in instrument.feature_sets}
-    fresh = walk_forward(labelled, instrument.model, sets, stored=stored)
-    predictions = written(
-        fresh if stored is None else fresh.unionByName(stored.select(*fresh.columns)), "predictions")
+    predictions = written(walkforward.predictions(labelled, instrument.model, sets, stored), "predictions")
     require(bad_prediction_months(predictions, ("symbol", "feature_set", "month")), "unusable predictions")
     tables = evaluate(daily, labelled, oracle, predictions, instrument, simulations=simulations)
-    return {"features": parts.features, "labelled": labelled, "monthly_oracle": oracle,
+    short = daily.select("symbol").distinct().join(predictions.select("symbol").distinct(), "symbol", "left_anti")
+    return {"refused": short.withColumn("reason", F.lit("too few complete months for a first training set")),
+            "features": parts.features, "labelled": labelled, "monthly_oracle": oracle,
             "walk_forward_predictions": predictions, **tables}
 
 
 def research_from_files(
     spark: SparkSession, daily_path: str, leads_folder: str, out_folder: str,
-    instruments: Sequence[Instrument] = INSTRUMENTS,
+    instruments: Sequence[Instrument] = INSTRUMENTS, default: Instrument | None = None,
 ) -> dict[str, dict[str, DataFrame]]:
     """The preset instruments over one daily table; results land under ``out_folder``.
 
     Instruments that differ only in name and first month share one job, so a market of
-    any number of symbols is one run.
+    any number of symbols is one run. Symbols without a preset follow ``default``; without
+    one they are written to ``refused``.
     """
     daily = landed.read_daily(spark, daily_path)
     leads = landed.load_leads(spark, leads_folder)
+    listed = settings_table(spark, instruments).select("symbol")
+    unlisted = written(daily.select("symbol").distinct().join(listed, "symbol", "left_anti"), "unlisted")
+    if default is None:
+        refused = unlisted.withColumn("reason", F.lit("no preset"))
+        refused.write.mode("overwrite").parquet(f"{out_folder.rstrip('/')}/refused")
     groups: dict[Instrument, list[Instrument]] = {}
     for instrument in instruments:
         common = replace(instrument, code="", display_name="", first_complete_month="")
         groups.setdefault(common, []).append(instrument)
+    shared = None if default is None else replace(default, code="", display_name="", first_complete_month="")
+    if shared is not None:
+        groups.setdefault(shared, [])
     results = {}
     for preset, members in groups.items():
         name = members[0].code if len(members) == 1 else f"{preset.primary_model}-{len(results)}"
         firsts = settings_table(spark, members).select("symbol", "first_complete_month")
+        if preset == shared:
+            firsts = firsts.unionByName(unlisted.withColumn("first_complete_month", F.lit(default.first_complete_month)))
         tables = run_research(
             daily.join(firsts, "symbol"), leads["tsm"], leads["sox"], leads["fx"],
             replace(preset, display_name=name))

@@ -33,7 +33,7 @@ def _day(text: str) -> Column:
 
 
 class Market:
-    """Source tables of the stand-in market; all lazy."""
+    """Source tables of the stand-in market; lazy but for ``landed``, which writes the day facts."""
 
     def __init__(self, spark: SparkSession, folder: str, symbols: str = "flag") -> None:
         self.spark, self.folder, self.symbols = spark, folder.rstrip("/"), symbols
@@ -57,7 +57,8 @@ class Market:
             symbol.alias("symbol"), date.alias("date"), units.alias("units"),
             (level / units).alias("price"), (F.col("l_quantity") * units).alias("quantity"),
             # Order of ticks in one number: order key, then price in cents (below 2^24).
-            (F.col("l_orderkey") * 16777216 + cents).alias("seq"),
+            F.when(cents.between(0, 16777215), F.col("l_orderkey") * 16777216 + cents).otherwise(
+                F.raise_error(F.lit("a price does not fit the tick order")).cast("long")).alias("seq"),
             "l_tax", "l_discount", "l_orderkey", F.col("l_quantity").alias("raw_quantity"),
         )
 
