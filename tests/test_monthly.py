@@ -22,18 +22,17 @@ def daily(spark, dates, opens, symbol="X"):
     return spark.createDataFrame([(symbol, d, float(o), float(o), float(o) + 0.5) for d, o in zip(dates, opens)], DAILY)
 
 
-def test_tied_lows_give_the_earlier_day(spark):
-    dates = [day("2024-01-02"), day("2024-01-03"), day("2024-01-04"), day("2024-02-01"), day("2024-02-02"), day("2024-03-01")]
-    out = add_monthly_labels(daily(spark, dates, [10, 9, 9, 8, 7, 5]), "2024-02")
+def test_first_of_equal_lows_is_the_oracle(spark):
+    dates = [day(f"2022-{d}") for d in ("05-02", "05-03", "05-04", "05-05", "06-01", "06-02", "07-01")]
+    out = add_monthly_labels(daily(spark, dates, [20, 17, 18, 17, 25, 22, 30]), "2022-06")
     got = rows(out, "date")
-    assert len(got) == 5
-    assert [r["oracle_date"] for r in got] == [day("2024-01-03")] * 3 + [day("2024-02-02")] * 2
-    assert [r["is_oracle"] for r in got] == [False, True, False, False, True]
-    assert [r["remaining_min_adjusted_open"] for r in got] == [9, 9, 9, 7, 7]
-    assert [r["previous_adjusted_close"] for r in got] == [None, 10.5, 9.5, 9.5, 8.5]
-    assert got[3]["remaining_min_log_ratio"] == pytest.approx(np.log(7 / 9.5))
+    assert [r["date"] for r in got if r["is_oracle"]] == [day("2022-05-03"), day("2022-06-02")]
+    assert [r["oracle_date"].day for r in got] == [3, 3, 3, 3, 2, 2]
+    assert [r["remaining_min_adjusted_open"] for r in got] == [17, 17, 17, 17, 22, 22]
+    assert [r["previous_adjusted_close"] for r in got] == [None, 20.5, 17.5, 18.5, 17.5, 25.5]
+    assert got[4]["remaining_min_log_ratio"] == pytest.approx(np.log(22 / 17.5))
     oracle = rows(monthly_oracle(out), "month")
-    assert [(r["month"], r["oracle_trading_day"], r["days_in_month"]) for r in oracle] == [("2024-01", 2, 3), ("2024-02", 2, 2)]
+    assert [(r["month"], r["oracle_trading_day"], r["days_in_month"]) for r in oracle] == [("2022-05", 2, 4), ("2022-06", 2, 2)]
 
 
 def test_prior_close_survives_the_first_month_cut(spark):
