@@ -282,6 +282,20 @@ def test_kmeans_tree_recall(spark, cloud, broken):
     assert rows(kmtree.nearest(vectors_of(spark, few))) == [{"query_id": 0, "rank": 1, "vec_id": 3, "score": 2 ** 0.5}]
 
 
+def test_kmeans_tree_combines_a_tasks_answers(monkeypatch):
+    rng = np.random.default_rng(9)
+    parts = [kmtree.rows_out([(np.full(5, q), rng.integers(0, 90, 5), rng.integers(0, 9, 5) / 4)]) for q in rng.integers(0, 6, 80)]
+    every = [row for part in parts for row in part.to_pylist()]
+    order = lambda r: (r["query_id"], r["score"], r["vec_id"])
+    want = [r for q in range(6) for r in sorted((r for r in every if r["query_id"] == q), key=order)[:7]]
+    for held in (10, 90, 10_000):  # handed on early, cut now and then, cut at the end
+        monkeypatch.setattr(kmtree, "HELD", held)
+        out = [row for part in kmtree.combined(iter(parts), 7) for row in part.to_pylist()]
+        assert [r for q in range(6) for r in sorted((r for r in out if r["query_id"] == q), key=order)[:7]] == want
+        assert held < 10_000 or sorted(out, key=order) == want
+    assert list(kmtree.combined(iter([]), 7)) == []
+
+
 # --- copies
 
 def plain_print(text, k):

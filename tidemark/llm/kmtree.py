@@ -22,7 +22,7 @@ from tidemark.session import written
 
 SAMPLE, PROBES, RECALL = 20_000, 200, 0.98
 BRANCHES, LEAF_ROWS, LEAVES, ROUNDS = 8, 256, 4_096, 12
-PAGE_ROWS, BLOCK = 2_048, 256
+PAGE_ROWS, BLOCK, HELD = 2_048, 256, 200_000
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -109,6 +109,35 @@ def rows_out(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Recor
         ["query_id", "vec_id", "score"])
 
 
+def nearest_kept(found: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """Each query's ``k`` nearest of what was found."""
+    query, name, score = (found.column(n).to_numpy() for n in ("query_id", "vec_id", "score"))
+    order = np.lexsort((name, score, query))
+    first = np.flatnonzero(np.diff(query[order], prepend=query[order][:1] - 1))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+    return found.take(pa.array(order[rank < k]))
+
+
+def combined(parts: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The same answers, each query's ``k`` nearest of a whole task instead of every page's.
+
+    A task holds ``HELD`` rows at most; where its queries need more than half of that, it hands them on.
+    """
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for part in parts:
+        held.append(part)
+        count += part.num_rows
+        if count >= HELD:
+            kept = nearest_kept(pa.Table.from_batches(held).combine_chunks().to_batches()[0], k)
+            held, count = [kept], kept.num_rows
+            if count > HELD // 2:
+                yield kept
+                held, count = [], 0
+    if count:
+        yield nearest_kept(pa.Table.from_batches(held).combine_chunks().to_batches()[0], k)
+
+
 def nearest_of(query: int, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     other = np.flatnonzero(ids != query)
     if len(other) > k:
@@ -130,7 +159,7 @@ def exact_nearest(rows: DataFrame, queries: list[tuple[int, list[float]]], k: in
             yield rows_out([nearest_of(name, np.sqrt(np.square(values - np.array(query)).sum(1)), ids, k)
                             for name, query in shared.value])
 
-    return best(rows.select("vec_id", "vector").mapInArrow(scan, FOUND), k)
+    return best(rows.select("vec_id", "vector").mapInArrow(lambda batches: combined(scan(batches), k), FOUND), k)
 
 
 def calibrate(tree: KMeansTree, queries: list[tuple[int, list[float]]], truth: dict[int, list[int]], recall: float) -> int:
@@ -194,7 +223,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
                 leaf = np.concatenate([np.array(order, np.int32) for order in orders])
                 yield batch.take(pa.array(row)).append_column("leaf", pa.array(leaf))
 
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(batch.num_rows):
                     asked_ids, asked, ids, values = (
@@ -204,6 +233,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
                     yield rows_out([nearest_of(name, np.sqrt(np.square(values - query).sum(1)), ids, k)
                                     for name, query in zip(asked_ids.tolist(), asked)])
 
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return combined(answers(batches), k)
+
         # pages of rows meet blocks of queries of their leaf; both are bounded, whatever a leaf holds
         blocks = paged(wanted.mapInArrow(routes, "vec_id long, vector array<double>, leaf int"), "leaf", BLOCK)
         blocks = blocks.withColumnsRenamed({"ids": "asked_ids", "values": "asked"})
