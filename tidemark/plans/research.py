@@ -16,7 +16,7 @@ from tidemark.operators.features import build_features
 from tidemark.operators.filters import from_first_predicted
 from tidemark.operators.labels import add_monthly_labels, monthly_oracle
 from tidemark.operators.leads import attach_leads
-from tidemark.operators.quality import bad_prediction_months, data_quality, require
+from tidemark.operators.quality import bad_prediction_months, data_quality, duplicate_keys, require
 from tidemark.session import written
 from tidemark.sources import landed
 
@@ -75,6 +75,8 @@ def evaluate(
     ruled = written(
         S.select_by_rules(rows, S.baseline_rules() + S.lead_rules()).select(*BOUGHT), "rule-purchases")
     policies = written(policy_purchases(predictions), "policy-purchases")
+    refuse_repeats(ruled)
+    refuse_repeats(policies, "feature_set")
     baselines = ruled.where(~F.col("strategy").isin(*LEAD_RULES))
     signals = ruled.where(F.col("strategy").isin(*LEAD_RULES))
     day1 = baselines.where("strategy = 'fixed_day_1'")
@@ -113,6 +115,11 @@ def evaluate(
     }
 
 
+def refuse_repeats(purchases: DataFrame, *key: str) -> None:
+    """Stop where a strategy buys more than once in a month."""
+    require(duplicate_keys(purchases, ("symbol", "strategy", "month", *key)), "more than one purchase in a month")
+
+
 def with_verdict(compared: DataFrame, with_interval: bool) -> DataFrame:
     if not with_interval:
         return compared
