@@ -174,22 +174,21 @@ def _(s):
 
 
 # -------------------------------------------------------------------------------- sinks
-@case("snk_01_raw_frames", """
-SELECT 'prices' AS source, count(*) AS rows FROM prices UNION ALL SELECT 'dividends', count(*) FROM dividends
-UNION ALL SELECT 'splits', count(*) FROM splits UNION ALL SELECT 'margin', count(*) FROM margin""")
+@case("snk_01_raw_frames", f"""
+SELECT 'prices' AS source, symbol, date, close AS value FROM prices UNION ALL
+SELECT 'splits', symbol, date, split_ratio FROM splits UNION ALL SELECT 'margin', symbol, date, margin_balance FROM margin
+UNION ALL SELECT 'dividends', symbol, date, {rounded("cash_dividend", 10)} FROM dividends""")
 def _(s):
     folder = fresh(s, "raw")
-    frames = {"prices": s.prices, "dividends": s.dividends, "splits": s.splits, "margin": s.margin}
-    landed.write_raw(frames, folder)
-    counts = [
+    frames = {"prices": (s.prices, "close"), "splits": (s.splits, "split_ratio"), "margin": (s.margin, "margin_balance"),
+              "dividends": (s.dividends, "cash_dividend")}
+    landed.write_raw({name: frame for name, (frame, _) in frames.items()}, folder)
+    parts = [
         s.spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
-        .agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("source"), "rows")
-        for name, frame in frames.items()
+        .select(F.lit(name).alias("source"), *KEY, F.col(value).cast("double").alias("value"))
+        for name, (frame, value) in frames.items()
     ]
-    total = counts[0]
-    for one in counts[1:]:
-        total = total.unionByName(one)
-    return total
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(tidy(parts[3], digits=10))
 
 
 @case("snk_02_daily_by_symbol", f"SELECT symbol, date, {BAR} FROM prices")
@@ -221,14 +220,14 @@ def _(s):
 
 
 @case("snk_05_purchases", """
-SELECT strategy, count(*) AS rows FROM (SELECT strategy FROM policy_bought UNION ALL SELECT strategy FROM lead_bought)
-GROUP BY strategy""")
+SELECT symbol, strategy, month, round(regret, 6) AS regret
+FROM (SELECT symbol, strategy, month, regret FROM policy_bought UNION ALL SELECT symbol, strategy, month, regret FROM lead_bought)""")
 def _(s):
     folder = fresh(s, "purchases")
     both = s.policy_bought.unionByName(s.lead_bought, allowMissingColumns=True)
     landed.write_results({"purchases": both}, folder)
     back = s.spark.read.schema(both.schema).parquet(f"{folder}/purchases")
-    return back.groupBy("strategy").agg(F.count(F.lit(1)).alias("rows"))
+    return columns(back, "symbol, strategy, month, regret")
 
 
 @case("snk_06_metrics_json", """
