@@ -233,3 +233,28 @@ def test_whole_study_from_files(spark, tmp_path):
     assert primary["improvement_bps"] == pytest.approx(chosen["improvement_bps"])
     names = set(column(tables["oracle_feature_profile"], "feature"))
     assert "ret_5" in names and "fund_flow_5" not in names
+
+
+def test_every_symbol_follows_a_preset_the_default_or_is_refused(spark, tmp_path, monkeypatch):
+    from tidemark import schemas
+    from tidemark.sources import landed
+
+    path = str(tmp_path / "daily")
+    blank = [F.lit(None).cast(field.dataType).alias(field.name) for field in schemas.DAILY.fields if field.name != "symbol"]
+    spark.createDataFrame([("VT",), ("VX",), ("Q",)], "symbol string").select("symbol", *blank).write.parquet(path)
+    taken = []
+
+    def study(daily, *_, **__):
+        taken.append({r["symbol"]: r["first_complete_month"] for r in rows(daily)})
+        return {"strategy_metrics": spark.range(1)}
+
+    monkeypatch.setattr(research, "run_research", study)
+    monkeypatch.setattr(landed, "load_leads", lambda *_: dict.fromkeys(landed.LEAD_FILES))
+    presets = [replace(US_VT, first_complete_month="2020-01"),
+               replace(US_VT, code="VX", first_complete_month="2020-03", primary_model="all")]
+    research.research_from_files(spark, path, "", str(tmp_path / "a"), presets)
+    assert taken == [{"VT": "2020-01"}, {"VX": "2020-03"}]
+    assert rows(spark.read.parquet(str(tmp_path / "a" / "refused"))) == [{"symbol": "Q", "reason": "no preset"}]
+    taken.clear()
+    research.research_from_files(spark, path, "", str(tmp_path / "b"), presets, replace(US_VT, first_complete_month="2021-01"))
+    assert taken == [{"VT": "2020-01", "Q": "2021-01"}, {"VX": "2020-03"}]

@@ -173,6 +173,28 @@ def _(s):
     return assemble.official_from_issuer(s.nav)
 
 
+def year_files(market, institutions: DataFrame) -> dict[str, DataFrame]:
+    """(symbol, payload) per source: one response of each symbol and year."""
+    cash = F.col("cash_dividend").alias("stock_and_cache_dividend")
+    before = (F.col("split_ratio") * 50.0).alias("before_price")
+    rows = {
+        "prices": (market.prices, renamed(parsers.PRICE_FIELDS)),
+        "dividends": (market.dividends, [text_date(), cash, F.lit("除息").alias("stock_or_cache_dividend")]),
+        "splits": (market.splits, [text_date(), F.lit("分割").alias("type"), before, F.lit(50.0).alias("after_price")]),
+        "margin": (market.margin, renamed(parsers.MARGIN_FIELDS)),
+        "institutions": (institutions, [text_date(), *map(F.col, ("name", "buy", "sell"))]),
+        "nav": (market.nav, [F.date_format("date", "yyyy-MM-dd").alias("UPDATE_T"),
+                             *[F.col(name).alias(raw) for raw, name in parsers.NAV_FIELDS.items()]]),
+    }
+    files = {}
+    for name, (table, fields) in rows.items():
+        data = F.collect_list(F.struct(*fields))
+        body = (F.struct(F.lit(0).alias("ResultCode"), F.lit("ok").alias("ResultMsg"), data.alias("Data")) if name == "nav"
+                else F.struct(F.lit(200).alias("status"), F.lit("success").alias("msg"), data.alias("data")))
+        files[name] = table.groupBy("symbol", F.year("date").alias("_y")).agg(F.to_json(body).alias("payload")).drop("_y")
+    return files
+
+
 # -------------------------------------------------------------------------------- sinks
 @case("snk_01_raw_frames", f"""
 SELECT 'prices' AS source, symbol, date, close AS value FROM prices UNION ALL
@@ -199,16 +221,19 @@ def _(s):
     return back.select(*KEY, *BAR.split(", "))
 
 
-@case("snk_03_result_tables", """
-SELECT 'labelled' AS name, count(*) AS rows FROM labelled UNION ALL SELECT 'oracle', count(*) FROM oracle""")
+@case("snk_03_result_tables", f"""
+SELECT 'labelled' AS name, symbol, date, {rounded("regret").split(" AS ")[0]} AS value FROM labelled UNION ALL
+SELECT 'oracle', symbol, oracle_date, {rounded("oracle_adjusted_open").split(" AS ")[0]} FROM oracle""")
 def _(s):
     folder = fresh(s, "results")
-    landed.write_results({"labelled": s.labelled, "oracle": s.oracle}, folder)
-    counts = [
-        s.spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit(name).alias("name"), "rows") for name in ("labelled", "oracle")
+    tables = {"labelled": (s.labelled, "date", "regret"), "oracle": (s.oracle, "oracle_date", "oracle_adjusted_open")}
+    landed.write_results({name: table for name, (table, _, _) in tables.items()}, folder)
+    first, second = [
+        s.spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+        .select(F.lit(name).alias("name"), "symbol", F.col(date).alias("date"), F.col(value).alias("value"))
+        for name, (table, date, value) in tables.items()
     ]
-    return counts[0].unionByName(counts[1])
+    return tidy(first.unionByName(second))
 
 
 @case("snk_04_predictions", "SELECT symbol, count(*) AS rows, round(sum(near_probability), 6) AS total FROM predictions GROUP BY symbol")

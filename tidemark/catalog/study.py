@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog.ingest import fresh, year_files
 from tidemark.catalog.monthly import PROFILE, WEALTH, _ranks
 from tidemark.catalog.registry import case, columns, tidy
 from tidemark.catalog.sqltext import FEATURE_LIST, METRICS, rounded
@@ -14,6 +15,7 @@ from tidemark.functions import scalars as X
 from tidemark.operators import compare as C, metrics as M, selection as S, walkforward as W
 from tidemark.operators.quality import KEY
 from tidemark.plans import research
+from tidemark.plans.daily import daily_from_files
 from tidemark.session import written
 from tidemark.sources.standin import DEVELOPMENT_START, FIRST_MONTH, HOLDOUT, INITIAL_MONTHS
 
@@ -472,6 +474,21 @@ def _(s):
                    "official_close_source", 7)
 
 
+@case("e2e_02_landed_files", f"""
+SELECT symbol, date, {rounded("nav, cash_dividend, adjusted_close, adjusted_open, total_return_index, distribution_yield_ttm", 7)},
+       close, volume, split_ratio, margin_balance, institutional_net, official_close, feature_available_date,
+       official_close_source FROM daily""")
+def _(s):
+    root = fresh(s, "landed")
+    for name, payloads in year_files(s.landed, s.institutions_raw).items():
+        # one response per file, as the vendors' answers land
+        payloads.write.partitionBy("symbol").option("maxRecordsPerFile", 1).text(f"{root}/{name}")
+    return columns(daily_from_files(s.spark, root, fresh(s, "daily")),
+                   "symbol, date, nav, cash_dividend, adjusted_close, adjusted_open, total_return_index, distribution_yield_ttm",
+                   "close, volume, split_ratio, margin_balance, institutional_net, official_close, feature_available_date, "
+                   "official_close_source", 7)
+
+
 DAY1 = f"SELECT symbol, {METRICS} FROM (SELECT *, CAST(NULL AS BOOLEAN) AS forced FROM labelled WHERE trading_day = 1) GROUP BY symbol"
 
 
@@ -514,17 +531,11 @@ def _(s):
 
 
 @case("e2e_04_presets_by_symbol", """
-SELECT symbol, min(strftime(date, '%Y-%m')) AS first_month, count(*) AS rows FROM prices
-WHERE strftime(date, '%Y-%m') >= CASE WHEN symbol LIKE 'A%' THEN '1996-01' ELSE '1998-07' END GROUP BY symbol""")
-def _(s):
-    from tidemark.config import US_VT
-
-    presets = [
-        replace(STAND_IN if symbol[0] == "A" else US_VT, code=symbol,
-                first_complete_month="1996-01" if symbol[0] == "A" else "1998-07")
-        for symbol in ("AF", "AO", "NF", "NO", "RF", "RO")
-    ]
-    settings = research.settings_table(s.spark, presets).withColumnRenamed("code", "symbol")
-    dated = s.prices.withColumn("month", X.month_of("date")).join(settings, "symbol")
-    return dated.where(F.col("month") >= F.col("first_complete_month")).groupBy("symbol").agg(
-        F.min("month").alias("first_month"), F.count(F.lit(1)).alias("rows"))
+SELECT symbol, min(month) AS first_month, count(*) AS rows FROM labelled
+WHERE month >= CASE WHEN symbol LIKE 'A%' THEN '1996-01' ELSE '1998-07' END GROUP BY symbol""")
+def _(s):
+    presets = [replace(STAND_IN, code=code, first_complete_month="1996-01") for code in ("AF", "AO")]
+    daily = written(s.daily, "daily")
+    firsts = research.first_months(daily, presets, replace(STAND_IN, first_complete_month="1998-07"))
+    parts = research.prepare(daily.join(firsts, "symbol"), F.col("first_complete_month"))
+    return parts.labelled.groupBy("symbol").agg(F.min("month").alias("first_month"), F.count(F.lit(1)).alias("rows"))

@@ -184,10 +184,9 @@ def research_from_files(
     """
     daily = landed.read_daily(spark, daily_path)
     leads = landed.load_leads(spark, leads_folder)
-    listed = settings_table(spark, instruments).select("symbol")
-    unlisted = written(daily.select("symbol").distinct().join(listed, "symbol", "left_anti"), "unlisted")
+    symbols = written(first_months(daily, instruments, default), "first-months")
     if default is None:
-        refused = unlisted.withColumn("reason", F.lit("no preset"))
+        refused = symbols.where("NOT listed").select("symbol", F.lit("no preset").alias("reason"))
         refused.write.mode("overwrite").parquet(f"{out_folder.rstrip('/')}/refused")
     groups: dict[Instrument, list[Instrument]] = {}
     for instrument in instruments:
@@ -199,9 +198,10 @@ def research_from_files(
     results = {}
     for preset, members in groups.items():
         name = members[0].code if len(members) == 1 else f"{preset.primary_model}-{len(results)}"
-        firsts = settings_table(spark, members).select("symbol", "first_complete_month")
+        mine = F.col("symbol").isin([member.code for member in members])
         if preset == shared:
-            firsts = firsts.unionByName(unlisted.withColumn("first_complete_month", F.lit(default.first_complete_month)))
+            mine = mine | ~F.col("listed")
+        firsts = symbols.where(mine).select("symbol", "first_complete_month")
         tables = run_research(
             daily.join(firsts, "symbol"), leads["tsm"], leads["sox"], leads["fx"],
             replace(preset, display_name=name))
@@ -212,6 +212,14 @@ def research_from_files(
     return results
 
 
+def first_months(daily: DataFrame, instruments: Sequence[Instrument], default: Instrument | None = None) -> DataFrame:
+    """``symbol, first_complete_month, listed`` of every symbol: its preset's month, else the default's, else NULL."""
+    own = settings_table(daily.sparkSession, instruments).select("symbol", F.col("first_complete_month").alias("_own"))
+    month = F.coalesce("_own", F.lit(default.first_complete_month if default else None))
+    return daily.select("symbol").distinct().join(own, "symbol", "left").select(
+        "symbol", month.alias("first_complete_month"), F.col("_own").isNotNull().alias("listed"))
+
+
 def settings_table(spark: SparkSession, instruments: Sequence[Instrument] = INSTRUMENTS) -> DataFrame:
     """Instrument presets as a table to join by symbol."""
     rows = [
