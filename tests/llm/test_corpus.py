@@ -374,6 +374,22 @@ def test_keep_one_of_each_group(spark, odd, nothing):
     assert left.where("doc_id is null").count() == 1 and simhash.keep_one(nothing).count() == 0
 
 
+def test_keep_one_decides_on_whole_sets(spark):
+    texts = []
+    for size in (600, 1_500, 5_000):
+        for group in range(10):
+            words = [f"s{size}g{group}w{n}" for n in range(size + 4)]
+            # shared / (2 size - shared) is 0.8 at shared = 8 / 9 size: just below it, or at it
+            shared = -(-8 * size // 9) - 4 * (group % 2)
+            texts += [" ".join(words), " ".join(words[:shared + 4] + [f"s{size}g{group}o{n}" for n in range(size - shared)])]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    ratios = [len(sets[n] & sets[n + 1]) / len(sets[n] | sets[n + 1]) for n in range(0, len(texts), 2)]
+    assert 0.78 < min(ratios) < 0.8 <= max(ratios) < 0.81
+    linked = [n for n in range(0, len(texts), 2) if set(sorted(sets[n])[:4]) & set(sorted(sets[n + 1])[:4])]
+    want = sorted({n for n in range(len(texts))} - {n + 1 for n in linked if ratios[n // 2] >= 0.8})
+    assert len(linked) >= len(ratios) - 1 and sorted(r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()) == want
+
+
 def test_components_settle(spark):
     chain = [(n, n + 1) for n in range(50)] + [(100, n) for n in range(101, 160)] + [(7, 7)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

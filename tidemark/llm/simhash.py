@@ -21,6 +21,8 @@ BATCH_BYTES = 16 << 20
 CHUNK = 8_192
 #: Rows that a task holds at least before it compares, and (query, word) items per pass.
 HELD, ITEMS = 1 << 17, 1 << 14
+#: Bytes that a task holds at least before it compares, and bytes of shingle sets in a chunk.
+HELD_BYTES, CHUNK_BYTES = 32 << 20, 16 << 20
 #: One fingerprint in so many is looked at to find groups that need cutting.
 LOOKED_AT = 16
 ONES = np.uint64(2**64 - 1)
@@ -199,13 +201,14 @@ def group_edges(groups: DataFrame, node: str, radius: int,
             nodes = rows[node].combine_chunks()
             return pa.RecordBatch.from_arrays([nodes.take(pa.array(tied)), nodes.take(pa.array(roots[tied]))], ["a", "b"])
 
-        size = 0
+        size = weight = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size >= HELD:
+            weight += batch.nbytes
+            if size >= HELD or weight >= HELD_BYTES:
                 rows = pa.Table.from_batches(held).combine_chunks()
                 group = rows["group"].to_numpy()
                 cut = int(np.searchsorted(group == group[-1], True))  # the last group may go on
@@ -213,7 +216,7 @@ def group_edges(groups: DataFrame, node: str, radius: int,
                     if (out := compare(rows.slice(0, cut))) is not None:
                         yield out
                     rows = rows.slice(cut)
-                held, size = rows.to_batches(), rows.num_rows
+                held, size, weight = rows.to_batches(), rows.num_rows, rows.nbytes
         if held and (out := compare(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield out
 
@@ -283,7 +286,7 @@ def hex16(value: Column) -> Column:
 
 # --- keeping one text of each group of near copies -------------------------------------------------
 
-COPY_WORDS, SIMILARITY, COPY_RADIUS, KEYS, SKETCH = 5, 0.8, 20, 4, 512
+COPY_WORDS, SIMILARITY, COPY_RADIUS, KEYS = 5, 0.8, 20, 4
 
 
 def text_node() -> Column:
@@ -291,51 +294,61 @@ def text_node() -> Column:
     return F.md5(F.when(whole_text().rlike(WORD), whole_text()).otherwise(""))
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, node, print, keys, sketch`` per row: the text's digest, its fingerprint, its smallest
-    shingle hashes, and up to ``SKETCH`` smallest 32-bit shingle hashes."""
+def smallest(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, node, keys, shingles`` per row: the text's digest, its smallest shingle hashes, and how
+    many different ones it has."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
-            prints, keys, kept = [], [], []
+            keys, counts = [], []
             for text in batch.column("text").to_pylist():
-                hashes = shingle_hashes(text.encode(), words)
-                prints.append(majority(hashes))
-                distinct = np.unique(hashes)
+                distinct = np.unique(shingle_hashes(text.encode(), words))
                 keys.append(distinct[:KEYS].view(np.int64).tolist())
-                kept.append(np.unique((distinct >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
+                counts.append(len(distinct))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), pa.array(prints, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                ["doc_id", "node", "print", "keys", "sketch"])
+                [batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.int64())],
+                ["doc_id", "node", "keys", "shingles"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node().alias("node"), whole_text().alias("text"))
-    return keyed.mapInArrow(sketch, "doc_id long, node string, print long, keys array<long>, sketch binary")
+    return keyed.mapInArrow(sketch, "doc_id long, node string, keys array<long>, shingles long")
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``node, groups, print, shingles`` of ``texts(node, groups, text)``: every different shingle hash in
+    order, and the fingerprint."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH_BYTES):
+            prints, kept = [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_hashes(text.encode(), words)
+                distinct = np.unique(hashes)
+                prints.append(majority(hashes))
+                kept.append(distinct.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("groups"), pa.array(prints, pa.int64()), pa.array(kept, pa.binary())],
+                ["node", "groups", "print", "shingles"])
+
+    return texts.select("node", "groups", "text").mapInArrow(sets, "node string, groups array<long>, print long, shingles binary")
+
+
+def set_of(rows: pa.Table, row: int) -> np.ndarray:
+    return np.frombuffer(rows["shingles"][row].as_buffer(), "<u8")
 
 
 def alike(similarity: float) -> Callable[[np.ndarray, np.ndarray, pa.Table], np.ndarray]:
-    """Refuses pairs whose sketches say they are less similar: exact where both sets are within a sketch."""
+    """Refuses pairs whose whole shingle sets are less similar."""
     def check(a: np.ndarray, b: np.ndarray, rows: pa.Table) -> np.ndarray:
-        column = rows["sketch"]
         seen: dict[int, np.ndarray] = {}
 
         def of(row: int) -> np.ndarray:
             if row not in seen:
-                seen[row] = np.frombuffer(column[row].as_py(), "<u4")
+                seen[row] = set_of(rows, row)
             return seen[row]
 
         good = np.zeros(len(a), bool)
         for at, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-            first, second = of(x), of(y)
-            merged = np.sort(np.concatenate([first, second]))
-            twice = merged[1:] == merged[:-1]
-            union = len(merged) - int(twice.sum())
-            if union > SKETCH:  # the smallest of the union
-                place = np.cumsum(np.concatenate([[True], ~twice]))
-                end = int(np.searchsorted(place, SKETCH, "right"))
-                union, shared = SKETCH, int(twice[:max(0, end - 1)].sum())
-            else:
-                shared = int(twice.sum())
-            good[at] = shared >= similarity * union if union else True
+            merged = np.sort(np.concatenate([of(x), of(y)]))
+            shared = int((merged[1:] == merged[:-1]).sum())
+            good[at] = shared >= similarity * (len(merged) - shared)
         return good
 
     return check
@@ -345,25 +358,29 @@ def keep_one(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMIL
     """``docs`` with one row of each group of exact and near copies: the one with the smallest doc_id.
 
     Different texts that share one of their ``KEYS`` smallest shingle hashes are compared on bit planes
-    within ``COPY_RADIUS`` bits, and links are confirmed on the shingle sets, at ``similarity`` or more of
-    their union. Two sets of that similarity share a key but for one pair in several hundred. Groups are
-    connected components. Null texts and texts without words are copies of
-    each other. A null doc_id counts as the
-    largest. Of fully repeated rows one stays. Columns and their order stay.
+    within ``COPY_RADIUS`` bits, and link when their whole sets of shingles have ``similarity`` or more of
+    their union. Two sets of that similarity share a key but for one
+    pair in several hundred. Groups are connected components. Null texts and texts without words are
+    copies of each other. A null doc_id counts as the largest. Of fully repeated rows one stays. Columns
+    and their order stay.
     """
-    rows = written(sketches(docs, words), "copies-sketch")
-    null_last = F.coalesce("doc_id", F.lit(2**63 - 1))
-    texts = written(rows.groupBy("node").agg(F.min(null_last).alias("least"), F.first("print").alias("print"),
-                                             F.first("keys").alias("keys")), "copies-texts")
-    keyed = texts.select("node", F.explode("keys").alias("key"))
-    counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(counted, "copies-keys")
-    large = shared.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / F.lit(CHUNK)).alias("chunks"))
-    members = cut_large(keyed.join(shared.select("key"), "key"), large, "node")
+    rows = written(smallest(docs, words), "copies-keys-of")
+    null_last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    texts = written(rows.groupBy("node").agg(F.min(null_last).alias("least"), F.first("keys").alias("keys"),
+                                             F.first("shingles").alias("shingles")), "copies-texts")
+    keyed = texts.select("node", "shingles", F.explode("keys").alias("key"))
+    counted = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum("shingles").alias("shingles"),
+        *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in range(2)]).where("n > 1")
+    # keys of the same texts give the same pairs: one of them is enough
+    shared = written(counted.groupBy("n", "shingles", "mark0", "mark1").agg(F.min("key").alias("key")), "copies-keys")
+    chunks = F.ceil(F.greatest(F.col("n") / F.lit(CHUNK), F.col("shingles") * 8 / F.lit(CHUNK_BYTES)))
+    large = shared.select("key", chunks.alias("chunks")).where("chunks > 1")
+    members = cut_large(keyed.select("node", "key").join(shared.select("key"), "key"), large, "node")
     per_text = members.groupBy("node").agg(F.collect_set("group").alias("groups"))
-    wanted = per_text.join(texts.select("node", "least"), "node")
-    held = rows.select("node", "print", "sketch", null_last.alias("least")).join(wanted, ["node", "least"])
-    groups = held.select("node", "print", "sketch", F.explode("groups").alias("group"))
+    wanted = written(per_text.join(texts.select("node", "least"), "node"), "copies-wanted")
+    held = docs.select(text_node().alias("node"), null_last.alias("least"), whole_text().alias("text")).join(wanted, ["node", "least"])
+    groups = shingle_sets(held, words).select("node", "print", "shingles", F.explode("groups").alias("group"))
     root = components(group_edges(groups, "node", COPY_RADIUS, alike(similarity)))
     placed = texts.select("node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct("least", "node")).alias("best")).select("best.*")
