@@ -374,6 +374,20 @@ def test_keep_one_of_each_group(spark, odd, nothing):
     assert left.where("doc_id is null").count() == 1 and simhash.keep_one(nothing).count() == 0
 
 
+def test_keep_one_counts_repeated_lines_once(spark):
+    texts, line = [], " ".join(f"again{n}" for n in range(12))
+    for group in range(12):
+        words = " ".join(f"r{group}w{n}" for n in range(300))
+        texts += [f"{words} {line}", f"{words} " + " ".join([line] * 40)]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()) == list(range(0, 24, 2))
+
+
+def test_keep_one_joins_beyond_the_radius(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COPY_RADIUS", 0)
+    texts = [" ".join(f"g{group}w{n}" for n in range(first, first + 400)) for group in range(8) for first in (0, 10, 20)]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()) == list(range(0, 24, 3))
+
+
 def test_keep_one_decides_on_whole_sets(spark):
     texts = []
     for size in (600, 1_500, 5_000):

@@ -167,10 +167,12 @@ class Forest:
 
 
 def group_edges(groups: DataFrame, node: str, radius: int,
-                check: Callable[[np.ndarray, np.ndarray, pa.Table], np.ndarray] | None = None) -> DataFrame:
+                check: Callable[[np.ndarray, np.ndarray, pa.Table], np.ndarray] | None = None,
+                rest: Callable[[pa.Table, np.ndarray, Forest], None] | None = None) -> DataFrame:
     """A spanning forest ``a, b`` (of ``node``) of the links within each group of ``groups(group, print, node, ...)``.
 
     Rows are exchanged by group. ``check`` may refuse links: it gets row pairs that are not yet joined.
+    ``rest`` joins what is alike beyond ``radius``; it gets the rows, the groups' sizes and the forest.
     """
     kind = dict(groups.dtypes)[node]
 
@@ -196,6 +198,8 @@ def group_edges(groups: DataFrame, node: str, radius: int,
                         forest.join(x[good], y[good])
                 else:
                     forest.join(a, b)
+            if rest is not None:
+                rest(rows, sizes, forest)
             roots = forest.roots(np.arange(rows.num_rows))
             tied = np.flatnonzero(roots != np.arange(len(roots)))
             nodes = rows[node].combine_chunks()
@@ -286,7 +290,7 @@ def hex16(value: Column) -> Column:
 
 # --- keeping one text of each group of near copies -------------------------------------------------
 
-COPY_WORDS, SIMILARITY, COPY_RADIUS, KEYS = 5, 0.8, 20, 4
+COPY_WORDS, SIMILARITY, COPY_RADIUS, KEYS, BINS = 5, 0.8, 20, 4, 256
 
 
 def text_node() -> Column:
@@ -314,14 +318,13 @@ def smallest(docs: DataFrame, words: int) -> DataFrame:
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """``node, groups, print, shingles`` of ``texts(node, groups, text)``: every different shingle hash in
-    order, and the fingerprint."""
+    order, and the fingerprint in which each has one vote, however often it stands in the text."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
             prints, kept = [], []
             for text in batch.column("text").to_pylist():
-                hashes = shingle_hashes(text.encode(), words)
-                distinct = np.unique(hashes)
-                prints.append(majority(hashes))
+                distinct = np.unique(shingle_hashes(text.encode(), words))
+                prints.append(majority(distinct))
                 kept.append(distinct.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("groups"), pa.array(prints, pa.int64()), pa.array(kept, pa.binary())],
@@ -354,12 +357,46 @@ def alike(similarity: float) -> Callable[[np.ndarray, np.ndarray, pa.Table], np.
     return check
 
 
+def all_alike(similarity: float) -> Callable[[pa.Table, np.ndarray, Forest], None]:
+    """Joins every pair of a group that is similar enough, however far apart the fingerprints are.
+
+    Pairs already joined are left out, and those that cannot reach ``similarity``: two sets share at most
+    the sum, over ``BINS`` ranges of hashes, of the smaller count.
+    """
+    check = alike(similarity)
+
+    def rest(rows: pa.Table, sizes: np.ndarray, forest: Forest) -> None:
+        lengths = pa.compute.binary_length(rows["shingles"]).to_numpy().astype(np.int64) // 8
+        first = 0
+        for size in sizes.tolist():
+            members = np.arange(first, first + size)
+            first += size
+            if len(np.unique(forest.roots(members))) == 1:
+                continue
+            members = members[np.argsort(lengths[members], kind="stable")]
+            count = lengths[members]
+            bins = np.stack([np.bincount((set_of(rows, row) >> np.uint64(56)).astype(np.int64), minlength=BINS) for row in members.tolist()]).astype(np.uint32)
+            upto = np.searchsorted(count, count / similarity + 1, "right")
+            for at in range(size - 1):
+                others = np.arange(at + 1, upto[at])
+                others = others[forest.roots(members[others]) != forest.roots(members[at:at + 1])]
+                most = np.minimum(bins[others], bins[at]).sum(1, dtype=np.int64)
+                others = others[most >= similarity * (count[at] + count[others] - most)]
+                if len(others):
+                    near = members[others]
+                    mine = np.full(len(near), members[at])
+                    good = check(mine, near, rows)
+                    forest.join(mine[good], near[good])
+
+    return rest
+
+
 def keep_one(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of exact and near copies: the one with the smallest doc_id.
 
-    Different texts that share one of their ``KEYS`` smallest shingle hashes are compared on bit planes
-    within ``COPY_RADIUS`` bits, and link when their whole sets of shingles have ``similarity`` or more of
-    their union. Two sets of that similarity share a key but for one
+    Different texts that share one of their ``KEYS`` smallest shingle hashes link when their whole sets of
+    shingles have ``similarity`` or more of their union. Bit planes find the pairs within ``COPY_RADIUS``
+    bits first; pairs beyond are checked as well. Two sets of that similarity share a key but for one
     pair in several hundred. Groups are connected components. Null texts and texts without words are
     copies of each other. A null doc_id counts as the largest. Of fully repeated rows one stays. Columns
     and their order stay.
@@ -381,7 +418,7 @@ def keep_one(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMIL
     wanted = written(per_text.join(texts.select("node", "least"), "node"), "copies-wanted")
     held = docs.select(text_node().alias("node"), null_last.alias("least"), whole_text().alias("text")).join(wanted, ["node", "least"])
     groups = shingle_sets(held, words).select("node", "print", "shingles", F.explode("groups").alias("group"))
-    root = components(group_edges(groups, "node", COPY_RADIUS, alike(similarity)))
+    root = components(group_edges(groups, "node", COPY_RADIUS, alike(similarity), all_alike(similarity)))
     placed = texts.select("node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct("least", "node")).alias("best")).select("best.*")
     times = rows.select("node", null_last.alias("least")).groupBy("node", "least").agg(F.count("*").alias("times"))
