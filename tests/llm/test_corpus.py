@@ -210,6 +210,17 @@ def test_disclosing_terms(spark):
     assert all("term" not in r["spans"] for r in pii.report(pii.find(everywhere)).collect())
 
 
+def test_terms_disclose_from_anywhere_in_two_texts(spark):
+    far = " the foo bar baz" * 12
+    made = [f"a{n} Project-Falcon{far} mail joe@corp.example.com the w{n}" for n in range(2)]
+    made += [f"the foo bar baz mail x{n} other" for n in range(200)]
+    made += [f"b{n} Alone-Word the mail only@once.example.com foo" for n in range(1)] * 2  # one text: no evidence
+    kept = rows(pii.sanitise(pii.find(docs_of(spark, made))), "doc_id")
+    assert [r["text"] for r in kept[:2]] == [f"a{n} [term]{far} mail [email] the w{n}" for n in range(2)]
+    assert [r["text"] for r in kept[2:202]] == made[2:202]
+    assert {r["text"] for r in kept[202:]} == {"b0 Alone-Word the mail [email] foo"}
+
+
 # --- vectors
 
 def vectors_of(spark, values):

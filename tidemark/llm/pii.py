@@ -9,13 +9,15 @@ backtracking over long runs. A match that fails its check is dropped and not tri
 The information-theoretic part follows the idea that a term t discloses a value c as far as its pointwise
 mutual information with c reaches the information content of c:
 
-    disclosure(t, c) = PMI(t; c) / IC(c),  PMI = log2(n(t,c) N / (n(t) n(c))),  IC = log2(N / n(c))
-
-with n counted in documents over the whole corpus. Candidates are the words within ``REACH`` code points
-of a value; counting them over all documents needs no word of other contexts to be exchanged. A term
-must have been seen beside the value in ``SUPPORT`` different surroundings, so that copies of one
-passage are one piece of evidence. Terms at or above ``THRESHOLD`` are added as spans of kind ``term``
-wherever they stand in documents that hold the value.
+    disclosure(t, c) = PMI(t; c) / IC(c),  PMI = log2(n(t,c) N / ((n(t) + 1) n(c))),  IC = log2(N / n(c))
+
+with n counted in documents over the whole corpus. The one added to n(t) stands for a document that holds
+the term without the value and has not been seen: it costs a term of two documents 0.58 bits and one of
+many nearly nothing, so a rare term must give a value of more information. Candidates are all words of
+the documents that hold a value, wherever they stand. A term must stand with the value in ``SUPPORT``
+different texts, so that copies of one text are one piece of evidence: in a single text every word that
+is new to the corpus would count as giving its values away. Terms at or above ``THRESHOLD`` are added as
+spans of kind ``term`` wherever they stand in documents that hold the value.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ PATTERNS = {
 #: A text without this cannot match.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 BYTE = r"^(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
-REACH, SUPPORT, THRESHOLD = 64, 3, 0.9
+SUPPORT, THRESHOLD = 2, 0.9
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -95,64 +97,64 @@ def digest(spans: Column) -> Column:
         ":", F.element_at(names, span["kind"] + 1), span["start"].cast("string"), span["end"].cast("string"))), ",")
 
 
-def disclosing_terms(texts: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosing_terms(texts: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """``kind, value, term, disclosure`` over ``texts(text, spans)``: one row per disclosing pair."""
-    beside = (texts.where(F.size("spans") > 0)
-              .select(F.monotonically_increasing_id().alias("doc"), "text", F.explode("spans").alias("span"))
-              .select("doc", "span.kind", "span.value",
-                      F.expr(f"substring(text, greatest(span.start - {reach}, 0) + 1, span.start - greatest(span.start - {reach}, 0))").alias("left"),
-                      F.expr(f"substring(text, span.end + 1, {reach})").alias("right"),
-                      (F.col("span.start") > reach).alias("cut")))
-    # the outermost words may be cut off, so they do not count
-    left, right = F.split("left", GAP), F.split("right", GAP)
-    words = F.concat(F.slice(left, F.when(F.col("cut"), 2).otherwise(1), F.size(left)),
-                     F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0))))
-    words = F.array_distinct(F.filter(words, lambda word: (F.char_length(word) > 1) & ~word.rlike(r"[@0-9]")))
-    near = written(beside.select("doc", "kind", "value", F.xxhash64("left", "right").alias("around"), words.alias("terms")), "pii-near")
-    pairs = near.select("doc", "kind", "value", "around", F.explode("terms").alias("term"))
-    # different surroundings first: what a passage repeats is one row here, however often it is copied
-    seen = (pairs.groupBy("kind", "value", "term", "around").agg(F.lit(1))
-            .groupBy("kind", "value", "term").agg(F.count("*").alias("surroundings")).where(F.col("surroundings") >= support))
-    # A term stands in as many documents at least as it stands beside values in. Where that alone keeps
-    # its disclosure below the threshold, even if every document of the value held it, it need not be counted.
+    values = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    words = F.array_distinct(F.filter(F.split("text", GAP), lambda word: (F.char_length(word) > 1) & ~word.rlike(r"[@0-9]")))
     n = texts.count()
-    beside_any = pairs.select("doc", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    n_value = near.select("doc", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_value"))
+    # a row per different text; copies count as documents, not as evidence
+    hits = written(texts.where(F.size("spans") > 0).select(F.md5("text").alias("key"), values.alias("values"), words.alias("terms"))
+                   .groupBy("key").agg(F.count("*").alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms")), "pii-hits")
+    held = hits.select("key", "copies", F.explode("values").alias("v")).select("key", "copies", "v.*")
+    # A term stands in as many documents at least as it stands with values in. Where that alone keeps its
+    # disclosure below the threshold, even if every document of the value held it, it need not be counted.
     most = F.col("n_value") * F.pow(F.lit(float(n)) / F.col("n_value"), F.lit(1 - threshold)) * (1 + 1e-9)
-    candidates = written(seen.join(n_value, ["kind", "value"]).join(beside_any, "term").where(F.col("n_near") <= most)
-                         .select("kind", "value", "term"), "pii-candidates")
+    counted = written(held.groupBy("kind", "value").agg(F.sum("copies").alias("n_value"), F.count("*").alias("n_texts"))
+                      .where(F.col("n_texts") >= support).select("kind", "value", "n_value", most.alias("most")), "pii-values")
+    if counted.isEmpty():
+        return counted.select("kind", "value", F.lit("").alias("term"), F.lit(1.0).alias("disclosure")).where("false")
+    known = held.select("key", "kind", "value").join(counted, ["kind", "value"])
+    limit = known.groupBy("key").agg(F.max("most").alias("limit"))
+    standing = hits.join(limit, "key").select("key", "copies", "limit", F.explode("terms").alias("term"))
+    beside = (standing.groupBy("term").agg(F.sum("copies").alias("n_near"), F.count("*").alias("n_texts"), F.max("limit").alias("limit"))
+              .where((F.col("n_texts") >= support) & (F.col("n_near") <= F.col("limit"))).select("term", "n_near"))
+    open_ = standing.join(beside, "term").where("n_near <= limit").select("key", "copies", "term", "n_near")
+
+    def disclosure(n_term: str) -> Column:
+        pmi = F.log2(F.col("n_both") * F.lit(float(n)) / ((F.col(n_term) + 1) * F.col("n_value")))
+        content = F.log2(F.lit(float(n)) / F.col("n_value"))  # zero where every document holds the value: nothing to disclose
+        return F.try_divide(pmi, content)
+
+    together = (open_.join(known, "key").where("n_near <= most").groupBy("kind", "value", "term")
+                .agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both"), F.first("n_value").alias("n_value"), F.first("n_near").alias("n_near")))
+    candidates = written(together.where((F.col("texts") >= support) & (disclosure("n_near") >= threshold - 1e-9))
+                         .select("kind", "value", "term", "n_both", "n_value"), "pii-candidates")
     terms = written(candidates.select("term").distinct(), "pii-terms")
     if terms.isEmpty():
         return candidates.select("kind", "value", "term", F.lit(1.0).alias("disclosure")).where("false")
-    values = candidates.select("kind", "value").distinct()
-    # documents (rows, copies included) with a term, with a value, with both
+    # documents (rows, copies included) with a term
     holding = texts.select(F.explode(F.array_distinct(F.split("text", GAP))).alias("term")).join(terms, "term")
     n_term = holding.groupBy("term").agg(F.count("*").alias("n_term"))
-    hits = texts.where(F.size("spans") > 0)
-    named = hits.select(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value")))).alias("values"),
-                        F.array_distinct(F.split("text", GAP)).alias("terms"))
-    held = named.select(F.explode("values").alias("v"), "terms").select("v.*", "terms").join(values, ["kind", "value"])
-    n_value = held.groupBy("kind", "value").agg(F.count("*").alias("n_value"))
-    both = (held.select("kind", "value", F.explode("terms").alias("term")).join(candidates.select("kind", "value", "term"), ["kind", "value", "term"])
-            .groupBy("kind", "value", "term").agg(F.count("*").alias("n_both")))
-    pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_value")))
-    content = F.log2(F.lit(float(n)) / F.col("n_value"))  # zero where every document holds the value: nothing to disclose
-    scored = both.join(n_value, ["kind", "value"]).join(n_term, "term").withColumn("disclosure", F.try_divide(pmi, content))
+    scored = candidates.join(n_term, "term").withColumn("disclosure", disclosure("n_term"))
     return written(scored.where(F.col("disclosure") >= threshold).select("kind", "value", "term", "disclosure"), "pii-disclosing")
 
 
 def term_spans(texts: DataFrame, disclosing: DataFrame) -> DataFrame:
     """``_key, _terms``: the places of disclosing terms, per different text that holds their value."""
     edge = "\\x20\\x09-\\x0D"
-    hits = (texts.where(F.size("spans") > 0).select(F.md5("text").alias("_key"), "text", F.explode("spans").alias("span"))
-            .select("_key", "text", "span.kind", "span.value").join(disclosing, ["kind", "value"])
-            .dropDuplicates(["_key", "term"]))
-    pattern = F.concat(F.lit(f"(?<![^{edge}])"), F.lit("\\Q"), "term", F.lit("\\E"), F.lit(f"(?![^{edge}])"))
-    found = hits.select("_key", places(F.col("text"), pattern, len(KINDS)).alias("found"))
-    return found.groupBy("_key").agg(F.array_sort(F.flatten(F.collect_set("found"))).alias("_terms"))
+    held = texts.where(F.size("spans") > 0).select(F.md5("text").alias("_key"), "text", "spans")
+    told = (held.select("_key", F.explode("spans").alias("span")).select("_key", "span.kind", "span.value")
+            .join(disclosing, ["kind", "value"]).groupBy("_key").agg(F.collect_set("term").alias("terms")))
+    hits = held.select("_key", "text").dropDuplicates(["_key"]).join(told, "_key")
+
+    def pattern(term: Column) -> Column:
+        return F.concat(F.lit(f"(?<![^{edge}])"), F.lit("\\Q"), term, F.lit("\\E"), F.lit(f"(?![^{edge}])"))
+
+    found = F.transform("terms", lambda term: places(F.col("text"), pattern(term), len(KINDS)))
+    return hits.select("_key", F.array_sort(F.flatten(found)).alias("_terms"))
 
 
-def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``spans``, an array of (kind, start, end, value): the base spans, then the terms'.
 
     Null text counts as empty and has no span, as has any text without a match. Repeated rows get equal
@@ -161,7 +163,7 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold:
     """
     texts = docs.drop("spans").withColumn("spans", base_spans(whole_text()))
     plain = texts.select(whole_text().alias("text"), "spans")
-    added = term_spans(plain, disclosing_terms(plain, reach, support, threshold))
+    added = term_spans(plain, disclosing_terms(plain, support, threshold))
     joined = texts.withColumn("_key", F.md5(whole_text())).join(added, "_key", "left")
     return joined.withColumn("spans", F.concat("spans", F.coalesce("_terms", F.array().cast(SPAN)))).drop("_key", "_terms")
 
