@@ -499,6 +499,29 @@ def test_page_text(spark):
     assert html.extract(frame).count() == len(PAGES) and html.extract(frame.where("false")).count() == 0
 
 
+PROSE = "This is the text of the page and it is long enough for the rules to see. " * 4
+OTHER = "And that was the end of it, as they have said to all of us in the morning. " * 2
+
+
+@pytest.mark.parametrize("page, want", [
+    # cards and comments in article elements beside a main text in a div
+    (f"<div><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></div><article class='card'><h3><a href=x>Next story</a></h3></article>"
+     "<article><a href=y>Another story of the day</a></article>", f"{PROSE}Short one. {PROSE}"),
+    (f"<div><p>{PROSE}</p></div><article class='comment-body'><p>{OTHER}</p></article>", PROSE),
+    # links inside an article, and its short blocks up to the end
+    (f"<nav>Home</nav><article><h1><a href=z>Title</a></h1><p>{PROSE}</p><ul><li><a href=x>link one</a></li><li><a href=y>link two</a></li></ul>"
+     "<p>Tail.</p><p>End.</p></article><footer>foot</footer>", f"Title {PROSE}Tail. End."),
+    # the article with the most text, of several
+    (f"<article><p>{PROSE}</p><p>{PROSE}</p></article><article><p>Small teaser.</p></article>", PROSE * 2),
+    (f"<main><div><p>{PROSE}</p></div></main><div>All rights are with us.</div>", PROSE),
+    # names that only hold a part of a notice's, and pairs that are a notice's
+    (f"<div class='content-with-sidebar'><p class='share-price'>{PROSE}</p></div><div class='site-footer'><p>{PROSE}</p></div>", PROSE),
+    (f"<div><p>{PROSE}</p><ul><li><a href=x>link one</a></li></ul></div>", PROSE),
+])
+def test_blocks_are_scored(page, want):
+    assert html.main_text(page) == want.strip()
+
+
 # --- queries and pipeline
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -1,11 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides a block from where it stands
-(navigation, header, footer, sidebar, form, script, or an element whose class or id names a notice,
-advert, menu or comments: bad; article or main: good) and otherwise from its link density, length and
-density of stop words. A short or undecided block is ambiguous; the second pass gives it the label of
-the nearest decided blocks around it, good where both sides are, and on a tie of one good and one bad
-the nearer. Where a page has an article, what stands outside is bad.
+A page is cut into blocks at block-level tags. The first pass scores every block: by its text (link
+density, length, density of stop words) and by where it stands. Navigation, header, footer, sidebar, form
+or an element whose class or id names a notice, advert, menu or comments count against it. So does a place
+outside the page's main element; a place inside counts for it. The main element is the article or main
+with the most good text, with any that has half as much; where more good text stands outside all of them,
+the page has none. Articles named as comments or cards are elements like others. A block whose evidence
+does not decide is left to the second pass. Inside the main element it stays, unless the nearest decided
+blocks there are bad on both sides. Elsewhere it gets the label of the nearest decided blocks around it,
+good where both sides are or on a tie.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ FURNITURE = frozenset("nav footer aside form menu dialog search".split())
 NOTES = frozenset("""ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies
 copyright disclaimer footer header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted promotion
 related respond sidebar share sharing social sponsor sponsored subscribe toolbar widget""".split())
+#: What may stand beside a name of NOTES in one class or id, as in "site-footer" or "comment-body".
+BESIDE = frozenset("""area bar block body bottom box container entry form global inner item items left links list main outer page panel
+post posts right row section site slot text thread top unit wrap wrapper""".split())
+CARDS = frozenset("card cards teaser teasers tile tiles".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 #: Frequent words of the languages at hand.
@@ -47,38 +54,46 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 
 
 class Block:
-    __slots__ = ("bad", "good", "heading", "linked", "text")
+    __slots__ = ("bad", "heading", "linked", "region", "text")
 
-    def __init__(self, bad: bool, good: bool, heading: bool) -> None:
-        self.bad, self.good, self.heading, self.linked, self.text = bad, good, heading, 0, []
+    def __init__(self, bad: bool, region: int, heading: bool) -> None:
+        self.bad, self.region, self.heading, self.linked, self.text = bad, region, heading, 0, []
 
 
-def is_note(attributes: str) -> bool:
+def names_of(attributes: str) -> Iterator[list[str]]:
+    """The parts of every class, id and role."""
     for found in NAMED.finditer(attributes):
         value = next(v for v in found.groups() if v is not None)
         for name in value.lower().split():
-            if name in NOTES or any(part in NOTES for part in re.split(r"[-_]+", name)):
-                return True
-    return False
+            yield [part for part in re.split(r"[-_]+", name) if part and not part.isdigit()]
+
+
+def is_note(attributes: str) -> bool:
+    """Whether a whole name is a notice's: "ad-slot" is, "ad-free" and "share-price" are not."""
+    return any(not NOTES.isdisjoint(parts) and all(part in NOTES or part in BESIDE for part in parts) for parts in names_of(attributes))
+
+
+def is_card(attributes: str) -> bool:
+    return any(parts and parts[-1] in CARDS for parts in names_of(attributes))
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text in blocks, in order, with what its surroundings say."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, bad, good, hidden, each with all that is around
+    stack: list[tuple[str, bool, int, bool]] = []  # name, bad, outermost article or main, hidden, each with all that is around
     found: list[Block] = []
     block: Block | None = None
-    links, at, end = 0, 0, len(page)
+    links, regions, at, end = 0, 0, 0, len(page)
     opened: Counter[str] = Counter()
 
     def add(text: str) -> None:
         nonlocal block
-        bad, good, hidden = stack[-1][1:] if stack else (False, False, False)
+        bad, region, hidden = stack[-1][1:] if stack else (False, 0, False)
         if hidden or not text:
             return
         if block is None:
             if text.isspace():
                 return
-            block = Block(bad, good, any(name in ("h1", "h2", "h3", "h4", "h5", "h6") for name, *_ in stack[-3:]))
+            block = Block(bad, region, any(name in ("h1", "h2", "h3", "h4", "h5", "h6") for name, *_ in stack[-3:]))
             found.append(block)
         block.text.append(text)
         if links:
@@ -120,15 +135,16 @@ def blocks_of(page: str) -> list[Block]:
         if name in CLOSES_P and any(inner[0] == "p" for inner in stack[-4:]):  # an open paragraph ends here
             depth = max(n for n, inner in enumerate(stack) if inner[0] == "p")
             close(depth)
-        bad, good, hidden = stack[-1][1:] if stack else (False, False, False)
+        bad, region, hidden = stack[-1][1:] if stack else (False, 0, False)
         heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if name in ("article", "main"):
-            good = True
-        if name in FURNITURE or name == "header" or name not in ("html", "body", "article", "main") and is_note(attributes):
+        if name in FURNITURE or name == "header" or name not in ("html", "body", "main") and is_note(attributes):
             bad = True
-        if heading and good and stack and stack[-1][0] == "header" and not any(inner[1] for inner in stack[:-1]):
+        if name in ("article", "main") and not region and not bad and not (name == "article" and is_card(attributes)):
+            regions += 1
+            region = regions
+        if heading and region and stack and stack[-1][0] == "header" and not any(inner[1] for inner in stack[:-1]):
             bad = False  # an article's own title
-        stack.append((name, bad, good, hidden or name in HIDDEN))
+        stack.append((name, bad, region, hidden or name in HIDDEN))
         opened[name] += 1
         links += name == "a"
         if name in RAW:  # up to its end tag all is text
@@ -142,43 +158,64 @@ def main_text(page: str | None) -> str:
     """Main text of one page; empty where there is none."""
     found = blocks_of(page or "")
     texts = [" ".join(html.unescape("".join(block.text)).split()) for block in found]
-    article = any(block.good and not block.bad for block in found)
-    labels: list[bool | None] = []
-    for block, text in zip(found, texts):  # first pass
+    linked, says = [], []
+    for block, text in zip(found, texts):
         words = text.lower().split()
-        linked = block.linked / max(1, sum(map(len, block.text)))
         stop = sum(word.strip(".,;:!?") in STOP for word in words) / max(1, len(words))
-        if block.bad or not text:
-            labels.append(False)
-        elif article:
-            labels.append(block.good)
-        elif linked > LINKS:
-            labels.append(False)
-        elif len(text) >= LONG and stop >= STOP_LOW or len(text) >= SHORT and stop >= STOP_HIGH:
-            labels.append(True)
-        elif len(text) >= LONG:
-            labels.append(False)
-        else:
-            labels.append(None)
-    before: list[tuple[int, bool] | None] = []
-    last = None
-    for at, label in enumerate(labels):
-        last = (at, label) if label is not None else last
-        before.append(last)
-    kept, following = [], None
-    for at in range(len(labels) - 1, -1, -1):  # second pass
-        label = labels[at]
-        if label is not None:
-            following = (at, label)
-        else:
-            sides = sorted((abs(place - at), not decided) for place, decided in filter(None, (before[at], following)))
-            label = bool(sides) and not sides[0][1] or found[at].heading and following is not None and following[1]
+        good = len(text) >= LONG and stop >= STOP_LOW or len(text) >= SHORT and stop >= STOP_HIGH
+        linked.append(block.linked / max(1, sum(map(len, block.text))) > LINKS)
+        says.append(2 if good else -1 if len(text) >= LONG else 0)
+    main = main_regions(found, texts, linked, says)
+    labels: list[bool | None] = []
+    for block, text, links, score in zip(found, texts, linked, says):  # first pass
+        inside = block.region in main
+        score = -2 + (block.heading and inside) if links else score
+        score += 1 if inside else -2 if main else 0
+        score -= 4 * block.bad
+        labels.append(False if not text or score < 0 else True if score >= 2 else None)
+    before = nearest(found, labels, main, range(len(labels)))
+    following = nearest(found, labels, main, range(len(labels) - 1, -1, -1))
+    kept = []
+    for at, label in enumerate(labels):  # second pass
+        if label is None:
+            sides = sorted((abs(place - at), not decided) for place, decided in filter(None, (before[at], following[at])))
+            if found[at].region in main:
+                label = len(sides) < 2 or not all(bad for _, bad in sides)
+            else:
+                label = bool(sides) and not sides[0][1] or found[at].heading and following[at] is not None and following[at][1]
         if label and texts[at]:
             kept.append(texts[at])
-    kept.reverse()
     return " ".join(kept)
 
 
+def main_regions(found: list[Block], texts: list[str], linked: list[bool], says: list[int]) -> set[int]:
+    """The articles and main elements that hold the page's text; none where more good text stands outside."""
+    for least in (2, -1):  # by good text; where there is none at all, by any that is not of links
+        sums: Counter[int] = Counter()
+        for block, text, links, score in zip(found, texts, linked, says):
+            if text and not links and not block.bad and score >= least:
+                sums[block.region] += len(text)
+        if sums:
+            most = max((n for region, n in sums.items() if region), default=0)
+            return {region for region, n in sums.items() if region and 2 * n >= most} if most >= sums[0] else set()
+    return set()
+
+
+def nearest(found: list[Block], labels: list[bool | None], main: set[int], order: range) -> list[tuple[int, bool] | None]:
+    """For every block the last decided one in ``order``; inside a main element, the last one in it that is not bad by its place."""
+    last: tuple[int, bool] | None = None
+    inside: dict[int, tuple[int, bool]] = {}
+    given: list[tuple[int, bool] | None] = [None] * len(labels)
+    for at in order:
+        block, label = found[at], labels[at]
+        if label is not None:
+            last = (at, label)
+            if not block.bad:
+                inside[block.region] = last
+        given[at] = inside.get(block.region) if block.region in main else last
+    return given
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html, ...)``.
 
