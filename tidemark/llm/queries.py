@@ -1,4 +1,4 @@
-"""The ten operators on their whole tables, and the SQL of those that SQL can state."""
+"""The operators on their whole tables, and the SQL of those that SQL can state."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, eliasfano, html, kmtree, mixing, mtree, packing, pii, quality, simhash
+from tidemark.llm import chat, eliasfano, html, importance, kmtree, mixing, mtree, packing, pii, quality, simhash
 from tidemark.llm.common import table
 from tidemark.session import shared_folder, ship_package, written
 
@@ -86,6 +86,11 @@ def op10_block_rules(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
 
 
+@query
+def op12_prefix_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_words")
+
+
 ORACLES["op5_mtree_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
