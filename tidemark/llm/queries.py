@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, eliasfano, html, importance, kmtree, mixing, mtree, packing, pii, quality, simhash
+from tidemark.llm import chat, eliasfano, html, importance, kmtree, mixing, mtree, packing, pii, quality, repeats, simhash
 from tidemark.llm.common import table
 from tidemark.session import shared_folder, ship_package, written
 
@@ -91,6 +91,11 @@ def op12_prefix_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_words")
 
 
+@query
+def op13_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove(table(spark, folder, "documents"))
+
+
 ORACLES["op5_mtree_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
