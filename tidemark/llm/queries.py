@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, eliasfano, html, importance, kmtree, mixing, mtree, packing, pii, quality, repeats, simhash
+from tidemark.llm import chat, collocation, eliasfano, html, importance, kmtree, mixing, mtree, packing, pii, quality, repeats, simhash
 from tidemark.llm.common import table
 from tidemark.session import shared_folder, ship_package, written
 
@@ -86,6 +86,11 @@ def op10_block_rules(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
 
 
+@query
+def op11_weighted_automata_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocation.mine(table(spark, folder, "documents"))
+
+
 @query
 def op12_prefix_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_words")
@@ -110,4 +115,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+ORACLES["op11_weighted_automata_phrases"] = collocation.SQL
 ORACLES["op9_chat_format"] = chat.SQL
