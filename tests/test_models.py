@@ -194,7 +194,7 @@ def test_config_is_checked():
 def test_whole_study_from_files(spark, tmp_path):
     from tidemark import schemas
     from tidemark.operators.assemble import assemble_us_daily
-    from tidemark.sources import landed
+    from tidemark.sources import landed, runs
 
     rng = np.random.default_rng(0)
     dates = [d.date() for d in pd.bdate_range("2019-12-10", "2020-11-20")]
@@ -217,7 +217,10 @@ def test_whole_study_from_files(spark, tmp_path):
     tables = found["technical_calendar-0"]
     assert {r["symbol"]: r["oos_months"] for r in rows(tables["meta"])} == {"VT": 5, "VX": 3}
     assert column(tables["monthly_oracle"], "month", "month")[-1] == "2020-10"
-    back = spark.read.parquet(str(tmp_path / "out" / "technical_calendar-0" / "policy_ablation"))
+    stored = runs.latest(spark, str(tmp_path / "out"))
+    back = stored["technical_calendar-0/policy_ablation"]
+    assert stored["technical_calendar-0/results_json"].count() == tables["strategy_metrics"].count()
+    assert rows(stored["refused"]) == []
     policies = rows(back.where("symbol = 'VT'"))
     assert len(policies) == 6 and all(len(r["ci95_bps"]) == 2 and r["verdict"] for r in policies)
     metrics = {r["strategy"]: r for r in rows(tables["strategy_metrics"].where("symbol = 'VT'"))}
@@ -237,7 +240,7 @@ def test_whole_study_from_files(spark, tmp_path):
 
 def test_every_symbol_follows_a_preset_the_default_or_is_refused(spark, tmp_path, monkeypatch):
     from tidemark import schemas
-    from tidemark.sources import landed
+    from tidemark.sources import landed, runs
 
     path = str(tmp_path / "daily")
     blank = [F.lit(None).cast(field.dataType).alias(field.name) for field in schemas.DAILY.fields if field.name != "symbol"]
@@ -254,7 +257,7 @@ def test_every_symbol_follows_a_preset_the_default_or_is_refused(spark, tmp_path
                replace(US_VT, code="VX", first_complete_month="2020-03", primary_model="all")]
     research.research_from_files(spark, path, "", str(tmp_path / "a"), presets)
     assert taken == [{"VT": "2020-01"}, {"VX": "2020-03"}]
-    assert rows(spark.read.parquet(str(tmp_path / "a" / "refused"))) == [{"symbol": "Q", "reason": "no preset"}]
+    assert rows(runs.latest(spark, str(tmp_path / "a"))["refused"]) == [{"symbol": "Q", "reason": "no preset"}]
     taken.clear()
     research.research_from_files(spark, path, "", str(tmp_path / "b"), presets, replace(US_VT, first_complete_month="2021-01"))
     assert taken == [{"VT": "2020-01", "Q": "2021-01"}, {"VX": "2020-03"}]

@@ -148,7 +148,7 @@ def test_tables_round_trip(spark, tmp_path):
     back = landed.read_by_symbol(spark, str(tmp_path / "daily"), schemas.OFFICIAL)
     assert column(back.select("symbol", "date", "official_close"), "official_close", "symbol") == [1.0, 2.0]
     landed.write_raw({"official": frame}, str(tmp_path / "raw"))
-    landed.write_results({"t": frame}, str(tmp_path / "out"))
+    assert landed.write_results({"t": frame}, str(tmp_path / "out"))["t"].count() == 2
     landed.write_json(frame, str(tmp_path / "json"))
     assert spark.read.parquet(str(tmp_path / "raw" / "official")).count() == 2
     assert spark.read.json(str(tmp_path / "json")).count() == 2

@@ -8,9 +8,9 @@ from tidemark import schemas
 from tidemark.catalog.registry import case, columns, tidy
 from tidemark.catalog.sqltext import rounded
 from tidemark.functions.scalars import month_of
-from tidemark.operators import assemble, quality as Q
+from tidemark.operators import assemble, observed as O, quality as Q
 from tidemark.session import shared_folder
-from tidemark.sources import landed, parsers
+from tidemark.sources import landed, parsers, runs
 
 KEY = ("symbol", "date")
 BAR = "open, high, low, close, volume"
@@ -228,10 +228,10 @@ def _(s):
     folder = fresh(s, "results")
     tables = {"labelled": (s.labelled, "date", "regret"), "oracle": (s.oracle, "oracle_date", "oracle_adjusted_open")}
     landed.write_results({name: table for name, (table, _, _) in tables.items()}, folder)
+    stored = runs.latest(s.spark, folder)
     first, second = [
-        s.spark.read.schema(table.schema).parquet(f"{folder}/{name}")
-        .select(F.lit(name).alias("name"), "symbol", F.col(date).alias("date"), F.col(value).alias("value"))
-        for name, (table, date, value) in tables.items()
+        stored[name].select(F.lit(name).alias("name"), "symbol", F.col(date).alias("date"), F.col(value).alias("value"))
+        for name, (_, date, value) in tables.items()
     ]
     return tidy(first.unionByName(second))
 
@@ -239,8 +239,7 @@ def _(s):
 @case("snk_04_predictions", "SELECT symbol, count(*) AS rows, round(sum(near_probability), 6) AS total FROM predictions GROUP BY symbol")
 def _(s):
     folder = fresh(s, "predictions")
-    landed.write_results({"predictions": s.predictions}, folder)
-    back = s.spark.read.schema(s.predictions.schema).parquet(f"{folder}/predictions")
+    back = landed.write_results({"predictions": s.predictions}, folder)["predictions"]
     return tidy(back.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("near_probability").alias("total")))
 
 
@@ -250,8 +249,7 @@ FROM (SELECT symbol, strategy, month, regret FROM policy_bought UNION ALL SELECT
 def _(s):
     folder = fresh(s, "purchases")
     both = s.policy_bought.unionByName(s.lead_bought, allowMissingColumns=True)
-    landed.write_results({"purchases": both}, folder)
-    back = s.spark.read.schema(both.schema).parquet(f"{folder}/purchases")
+    back = landed.write_results({"purchases": both}, folder)["purchases"]
     return columns(back, "symbol, strategy, month, regret")
 
 
@@ -266,6 +264,22 @@ def _(s):
     return tidy(back)
 
 
+@case("snk_03_last_complete_run", f"""
+SELECT symbol, date, {BAR} FROM prices WHERE year(date) < 1998""")
+def _(s):
+    """A run that is lost midway leaves the one before as it was."""
+    folder = fresh(s, "runs")
+    complete = s.prices.where(F.year("date") < 1998)
+    landed.write_results({"prices": complete, "months": complete.select("symbol", month_of("date").alias("month")).distinct()}, folder)
+    lost = s.prices.withColumn("close", F.when(F.col("close") > 0, F.raise_error(F.lit("lost on the way")).cast("double")))
+    try:
+        landed.write_results({"prices": s.prices, "months": lost}, folder)
+    except Exception as error:  # the executor's error, as the driver hands it on
+        if "lost on the way" not in str(error):
+            raise
+    return runs.latest(s.spark, folder)["prices"].select(*KEY, *BAR.split(", "))
+
+
 @case("snk_07_fetch_summary", 'SELECT symbol, count(*) AS rows, min(date) AS start, max(date) AS "end" FROM prices GROUP BY symbol')
 def _(s):
     return Q.summary(s.prices)
@@ -284,6 +298,48 @@ def _(s):
     return Q.summary(s.prices)
 
 
+@case("dq_02_refusals", """
+SELECT symbol, "case", "case" <> 'whole' AS refused FROM (SELECT DISTINCT symbol FROM prices),
+  (SELECT unnest(['whole', 'empty', 'without close', 'without date', 'without high', 'without low', 'without open', 'without price_change',
+                  'without symbol', 'without trading_value', 'without transactions', 'without volume']) AS "case")""")
+def _(s):
+    """Each missing column and an empty table is refused, for every symbol's table by itself."""
+    names = schemas.PRICES.fieldNames()
+    prices = s.prices.select(*names)
+    tried = {"whole": prices, "empty": prices.where("false"), **{f"without {name}": prices.drop(name) for name in names}}
+    found = []
+    for case_, table in tried.items():
+        try:
+            Q.require_columns(table, names, "prices")
+            found.append((case_, False))
+        except Q.DataQualityError:
+            found.append((case_, True))
+    each = [F.struct(F.lit(case_).alias("case"), F.lit(refused).alias("refused")) for case_, refused in found]
+    return s.prices.select("symbol").distinct().select("symbol", F.inline(F.array(*each)))
+
+
+@case("dq_01_checked_write", """
+SELECT 'whole' AS "case", count(*) AS rows, CAST(0 AS BIGINT) AS bad, CAST(NULL AS VARCHAR) AS least FROM prices
+UNION ALL
+SELECT 'repeated', 2 * count(*) FILTER (WHERE day(date) = 11) + count(*) FILTER (WHERE day(date) <> 11),
+  2 * count(*) FILTER (WHERE day(date) = 11),
+  min('{"symbol":"' || symbol || '","date":"' || date || '"}') FILTER (WHERE day(date) = 11) FROM prices""")
+def _(s):
+    """Whole and repeated keys, seen by the writes themselves."""
+    found = []
+    twice = s.prices.unionByName(s.prices.where(F.dayofmonth("date") == 11))
+    for name, table in (("whole", s.prices), ("repeated", twice)):
+        try:
+            kept = O.written_checked(table, "checked", O.unique("repeated key"))
+            found.append(kept.agg(F.lit(name).alias("case"), F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("bad"),
+                                  F.lit(None).cast("string").alias("least")))
+        except Q.DataQualityError as error:
+            bad, least = str(error).removeprefix("repeated key: ").split(" rows, such as ")
+            found.append(table.agg(F.lit(name).alias("case"), F.count(F.lit(1)).alias("rows"), F.lit(int(bad)).cast("long").alias("bad"),
+                                   F.lit(least).alias("least")))
+    return found[0].unionByName(found[1])
+
+
 @case("dq_03_bad_numbers", "SELECT symbol, date FROM prices WHERE day(date) IN (13, 14, 21)")
 def _(s):
     day = F.dayofmonth("date")

@@ -6,10 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import assemble
-from tidemark.operators.quality import require, duplicate_keys
-from tidemark.session import written
-from tidemark.sources import landed, parsers
+from tidemark.operators import assemble, observed as O
+from tidemark.session import scratch
+from tidemark.sources import landed, parsers, runs
 
 #: Sources in an envelope of rows: the fields asked for, and their parser.
 ROWED = {
@@ -25,7 +24,9 @@ MAY_BE_EMPTY = ("dividends", "splits")
 
 
 def parse_sources(payloads: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every source parsed, written once and checked; any bad or empty source stops the job.
+    """Every source parsed and written once; any bad or empty source stops the job.
+
+    Empty tables and repeated keys are seen while a source is written: one job for each source.
 
     ``payloads`` holds (symbol, payload) per name of ``ROWED``, ``nav``, and ``official`` where
     exchange month files landed; without them the issuer's market price stands in.
@@ -34,29 +35,37 @@ def parse_sources(payloads: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     tables["nav"] = parsers.parse_nav(payloads["nav"])
     if "official" in payloads:
         tables["official"] = parsers.parse_monthly_closes(payloads["official"])
-    tables = {name: written(table, f"source-{name}") for name, table in tables.items()}
-    tables.setdefault("official", assemble.official_from_issuer(tables["nav"]))
+    unruled = set(tables) - set(ONE_TO_ONE) - set(MAY_BE_EMPTY)
+    if unruled:
+        raise ValueError(f"no rule for {sorted(unruled)}")
     for name, table in tables.items():
-        if name in ONE_TO_ONE:
-            parsers.require_rows(table, source=name)
-        elif name not in MAY_BE_EMPTY:
-            raise ValueError(f"no rule for {name}")
+        once = (O.unique(f"{name}: repeated key"),) if name in ONE_TO_ONE else ()
+        empty = None if name in MAY_BE_EMPTY else f"{name}: nothing left after parsing"
+        tables[name] = O.written_checked(table, f"source-{name}", *once, empty=empty)
+    tables.setdefault("official", assemble.official_from_issuer(tables["nav"]))
     return tables
 
 
-def daily_from_sources(tables: Mapping[str, DataFrame], official_source: str = assemble.LOCAL_SOURCE) -> DataFrame:
-    """The written daily table; repeated keys or sources that disagree stop the job."""
+def daily_from_sources(
+    tables: Mapping[str, DataFrame], official_source: str = assemble.LOCAL_SOURCE, path: str | None = None,
+) -> DataFrame:
+    """The written daily table; repeated keys or sources that disagree stop the job.
+
+    The write itself observes both. A bad table is deleted again and never stands at ``path``.
+    """
     order = ("prices", "dividends", "splits", "nav", "margin", "institutions", "official")
-    daily = written(assemble.assemble_daily(*[tables[name] for name in order], official_source=official_source), "daily")
-    require(duplicate_keys(daily), "daily: repeated key")
-    assemble.check_daily(daily)
-    return daily
+    daily = assemble.assemble_daily(*[tables[name] for name in order], official_source=official_source)
+    return O.written_checked(daily, "daily", O.unique("daily: repeated key"), O.sources_agree(), path=path)
 
 
 def daily_from_files(spark: SparkSession, root: str, out: str, with_exchange: bool = False) -> DataFrame:
-    """``<root>/<source>/symbol=<code>/*.json`` to the daily table at ``out``."""
+    """``<root>/<source>/symbol=<code>/*.json`` to the daily table of the last run published at ``out``.
+
+    One write for each source, one for the table; what only this job needs is deleted at its end.
+    """
     names = (*ROWED, "nav", *(("official",) if with_exchange else ()))
-    tables = parse_sources({name: landed.read_payloads(spark, f"{root.rstrip('/')}/{name}") for name in names})
     source = assemble.EXCHANGE_SOURCE if with_exchange else assemble.LOCAL_SOURCE
-    daily_from_sources(tables, source).write.mode("overwrite").parquet(out)
-    return landed.read_daily(spark, out)
+    with scratch(spark):
+        tables = parse_sources({name: landed.read_payloads(spark, f"{root.rstrip('/')}/{name}") for name in names})
+        runs.publish({"daily": daily_from_sources(tables, source)}, out)
+    return runs.latest(spark, out)["daily"]

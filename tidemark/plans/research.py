@@ -11,14 +11,14 @@ from tidemark.config import (
     BOOTSTRAP_SIMULATIONS, FEATURE_SETS, INSTRUMENTS, LEAD_RULES, POLICIES, Instrument,
 )
 from tidemark.functions.windows import spread_by_symbol
-from tidemark.operators import compare as C, metrics as M, selection as S, walkforward
+from tidemark.operators import compare as C, metrics as M, observed as O, selection as S, walkforward
 from tidemark.operators.features import build_features
 from tidemark.operators.filters import from_first_predicted
 from tidemark.operators.labels import add_monthly_labels, monthly_oracle
 from tidemark.operators.leads import attach_leads
-from tidemark.operators.quality import bad_prediction_months, data_quality, duplicate_keys, require
-from tidemark.session import written
-from tidemark.sources import landed
+from tidemark.operators.quality import data_quality, duplicate_keys, require
+from tidemark.session import scratch, written
+from tidemark.sources import landed, runs
 
 
 @dataclass(frozen=True)
@@ -72,11 +72,9 @@ def evaluate(
     """
     rows = from_first_predicted(labelled, predictions)
     terminal = M.terminal_close(daily)
-    ruled = written(
-        S.select_by_rules(rows, S.baseline_rules() + S.lead_rules()).select(*BOUGHT), "rule-purchases")
-    policies = written(policy_purchases(predictions), "policy-purchases")
-    refuse_repeats(ruled)
-    refuse_repeats(policies, "feature_set")
+    ruled = O.written_checked(
+        S.select_by_rules(rows, S.baseline_rules() + S.lead_rules()).select(*BOUGHT), "rule-purchases", one_purchase())
+    policies = O.written_checked(policy_purchases(predictions), "policy-purchases", one_purchase("feature_set"))
     baselines = ruled.where(~F.col("strategy").isin(*LEAD_RULES))
     signals = ruled.where(F.col("strategy").isin(*LEAD_RULES))
     day1 = baselines.where("strategy = 'fixed_day_1'")
@@ -115,9 +113,17 @@ def evaluate(
     }
 
 
+REPEATED = "more than one purchase in a month"
+
+
+def one_purchase(*key: str) -> O.Check:
+    """A strategy buys once in a month; seen while the purchases are written."""
+    return O.unique(REPEATED, ("symbol", "strategy", "month", *key))
+
+
 def refuse_repeats(purchases: DataFrame, *key: str) -> None:
-    """Stop where a strategy buys more than once in a month."""
-    require(duplicate_keys(purchases, ("symbol", "strategy", "month", *key)), "more than one purchase in a month")
+    """Stop where purchases that are written already hold a month twice."""
+    require(duplicate_keys(purchases, ("symbol", "strategy", "month", *key)), REPEATED)
 
 
 def with_verdict(compared: DataFrame, with_interval: bool) -> DataFrame:
@@ -163,8 +169,9 @@ def run_research(
     daily = daily.drop("first_complete_month")
     oracle = monthly_oracle(labelled)
     sets = {name: FEATURE_SETS[name] for name in instrument.feature_sets}
-    predictions = written(walkforward.predictions(labelled, instrument.model, sets, stored), "predictions")
-    require(bad_prediction_months(predictions, ("symbol", "feature_set", "month")), "unusable predictions")
+    predictions = O.written_checked(
+        walkforward.predictions(labelled, instrument.model, sets, stored), "predictions",
+        O.full_months("unusable predictions", ("symbol", "feature_set", "month")))
     tables = evaluate(daily, labelled, oracle, predictions, instrument, simulations=simulations)
     short = daily.select("symbol").distinct().join(predictions.select("symbol").distinct(), "symbol", "left_anti")
     return {"refused": short.withColumn("reason", F.lit("too few complete months for a first training set")),
@@ -176,40 +183,52 @@ def research_from_files(
     spark: SparkSession, daily_path: str, leads_folder: str, out_folder: str,
     instruments: Sequence[Instrument] = INSTRUMENTS, default: Instrument | None = None,
 ) -> dict[str, dict[str, DataFrame]]:
-    """The preset instruments over one daily table; results land under ``out_folder``.
+    """The preset instruments over one daily table; all results are published at ``out_folder`` as one run.
 
     Instruments that differ only in name and first month share one job, so a market of
     any number of symbols is one run. Symbols without a preset follow ``default``; without
-    one they are written to ``refused``.
+    one they are listed in ``refused``. A table ``t`` of a job ``j`` is named ``j/t``. Readers of the
+    folder see the run when all of it is written, and the one before until then.
     """
     daily = landed.read_daily(spark, daily_path)
     leads = landed.load_leads(spark, leads_folder)
-    symbols = written(first_months(daily, instruments, default), "first-months")
-    if default is None:
-        refused = symbols.where("NOT listed").select("symbol", F.lit("no preset").alias("reason"))
-        refused.write.mode("overwrite").parquet(f"{out_folder.rstrip('/')}/refused")
+    with scratch(spark):
+        symbols = written(first_months(daily, instruments, default), "first-months")
+        tables, lines = {}, {}
+        if default is None:
+            tables["refused"] = symbols.where("NOT listed").select("symbol", F.lit("no preset").alias("reason"))
+        for name, preset, mine in jobs(instruments, default):
+            firsts = symbols.where(mine).select("symbol", "first_complete_month")
+            found = run_research(
+                daily.join(firsts, "symbol"), leads["tsm"], leads["sox"], leads["fx"], replace(preset, display_name=name))
+            tables.update({f"{name}/{table}": frame for table, frame in found.items()})
+            lines[f"{name}/results_json"] = found["strategy_metrics"]
+        run = runs.publish(tables, out_folder, lines)
+    results: dict[str, dict[str, DataFrame]] = {}
+    for path, table in runs.latest(spark, out_folder, run).items():
+        job, _, name = path.rpartition("/")
+        if job and path not in lines:
+            results.setdefault(job, {})[name] = table
+    return results
+
+
+def jobs(instruments: Sequence[Instrument], default: Instrument | None) -> list[tuple[str, Instrument, Column]]:
+    """(name, common preset, which of ``first_months``) of every group of instruments that can share a job."""
+    def common(instrument: Instrument) -> Instrument:
+        return replace(instrument, code="", display_name="", first_complete_month="")
+
     groups: dict[Instrument, list[Instrument]] = {}
     for instrument in instruments:
-        common = replace(instrument, code="", display_name="", first_complete_month="")
-        groups.setdefault(common, []).append(instrument)
-    shared = None if default is None else replace(default, code="", display_name="", first_complete_month="")
+        groups.setdefault(common(instrument), []).append(instrument)
+    shared = None if default is None else common(default)
     if shared is not None:
         groups.setdefault(shared, [])
-    results = {}
+    found = []
     for preset, members in groups.items():
-        name = members[0].code if len(members) == 1 else f"{preset.primary_model}-{len(results)}"
+        name = members[0].code if len(members) == 1 else f"{preset.primary_model}-{len(found)}"
         mine = F.col("symbol").isin([member.code for member in members])
-        if preset == shared:
-            mine = mine | ~F.col("listed")
-        firsts = symbols.where(mine).select("symbol", "first_complete_month")
-        tables = run_research(
-            daily.join(firsts, "symbol"), leads["tsm"], leads["sox"], leads["fx"],
-            replace(preset, display_name=name))
-        folder = f"{out_folder.rstrip('/')}/{name}"
-        landed.write_results(tables, folder)
-        landed.write_json(tables["strategy_metrics"], f"{folder}/results_json")
-        results[name] = tables
-    return results
+        found.append((name, preset, mine | ~F.col("listed") if preset == shared else mine))
+    return found
 
 
 def first_months(daily: DataFrame, instruments: Sequence[Instrument], default: Instrument | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,49 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_root
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``scratch`` knows of."""
+    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    for open_ in _scratch:
+        open_.append(path)
+    return path
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was written in the shared folder meanwhile; results must be published by then."""
+    mine: list[str] = []
+    _scratch.append(mine)
+    try:
+        yield
+    finally:
+        _scratch.remove(mine)
+        for path in mine:
+            delete(spark, path)
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, target = _files(spark, path)
+    files.delete(target, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder that need not exist; hidden files are left out."""
+    files, target = _files(spark, path)
+    if not files.exists(target):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(target)]
+    return [name for name in names if name[0] not in "._"]
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -59,7 +104,7 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     re-reads the files instead of recomputing the branch.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import schemas
 from tidemark.operators.quality import duplicate_keys, require_columns, require
+from tidemark.session import children
+from tidemark.sources import runs
 
 LEAD_FILES = {"tsm": "tsm_us.csv", "sox": "sox_us.csv", "fx": "usd_twd.csv"}
 
@@ -33,6 +35,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """A daily table from a file or from a folder of published runs."""
+    if children(spark, f"{path.rstrip('/')}/manifest"):
+        return runs.latest(spark, path)["daily"]
     return read_table(spark, path, schemas.DAILY)
 
 
@@ -65,10 +70,10 @@ def read_by_symbol(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).parquet(path)
 
 
-def write_results(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """Features, labelled, oracle, profile, predictions, purchases and metric tables."""
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+def write_results(tables: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Features, labelled, oracle, profile, predictions, purchases and metric tables, as one published run."""
+    run = runs.publish(tables, folder)
+    return runs.latest(next(iter(tables.values())).sparkSession, folder, run)
 
 
 def write_json(df: DataFrame, path: str) -> None:
