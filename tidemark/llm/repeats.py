@@ -28,7 +28,7 @@ STRETCH = 1 << 20
 #: Most windows of a piece.
 PIECE = 4096
 #: Bytes of pieces that one suffix array covers, and that a group may have before it is dealt anew.
-BLOCK = 2 << 20
+BLOCK = 3 << 20
 #: Shares of the window that the grams cover, coarse to whole.
 GRAMS = (0.32, 0.8, 1.0)
 
@@ -181,9 +181,12 @@ def _settle(groups: list[list[tuple[bytes, int, int, bytes]]], length: int, trim
     size = 0
 
     def flush() -> Iterator[tuple[bytes, int, int]]:
-        found = repeated_windows([text for _, _, text in block], counts[[row for row, _, _ in block]], length)
-        for (row, first, _), windows in zip(block, found):
-            for start, end in zip(*_ranges(windows, length)):
+        alike: dict[bytes, int] = {}  # equal stretches stand once, with their counts added
+        place = [alike.setdefault(text, len(alike)) for _, _, text in block]
+        weights = np.bincount(place, weights=counts[[row for row, _, _ in block]], minlength=len(alike))
+        ranges = [_ranges(windows, length) for windows in repeated_windows(list(alike), weights, length)]
+        for (row, first, _), at in zip(block, place):
+            for start, end in zip(*ranges[at]):
                 yield rows[row][0], first + start, first + end
 
     for row, first, last in stretches:

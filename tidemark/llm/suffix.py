@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Largest alphabet of a level.
-WIDEST = 2048
+#: Largest alphabet that a level takes as it is: a pass costs some calls for every letter.
+WIDEST = 128
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -47,12 +47,21 @@ class _Induction:
         values = self.text[found].astype(self.kind)
         by = np.argsort(values, kind="stable")
         values, found = values[by], found[by]
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        counts = np.diff(np.append(first, len(values)))
-        rank = np.arange(len(values)) - np.repeat(first, counts)
-        at_value = at[values]
-        order[at_value + rank if sign > 0 else at_value - 1 - rank] = found
-        at[values[first]] += sign * counts
+        if values[0] == values[-1]:  # one bucket
+            value, n = int(values[0]), len(found)
+            to = int(at[value])
+            if sign > 0:
+                order[to:to + n] = found
+            else:
+                order[to - n:to] = found[::-1]
+            at[value] += sign * n
+            return
+        first = np.concatenate([[0], (values[1:] != values[:-1]).nonzero()[0] + 1, [len(values)]])
+        counts = first[1:] - first[:-1]
+        begin = at[values[first[:-1]]]
+        rank = np.arange(len(values))
+        order[(begin - first[:-1]).repeat(counts) + rank if sign > 0 else (begin - 1 + first[:-1]).repeat(counts) - rank] = found
+        at[values[first[:-1]]] += sign * counts
 
     def sort(self, least: np.ndarray) -> np.ndarray:
         n, text, smaller = len(self.text), self.text, self.smaller
@@ -69,7 +78,8 @@ class _Induction:
                 begin = int(heads[letter])
                 chunk = chunk[chunk >= 0]
                 self._put(order, chunk[~smaller[chunk]], heads, 1)
-            self._put(order, order[placed[letter]:self.ends[letter]] - 1, heads, 1)
+            if placed[letter] < self.ends[letter]:
+                self._put(order, order[placed[letter]:self.ends[letter]] - 1, heads, 1)
         tails = self.ends.copy()
         for letter in np.flatnonzero(self.totals)[::-1].tolist():
             end = int(self.ends[letter])
@@ -78,9 +88,10 @@ class _Induction:
                 end = int(tails[letter])
                 chunk = chunk[chunk >= 0]
                 self._put(order, chunk[smaller[chunk]], tails, -1)
-            chunk = order[self.starts[letter]:heads[letter]][::-1] - 1
-            chunk = chunk[chunk >= 0]
-            self._put(order, chunk[smaller[chunk]], tails, -1)
+            if self.starts[letter] < heads[letter]:
+                chunk = order[self.starts[letter]:heads[letter]][::-1] - 1
+                chunk = chunk[chunk >= 0]
+                self._put(order, chunk[smaller[chunk]], tails, -1)
         return order
 
     def names(self, sorted_least: np.ndarray) -> tuple[np.ndarray, int]:
