@@ -203,7 +203,7 @@ def build(words: list[bytes], columns: list[np.ndarray], counts: np.ndarray, blo
     for column in columns:
         used[column] = True
     rank = np.cumsum(used) - 1
-    builder = Builder([word for word, use in zip(words, used.tolist()) if use], len(columns))
+    builder = Builder([words[n] for n in np.flatnonzero(used).tolist()], len(columns))
     for at in range(0, len(counts), block):
         builder.add([rank[column[at:at + block]] for column in columns], counts[at:at + block])
     return builder.finish()

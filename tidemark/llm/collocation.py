@@ -1,22 +1,22 @@
 """Phrases whose words stand together more often than apart, counted through weighted acyclic automata.
 
-Counts go level by level. Every task sorts its word sequences of one length and builds count transducers
-of them, one for each prefix range; a range's transducers are united and their counts added; what stays is
-at least ``least``. A longer sequence is only sent where both sequences one word shorter are frequent
-(no longer one can be otherwise), by a Bloom filter of bounded size; one that passes by error is dropped
-with its exact count. Parts are looked up by composing a transducer of the asked sequences with the
+Every task sorts its word sequences of one length and builds count transducers of them, one for each prefix
+range; a range's transducers are united and their counts added; what stays is at least ``least``. Pairs are
+sent where both words are frequent, longer sequences where all their pairs are (no frequent one is
+otherwise), by Bloom filters of bounded size; one that passes by error is dropped with its exact count. Parts are looked up by composing a transducer of the asked sequences with the
 range's counts. A sequence begins with its language, so that all languages share the ranges.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -30,64 +30,67 @@ NORMAL = bytes(
     for byte in range(256))
 BATCH_BYTES = 2 << 20
 #: Sequences that a task holds before it builds transducers of them, and different words.
-HELD, WORDS = 1 << 22, 1 << 20
+HELD, WORDS = 1 << 20, 1 << 18
 #: Word occurrences of a prefix range, and words looked at to find the ranges' bounds.
 RANGE, LOOKED = 1 << 24, 1 << 14
 
 
+def coded_words(texts: list[bytes]) -> pa.DictionaryArray:
+    """All words of the texts in order, with a word "\\n" between pieces and empty ones beside blanks."""
+    joined = b"\n".join(texts).translate(NORMAL).replace(b"\n", b" \n ")
+    return pc.split_pattern(pa.array([joined], pa.large_binary()), " ").flatten().dictionary_encode()
+
+
+def by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
+    found: dict[str, list[bytes]] = {}
+    for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+        found.setdefault(lang, []).append(text)
+    return found
+
+
 class Reader:
-    """Word numbers of texts: -1 between pieces. Numbers hold for a task until ``forget``."""
+    """Numbers of the words that the filter ``frequent`` holds; -1 for others and between pieces.
+
+    Numbers hold for a task until ``forget``.
+    """
 
-    def __init__(self, frequent: np.ndarray | None) -> None:
+    def __init__(self, frequent: np.ndarray) -> None:
         self.frequent = frequent
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[tuple[str, bytes], int] = {}
+        self.number: dict[str, dict[bytes, int]] = {}
         self.names: list[tuple[str, bytes]] = []
         self.hashes = np.zeros(0, np.uint64)
-        self.fine = np.zeros(0, bool)
 
-    def batch(self, texts: list[str], langs: list[str]) -> np.ndarray:
-        """The word numbers of all texts; with ``frequent``, -1 also stands for words that are not in it."""
-        by_lang: dict[str, list[bytes]] = {}
-        for text, lang in zip(texts, langs):
-            by_lang.setdefault(lang, []).append(text.encode().translate(NORMAL))
+    def batch(self, batch: pa.RecordBatch) -> np.ndarray:
         found = []
-        for lang, parts in by_lang.items():
-            joined = b"\n".join(parts).replace(b"\n", b" \n ")
-            coded = pc.split_pattern(pa.array([joined], pa.large_binary()), " ").flatten().dictionary_encode()
-            dictionary = coded.dictionary.to_pylist()
-            mine = np.empty(len(dictionary), np.int64)
-            for n, word in enumerate(dictionary):
-                if word in (b"", b"\n"):
-                    mine[n] = -1 if word else -2
-                    continue
-                key = lang, word
-                at = self.number.get(key)
-                if at is None:
-                    at = self.number[key] = len(self.names)
-                    self.names.append(key)
-                mine[n] = at
-            codes = mine[coded.indices.to_numpy()]
-            found += [codes[codes != -2], np.array([-1])]
-        self._look()
-        numbers = np.concatenate(found)
-        if self.frequent is None:
-            return numbers
-        return np.where(self.fine[numbers] & (numbers >= 0), numbers, -1) if len(self.fine) else numbers
-
-    def _look(self) -> None:
-        fresh = self.names[len(self.hashes):]
-        if fresh:
-            more = np.array([word_hash(lang, word) for lang, word in fresh], np.uint64)
-            self.hashes = np.concatenate([self.hashes, more])
-            passed = bloom.test(self.frequent, more.view(np.int64)) if self.frequent is not None else np.ones(len(more), bool)
-            self.fine = np.concatenate([self.fine, passed])
-
-
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word)
+        for lang, texts in by_lang(batch).items():
+            coded = coded_words(texts)
+            codes = self._numbers(lang, coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            found += [codes[codes != -2], np.array([-1], np.int32)]
+        return np.concatenate(found)
+
+    def _numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """Of each different word; -2 for the empty one."""
+        number = self.number.setdefault(lang, {b"": -2, b"\n": -1})
+        mine = np.array([-3 if value is None else value for value in map(number.get, words)], np.int32)
+        missing = np.flatnonzero(mine == -3)
+        if len(missing):
+            hashes = word_hashes(lang, [words[n] for n in missing.tolist()])
+            passed = bloom.test(self.frequent, hashes.view(np.int64))
+            mine[missing[~passed]] = -1
+            for n in missing[passed].tolist():
+                mine[n] = number[words[n]] = len(self.names)
+                self.names.append((lang, words[n]))
+            self.hashes = np.concatenate([self.hashes, hashes[passed]])
+        return mine
+
+
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    values = np.empty(len(words), object)
+    values[:] = words
+    return pd.util.hash_array(values, hash_key=hashlib.md5(lang.encode()).hexdigest()[:16], categorize=False)
 
 
 def join_hashes(first: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -96,31 +99,33 @@ def join_hashes(first: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text().alias("text"))
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text().cast("binary").alias("text"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(lang, word, n)`` of all words; every task adds up its own first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(None), np.zeros(0, np.int64)
+        held: list[pa.Table] = []
 
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang for lang, _ in reader.names], pa.string()),
-                 pa.array([word for _, word in reader.names], pa.binary()), pa.array(total[:len(reader.names)])],
-                ["lang", "word", "n"])
+        def made() -> Iterator[pa.RecordBatch]:
+            summed = pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("n", "sum")])
+            held.clear()
+            yield from summed.rename_columns({"n_sum": "n"}).select(["lang", "word", "n"]).to_batches()
 
+        size = 0
         for batch in slices(batches, "text", BATCH_BYTES):
-            numbers = reader.batch(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
-            more = np.bincount(numbers[numbers >= 0], minlength=len(reader.names))
-            more[:len(total)] += total
-            total = more
-            if len(total) > WORDS:
-                yield made()
-                reader.forget()
-                total = np.zeros(0, np.int64)
-        if len(total):
-            yield made()
+            for lang, texts in by_lang(batch).items():
+                coded = coded_words(texts)
+                words = coded.dictionary.cast(pa.binary())
+                keep = pc.invert(pc.is_in(words, pa.array([b"", b"\n"])))
+                counts = pa.array(np.bincount(coded.indices.to_numpy(), minlength=len(words)))
+                held.append(pa.table({"lang": pa.array([lang] * len(words), pa.string()), "word": words, "n": counts}).filter(keep))
+                size += len(held[-1])
+            if size > WORDS:
+                yield from made()
+                size = 0
+        if size:
+            yield from made()
 
     return (_texts(docs).mapInArrow(count, "lang string, word binary, n long")
             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -159,69 +164,66 @@ def bounds(frequent: DataFrame, ranges: int) -> list[tuple[bytes, bytes, bytes]]
     return sorted(found)
 
 
-def sequences(docs: DataFrame, order: int, words: Broadcast, shorter: Broadcast | None, begins: list) -> DataFrame:
-    """``(range, payload)``: every task's count transducers of ``order`` words, by prefix range."""
+def sequences(docs: DataFrame, orders: tuple[int, ...], words: Broadcast, pairs: Broadcast | None, begins: list) -> DataFrame:
+    """``(order, range, payload)``: every task's count transducers, by prefix range.
+
+    With ``pairs`` only sequences all of whose neighbouring words are in that filter are sent.
+    """
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(words.value)
-        held: list[list[np.ndarray]] = []
+        held: dict[int, list[list[np.ndarray]]] = {order: [] for order in orders}
         size = 0
 
         def made() -> Iterator[pa.RecordBatch]:
             names = reader.names
             texts = sorted({word for _, word in names} | {lang.encode() for lang, _ in names})
             place = {word: n for n, word in enumerate(texts)}
-            langs = np.array([place[lang.encode()] for lang, _ in names], np.int64)
-            ranks = np.array([place[word] for _, word in names], np.int64)
-            columns = [np.concatenate(column) for column in zip(*held)]
-            columns = [langs[columns[0]]] + [ranks[column] for column in columns]
-            columns, counts = automata.sorted_sums(columns, np.ones(len(columns[0]), np.int64), len(texts))
-            for number, first, last in cut(columns, texts, begins):
-                payload = automata.build(texts, [column[first:last] for column in columns], counts[first:last]).to_bytes()
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([payload], pa.binary())], ["range", "payload"])
+            langs = np.array([place[lang.encode()] for lang, _ in names], np.int32)
+            ranks = np.array([place[word] for _, word in names], np.int32)
+            for order, runs in held.items():
+                if not runs:
+                    continue
+                columns = [np.concatenate(column) for column in zip(*runs)]
+                runs.clear()
+                columns = [langs[columns[0]]] + [ranks[column] for column in columns]
+                columns, counts = automata.sorted_sums(columns, np.ones(len(columns[0]), np.int64), len(texts))
+                for number, first, last in cut(columns, texts, begins):
+                    payload = automata.build(texts, [column[first:last] for column in columns], counts[first:last]).to_bytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([order], pa.int32()), pa.array([number], pa.int32()), pa.array([payload], pa.binary())],
+                        ["order", "range", "payload"])
 
         for batch in slices(batches, "text", BATCH_BYTES):
-            numbers = reader.batch(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
-            n = len(numbers) - order + 1
-            if n > 0:
+            numbers = reader.batch(batch)
+            joined = (numbers[:-1] >= 0) & (numbers[1:] >= 0)
+            if pairs is not None:
+                at = np.flatnonzero(joined)
+                keys = join_hashes(reader.hashes[numbers[at]], reader.hashes[numbers[at + 1]])
+                joined[at] = bloom.test(pairs.value, keys.view(np.int64))
+            for order in orders:
+                n = max(len(joined) - order + 2, 0)
                 keep = np.ones(n, bool)
-                for k in range(order):
-                    keep &= numbers[k:k + n] >= 0
-                if shorter is not None:
-                    fine = shorter_fine(numbers, reader.hashes, order - 1, shorter.value)
-                    keep &= fine[:n] & fine[1:n + 1]
+                for k in range(order - 1):
+                    keep &= joined[k:k + n]
                 at = np.flatnonzero(keep)
-                held.append([numbers[at + k] for k in range(order)])
-                size += len(at)
+                if len(at):
+                    held[order].append([numbers[at + k] for k in range(order)])
+                    size += len(at)
             if size > HELD or len(reader.names) > WORDS:
-                if size:
-                    yield from made()
-                held, size = [], 0
+                yield from made()
+                size = 0
                 if len(reader.names) > WORDS:
                     reader.forget()
         if size:
             yield from made()
 
-    return _texts(docs).mapInArrow(build, "range int, payload binary")
-
-
-def shorter_fine(numbers: np.ndarray, hashes: np.ndarray, order: int, words: np.ndarray) -> np.ndarray:
-    """Whether the sequence of ``order`` words from each place on may be frequent."""
-    n = len(numbers) - order + 1
-    whole = np.ones(n, bool)
-    for k in range(order):
-        whole &= numbers[k:k + n] >= 0
-    at = np.flatnonzero(whole)
-    key = hashes[numbers[at]]
-    for k in range(1, order):
-        key = join_hashes(key, hashes[numbers[at + k]])
-    whole[at] = bloom.test(words, key.view(np.int64))
-    return whole
+    return _texts(docs).mapInArrow(build, "order int, range int, payload binary")
 
 
 def cut(columns: list[np.ndarray], texts: list[bytes], begins: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
     """(range, first, last) of sorted sequences (lang, word, ...): the stretches between the ranges' begins."""
     n, wide = len(columns[0]), len(texts) + 1
-    key = columns[0] * wide + columns[1]
+    key = columns[0].astype(np.int64) * wide + columns[1]
     edges = [0]
     for lang, word, second in begins:
         # a bound that is no word of this task stands before the next one that is
@@ -241,14 +243,14 @@ def cut(columns: list[np.ndarray], texts: list[bytes], begins: list[tuple[bytes,
 
 
 def unite(parts: DataFrame, least: int) -> DataFrame:
-    """``(range, payload)`` of the sequences that stand ``least`` times or more, one transducer for a range."""
+    """``(order, range, payload)`` of the sequences that stand ``least`` times or more, one transducer for a range."""
     def merge(table: pa.Table) -> pa.Table:
         whole = automata.union([automata.Transducer.from_bytes(value.as_py()) for value in table["payload"]], least)
-        some = len(whole.words) > 0
-        return pa.table({"range": pa.array([table["range"][0].as_py()] if some else [], pa.int32()),
-                         "payload": pa.array([whole.to_bytes()] if some else [], pa.binary())})
+        first = table.slice(0, 1 if whole.words else 0)
+        return pa.table({"order": first["order"], "range": first["range"],
+                         "payload": pa.array([whole.to_bytes()] if whole.words else [], pa.binary())})
 
-    return parts.groupBy("range").applyInArrow(merge, "range int, payload binary")
+    return parts.groupBy("order", "range").applyInArrow(merge, "order int, range int, payload binary")
 
 
 ROWS = "lang string, words array<binary>, n long, key long"
@@ -263,18 +265,20 @@ def rows_of(counted: DataFrame) -> DataFrame:
                 columns, counts = whole.paths()
                 langs = [whole.words[n].decode() for n in columns[0].tolist()]
                 words = [[whole.words[n] for n in row] for row in zip(*(column.tolist() for column in columns[1:]))]
-                keys = []
-                for place in range(len(columns) - 1):
-                    more = np.array([word_hash(lang, row[place]) for lang, row in zip(langs, words)], np.uint64)
-                    keys = join_hashes(keys, more) if place else more
+                keys = np.zeros(len(langs), np.uint64)
+                for lang in set(langs):
+                    mine = np.flatnonzero(np.array([one == lang for one in langs]))
+                    for place in range(len(columns) - 1):
+                        more = word_hashes(lang, [words[n][place] for n in mine.tolist()])
+                        keys[mine] = join_hashes(keys[mine], more) if place else more
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(words, pa.list_(pa.binary())), pa.array(counts), pa.array(np.asarray(keys).view(np.int64))],
+                    [pa.array(langs, pa.string()), pa.array(words, pa.list_(pa.binary())), pa.array(counts), pa.array(keys.view(np.int64))],
                     ["lang", "words", "n", "key"])
 
     return counted.select("payload").mapInArrow(read, ROWS)
 
 
-def looked_up(asked: DataFrame, counted: dict[int, DataFrame], begins: list) -> DataFrame:
+def looked_up(asked: DataFrame, counted: DataFrame, begins: list) -> DataFrame:
     """``(lang, part, f)``: the counts of the different ``asked(lang, part array<binary>)``, by composition."""
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,11 +310,7 @@ def looked_up(asked: DataFrame, counted: dict[int, DataFrame], begins: list) ->
         return pa.table({"lang": pa.array(langs, pa.string()), "part": pa.array(parts, pa.list_(pa.binary())), "f": pa.array(counts, pa.int64())})
 
     requests = asked.distinct().mapInArrow(request, "range int, order int, asked binary")
-    stored = None
-    for order, frame in counted.items():
-        more = frame.select("range", F.lit(order).cast("int").alias("order"), "payload")
-        stored = more if stored is None else stored.unionByName(more)
-    return requests.groupBy("range", "order").cogroup(stored.groupBy("range", "order")).applyInArrow(
+    return requests.groupBy("order", "range").cogroup(counted.groupBy("order", "range")).applyInArrow(
         answer, "lang string, part array<binary>, f long")
 
 
@@ -333,20 +333,21 @@ def mine(docs: DataFrame, least: int = 30, longest: int = 4, inside: int = 80, t
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([word_hash(lang, word) for lang, word in
-                              zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist())], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
+            langs, words = batch.column("lang").to_pylist(), batch.column("word").to_pylist()
+            for lang in set(langs):
+                found = word_hashes(lang, [word for one, word in zip(langs, words) if one == lang])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
 
     words = bloom.build(frequent.select("lang", "word").mapInArrow(keys, "key long"), summary["words"])
-    # words alone, as transducers of the same ranges
-    counted = {1: written(_of_words(frequent, begins), "counts-1")}
-    candidates, shorter = None, None
-    for order in range(2, longest + 1):
-        counted[order] = written(unite(sequences(docs, order, words, shorter, begins), least), f"counts-{order}")
-        rows = written(rows_of(counted[order]), f"phrases-{order}")
-        candidates = rows if candidates is None else candidates.unionByName(rows)
-        if order < longest:
-            shorter = bloom.build(rows.select("key"), rows.count())
+    # words alone, as transducers of the same ranges; then pairs; then all longer sequences of frequent pairs
+    counted = written(of_words(frequent, begins), "counts-1")
+    counted = counted.unionByName(written(unite(sequences(docs, (2,), words, None, begins), least), "counts-2"))
+    candidates = written(rows_of(counted.where("order = 2")), "phrases-2")
+    if longest > 2:
+        pairs = bloom.build(candidates.select("key"), candidates.count())
+        more = written(unite(sequences(docs, tuple(range(3, longest + 1)), words, pairs, begins), least), "counts-3")
+        counted = counted.unionByName(more)
+        candidates = candidates.unionByName(written(rows_of(more), "phrases-3"))
     candidates = candidates.select("lang", "words", F.col("n").alias("a"))
     cuts = candidates.select("lang", "words", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")).select(
         "lang", "words", "a", "k", F.slice("words", F.lit(1), F.col("k")).alias("first"),
@@ -380,7 +381,7 @@ def _within(words: str, longest: int):
     return F.filter(F.array(*pieces), lambda piece: piece.isNotNull())
 
 
-def _of_words(frequent: DataFrame, begins: list) -> DataFrame:
+def of_words(frequent: DataFrame, begins: list) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = sorted(zip([lang.encode() for lang in batch.column("lang").to_pylist()],
@@ -391,9 +392,10 @@ def _of_words(frequent: DataFrame, begins: list) -> DataFrame:
             counts = np.array([row[2] for row in found], np.int64)
             for number, first, last in cut(columns, texts, begins):
                 payload = automata.build(texts, [column[first:last] for column in columns], counts[first:last]).to_bytes()
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([payload], pa.binary())], ["range", "payload"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([1], pa.int32()), pa.array([number], pa.int32()), pa.array([payload], pa.binary())], ["order", "range", "payload"])
 
-    return unite(frequent.select("lang", "word", "n").mapInArrow(build, "range int, payload binary"), 1)
+    return unite(frequent.select("lang", "word", "n").mapInArrow(build, "order int, range int, payload binary"), 1)
 
 
 SQL = r"""
