@@ -13,10 +13,17 @@ from tidemark.llm.queries import vocabulary
 from tidemark.session import shared_folder, ship_package
 
 
+def rest_of(docs: DataFrame, *names: str) -> list[str]:
+    """The columns that a stage hands on as one struct, so that none can clash with its own."""
+    return [name for name in docs.columns if name not in names]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
     ship_package(spark)
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    kept = docs.select("doc_id", "source", "lang", "text", F.struct(*rest_of(docs, "text")).alias("_rest"))
+    judged = quality.classify(kept, table(spark, sf_dir, "labels")).where("keep")
+    return judged.select(*[F.col(name) if name == "text" else F.col("_rest").getField(name).alias(name) for name in docs.columns])
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +33,10 @@ def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and terms that give it away replaced by their kind."""
-    return pii.sanitise(pii.find(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = docs.select("text", F.struct(*rest_of(docs, "text", "n_chars")).alias("_rest"))
+    clean = pii.sanitise(pii.find(kept))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean.select(*[made.get(name, F.col("_rest").getField(name)).alias(name) for name in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

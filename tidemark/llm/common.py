@@ -22,12 +22,13 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of ``column``, to bound a worker's memory."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int, field: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``column`` (or a field of it), to bound a worker's memory."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = [0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [0 if v is None else v for v in pa.compute.binary_length(
+            batch.column(column) if field is None else pa.compute.struct_field(batch.column(column), field)).to_pylist()]
         first, held = 0, 0
         for row, size in enumerate(sizes):
             if held and held + size > limit:

@@ -35,7 +35,7 @@ HEAD = struct.Struct("<4sBBHIIQ")
 SAMPLE = 128
 #: A segment closes at so many ids or documents; a longer document has a segment of its own.
 SEGMENT_IDS, SEGMENT_DOCUMENTS = 1 << 20, 1 << 16
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SEGMENTS = "part int, seq int, n_docs long, n_ids long, payload binary"
 
 

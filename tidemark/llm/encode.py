@@ -24,8 +24,39 @@ MARK = r".,!?%#&$*|:;"
 PART = re.compile(f"[{SPACE}]*[{LETTER}]+(?=[{MARK}{SPACE}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 PLAIN = re.compile(f" ?[{LETTER}]+")
 ODD = f"^ | $| [{SPACE}]|[{SPACE}] "
-#: Most pieces that a worker keeps; beyond it the memory starts afresh.
-KEPT = 800_000
+#: Bytes of words and ids that a generation of a worker's memory holds; two generations are kept.
+KEPT = 48 << 20
+#: What a remembered word takes besides its letters and ids.
+ENTRY = 200
+
+
+class Memory:
+    """Ids by word. Full, the young generation becomes the old one; words met again move back."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def look(self, words: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is known of each word, and the places of the unknown ones."""
+        found = list(map(self.young.get, words))
+        missing = []
+        if None in found:
+            old = self.old
+            for at in [n for n, value in enumerate(found) if value is None]:
+                value = found[at] = old.get(words[at])
+                if value is None:
+                    missing.append(at)
+                else:
+                    self.keep(words[at], value)
+        return found, missing
+
+    def keep(self, word: str, value: bytes) -> None:
+        self.held += len(word) + len(value) + ENTRY
+        if self.held > KEPT:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[word] = value
 
 
 def byte_letters() -> dict[int, str]:
@@ -45,8 +76,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.spaced, self.parts = Memory(), Memory()  # words behind a space; other pieces
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that hold an added token's string go through the library whole.
+        self.added = "(?i)" + "|".join(map(re.escape, added)) if added else None
         self.letters = byte_letters()
         self.lower = self.tokenizer.normalizer is not None  # this vocabulary drops spaces and case
 
@@ -56,48 +89,56 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Make every piece known; new ones are encoded part by part, all at once."""
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        made, fresh = {}, {}
-        for piece in pieces:
-            if piece not in known:
-                made[piece] = parts = PART.findall(piece)
-                for part in parts:
-                    if part not in known:
-                        fresh[part] = None
+    def _encode(self, names: list[str]) -> list[bytes]:
+        """Ids of pieces that the pre-tokenizer does not join with others; each is looked at once."""
         tokenize, letters, lower = self.tokenizer.model.tokenize, self.letters, self.lower
+        found: list[bytes | None] = []
         rest = []
-        for name in fresh:
+        for name in names:
             if PLAIN.fullmatch(name):  # one pre-token: straight to the library's model
                 word = name.strip().lower() if lower else name
                 if word.isascii():
                     word = word.replace(" ", letters[32])
                 else:
                     word = "".join([letters[byte] for byte in word.encode()])
-                known[name] = array("I", [token.id for token in tokenize(word)]).tobytes()
+                found.append(array("I", [token.id for token in tokenize(word)]).tobytes())
             else:
-                rest.append(name)
-        for name, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[name] = array("I", found.ids).tobytes()
-        for piece, parts in made.items():
-            if len(parts) != 1:
-                known[piece] = b"".join([known[part] for part in parts])
-
-    def _odd(self, text: str) -> bytes:
-        parts = PART.findall(text)
-        self._learn(list(set(parts)))
-        return b"".join([self.known[part] for part in parts])
+                rest.append(len(found))
+                found.append(None)
+        if rest:
+            made = self.tokenizer.encode_batch_fast([names[at] for at in rest], add_special_tokens=False)
+            for at, one in zip(rest, made):
+                found[at] = array("I", one.ids).tobytes()
+        return found
+
+    def _pieces(self, names: list[str]) -> list[bytes]:
+        """Ids of each piece, put together from its parts."""
+        plain = PLAIN.fullmatch
+        split = [[name] if plain(name) else PART.findall(name) for name in names]
+        parts = list(dict.fromkeys(part for some in split for part in some))
+        found, missing = self.parts.look(parts)
+        for at, value in zip(missing, self._encode([parts[at] for at in missing])):
+            found[at] = value
+            self.parts.keep(parts[at], value)
+        known = dict(zip(parts, found))
+        return [known[some[0]] if len(some) == 1 else b"".join([known[part] for part in some]) for some in split]
 
     def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end``; where each text's ids begin, and the total."""
         texts = pc.fill_null(texts, "")
-        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
-        own = {int(i): np.frombuffer(self._odd(texts[int(i)].as_py()), np.uint32) for i in odd}
+        apart = pc.match_substring_regex(texts, ODD)
+        own: dict[int, np.ndarray] = {}
+        if self.added is not None:
+            special = pc.match_substring_regex(texts, self.added)
+            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+                whole = self.tokenizer.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0]
+                own[i] = np.array(whole.ids, np.uint32)
+            apart = pc.or_(apart, special)
+        for i in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+            if i not in own:
+                own[i] = np.frombuffer(self._pieces([texts[i].as_py()])[0], np.uint32)
         if own:
-            texts = pc.if_else(pc.match_substring_regex(texts, ODD), "", texts)
+            texts = pc.if_else(apart, "", texts)
         split = pc.split_pattern(texts, " ")
         flat, bounds = split.flatten(), split.offsets.to_numpy()
         bounds = bounds - bounds[0]
@@ -105,16 +146,13 @@ class Encoder:
         codes = coded.indices.to_numpy().astype(np.int64)
         first = bounds[:-1].astype(np.int64)
         words = coded.dictionary.to_pylist()
-        heads = [words[c] for c in codes[first].tolist()]
-        names = [" " + word for word in words] + heads
+        heads = [words[c] for c in codes[first].tolist()]  # no space before these
+        found, missing = self.spaced.look(words)
+        for at, value in zip(missing, self._pieces([" " + words[at] for at in missing])):
+            found[at] = value
+            self.spaced.keep(words[at], value)
         codes[first] = len(words) + np.arange(len(first))
-        # a head alone has no space before it; other words that only stand there need no id
-        used = np.zeros(len(names), bool)
-        used[codes] = True
-        wanted = [name for name, use in zip(names, used.tolist()) if use]
-        self._learn(wanted)
-        known = self.known
-        found = [known[name] if use else b"" for name, use in zip(names, used.tolist())]
+        found += self._pieces(heads)
         vocabulary = np.frombuffer(b"".join(found), np.uint32)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts = np.cumsum(sizes) - sizes

@@ -50,6 +50,8 @@ der die das und in zu den von mit sich des auf für ist im dem nicht ein eine al
 el los las y que en un una por con no para su al es lo como más o pero sus""".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+#: A tag that the page's end cuts off is no text.
+OPEN_TAG = re.compile(r"</?[A-Za-z][^<>]*\Z")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -108,9 +110,10 @@ def blocks_of(page: str) -> list[Block]:
 
     while at < end:
         tag = TAG.search(page, at)
-        add(page[at:tag.start() if tag else end])
         if tag is None:
+            add(OPEN_TAG.sub("", page[at:end]))
             break
+        add(page[at:tag.start()])
         at = tag.end()
         closing, name, attributes = tag.groups()[:3] if tag[2] else tag.groups()[3:]  # the latter: a quote left open
         name = (name or "").lower()
@@ -185,6 +188,8 @@ def main_text(page: str | None) -> str:
                 label = bool(sides) and not sides[0][1] or found[at].heading and following[at] is not None and following[at][1]
         if label and texts[at]:
             kept.append(texts[at])
+    if not kept:  # nothing told good from bad, as in short pages or other languages: all that is not bad by its place
+        kept = [text for block, text, links in zip(found, texts, linked) if text and not links and not block.bad]
     return " ".join(kept)
 
 

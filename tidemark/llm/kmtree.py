@@ -179,23 +179,31 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
     smaller vec_id.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor does a
-    null vec_id or a vector whose length is not the commonest. Rows that repeat a vec_id are candidates of
-    their own for other queries; as a query, a vec_id counts once, by its smallest vector. A query that
-    finds fewer than ``k`` rows in its leaves visits all leaves. An empty table gives an empty one. Other
-    columns are not read.
+    null vec_id. Vectors of another length than the query's are not compared with it; each length has a tree
+    of its own. Rows that repeat a vec_id are candidates of their own for other queries; as a query, a vec_id
+    counts once, by its shortest, then smallest vector. A query that finds fewer than ``k`` rows in its leaves
+    visits all leaves. An empty table gives an empty one. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    given = clean(vectors, zero=False)
-    usual = given.groupBy("dims").count().orderBy(F.col("count").desc(), "dims").select("dims").first()
-    dims = usual["dims"] if usual else 0
-    rows = written(given.where(F.col("dims") == dims).select("vec_id", "vector"), "kmtree-rows")
-    total = rows.count()
-    if not total:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
+    given = written(clean(vectors, zero=False), "kmtree-rows", "dims")
+    asked = given.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dims", "vector")).alias("q"))
+    asked = written(asked.select("vec_id", "q.*"), "kmtree-queries", "dims")
+    found = None
+    for row in given.groupBy("dims").count().orderBy("dims").collect():  # a row per length
+        mine = F.col("dims") == row["dims"]
+        more = nearest_of_length(given.where(mine).select("vec_id", "vector"), asked.where(mine).select("vec_id", "vector"),
+                                 row["count"], k, recall)
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        return given.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
+    return found
+
+
+def nearest_of_length(rows: DataFrame, queries: DataFrame, total: int, k: int, recall: float) -> DataFrame:
+    """``nearest`` for written rows and queries (vec_id, vector) of one length."""
+    spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vector").toPandas()["vector"]
     tree = KMeansTree(np.stack(list(sample)), max(1, min(LEAVES, total // LEAF_ROWS)))
     shared = spark.sparkContext.broadcast(tree)
-    queries = written(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), "kmtree-queries")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +213,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
 
     index = written(rows.mapInArrow(indexed, "vec_id long, vector array<double>, leaf int"), "kmtree-index")
     probes = [(row["vec_id"], row["vector"]) for row in queries.orderBy(F.xxhash64(F.lit(3), "vec_id")).limit(PROBES).collect()]
-    true = exact_nearest(rows, probes, k).select("query_id", "vec_id").join(index.select("vec_id", "leaf").distinct(), "vec_id")
+    known = exact_nearest(rows, probes, k).select("query_id", "vec_id")  # at most PROBES * k rows
+    true = known.join(index.select("vec_id", "leaf"), "vec_id").distinct()
     leaves: dict[int, list[int]] = {}
     for row in true.collect():  # at most PROBES * k rows
         leaves.setdefault(row["query_id"], []).append(row["leaf"])

@@ -229,8 +229,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """
     rows = quantised(vectors)
     trees = written(build(written(rows, "mtree-rows")), "mtree-pages")
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dims").agg(F.min("vector").alias("vector"))
-    queries = written(queries.groupBy("vec_id").agg(F.min(F.struct("dims", "vector")).alias("q")).select("vec_id", "q.*"), "mtree-queries")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dims").agg(
+        F.min("vector").alias("vector"), F.count("*").alias("times"))
+    queries = written(queries.groupBy("vec_id").agg(F.min(F.struct("dims", "vector")).alias("q"), F.sum("times").alias("times"))
+                      .select("vec_id", "q.*", "times"), "mtree-queries")
 
     # blocks of queries, of one dimension each
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +285,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     floors = trees.mapInArrow(home, HITS).groupBy("query_id").agg(F.min("score").cast("double").alias("least"))
     floored = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").select(
-        "vec_id", "dims", "vector", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        "vec_id", "dims", "vector",  # a floor of a repeated vec_id may be another row's
+        F.coalesce(F.when(F.col("times") == 1, F.col("least")), F.lit(float("-inf"))).alias("least"))
     block = written(floored.repartition(F.expr(f"vec_id div {every * BLOCK}")).mapInArrow(
         blocks, "block long, dims int, ids binary, values binary, least binary"), "mtree-blocks")
     # the stated query set against all trees, in blocks: each block goes to every lane of trees once

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import slices, whole_text
 from tidemark.llm.encode import Encoder
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Pieces that are packed together. A block leaves at most about one sequence part-filled.
 BLOCK = 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -38,6 +38,8 @@ PATTERNS = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 BYTE = r"^(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 SUPPORT, THRESHOLD = 2, 0.9
+#: Up to so many terms, or texts and places of terms, go to every task (some 10 MB).
+FEW_TERMS = 100_000
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -97,13 +99,16 @@ def digest(spans: Column) -> Column:
         ":", F.element_at(names, span["kind"] + 1), span["start"].cast("string"), span["end"].cast("string"))), ",")
 
 
-def disclosing_terms(texts: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """``kind, value, term, disclosure`` over ``texts(text, spans)``: one row per disclosing pair."""
+def disclosing_terms(texts: DataFrame, told: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """``kind, value, term, disclosure``: one row per disclosing pair.
+
+    ``told`` (text, spans) are the rows of ``texts`` (text) that hold a value.
+    """
     values = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
     words = F.array_distinct(F.filter(F.split("text", GAP), lambda word: (F.char_length(word) > 1) & ~word.rlike(r"[@0-9]")))
     n = texts.count()
     # a row per different text; copies count as documents, not as evidence
-    hits = written(texts.where(F.size("spans") > 0).select(F.md5("text").alias("key"), values.alias("values"), words.alias("terms"))
+    hits = written(told.select(F.md5("text").alias("key"), values.alias("values"), words.alias("terms"))
                    .groupBy("key").agg(F.count("*").alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms")), "pii-hits")
     held = hits.select("key", "copies", F.explode("values").alias("v")).select("key", "copies", "v.*")
     # A term stands in as many documents at least as it stands with values in. Where that alone keeps its
@@ -130,22 +135,26 @@ def disclosing_terms(texts: DataFrame, support: int = SUPPORT, threshold: float
     candidates = written(together.where((F.col("texts") >= support) & (disclosure("n_near") >= threshold - 1e-9))
                          .select("kind", "value", "term", "n_both", "n_value"), "pii-candidates")
     terms = written(candidates.select("term").distinct(), "pii-terms")
-    if terms.isEmpty():
+    count = terms.count()
+    if not count:
         return candidates.select("kind", "value", "term", F.lit(1.0).alias("disclosure")).where("false")
-    # documents (rows, copies included) with a term
-    holding = texts.select(F.explode(F.array_distinct(F.split("text", GAP))).alias("term")).join(terms, "term")
-    n_term = holding.groupBy("term").agg(F.count("*").alias("n_term"))
+    # documents (rows, copies included) with a term; both ways add up in each task before anything is exchanged
+    standing = texts.select(F.explode(F.array_distinct(F.split("text", GAP))).alias("term"))
+    if count <= FEW_TERMS:
+        n_term = standing.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    else:
+        n_term = standing.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
     scored = candidates.join(n_term, "term").withColumn("disclosure", disclosure("n_term"))
     return written(scored.where(F.col("disclosure") >= threshold).select("kind", "value", "term", "disclosure"), "pii-disclosing")
 
 
-def term_spans(texts: DataFrame, disclosing: DataFrame) -> DataFrame:
+def term_spans(told: DataFrame, disclosing: DataFrame) -> DataFrame:
     """``_key, _terms``: the places of disclosing terms, per different text that holds their value."""
     edge = "\\x20\\x09-\\x0D"
-    held = texts.where(F.size("spans") > 0).select(F.md5("text").alias("_key"), "text", "spans")
-    told = (held.select("_key", F.explode("spans").alias("span")).select("_key", "span.kind", "span.value")
-            .join(disclosing, ["kind", "value"]).groupBy("_key").agg(F.collect_set("term").alias("terms")))
-    hits = held.select("_key", "text").dropDuplicates(["_key"]).join(told, "_key")
+    held = told.select(F.md5("text").alias("_key"), "text", "spans")
+    given = (held.select("_key", F.explode("spans").alias("span")).select("_key", "span.kind", "span.value")
+             .join(disclosing, ["kind", "value"]).groupBy("_key").agg(F.collect_set("term").alias("terms")))
+    hits = held.select("_key", "text").join(given, "_key").dropDuplicates(["_key"])
 
     def pattern(term: Column) -> Column:
         return F.concat(F.lit(f"(?<![^{edge}])"), F.lit("\\Q"), term, F.lit("\\E"), F.lit(f"(?![^{edge}])"))
@@ -160,12 +169,26 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD)
     Null text counts as empty and has no span, as has any text without a match. Repeated rows get equal
     spans and count as documents each. An empty table gives an empty one. A column named
     ``spans`` is replaced, names that begin with an underscore are reserved, others pass through.
+
+    Only rows that hold a value are written and examined for terms. Where few texts have terms they are sent to
+    all tasks; otherwise only rows that hold a value are exchanged, by text.
     """
     texts = docs.drop("spans").withColumn("spans", base_spans(whole_text()))
-    plain = texts.select(whole_text().alias("text"), "spans")
-    added = term_spans(plain, disclosing_terms(plain, support, threshold))
-    joined = texts.withColumn("_key", F.md5(whole_text())).join(added, "_key", "left")
-    return joined.withColumn("spans", F.concat("spans", F.coalesce("_terms", F.array().cast(SPAN)))).drop("_key", "_terms")
+    told = written(docs.select(whole_text().alias("text")).withColumn("spans", base_spans(F.col("text")))
+                   .where(F.size("spans") > 0), "pii-told")
+    plain = docs.select(whole_text().alias("text"))
+    disclosing = disclosing_terms(plain, told, support, threshold)
+    if disclosing.isEmpty():
+        return texts
+    added = written(term_spans(told, disclosing), "pii-terms-placed")
+    size = added.agg(F.count("*").alias("texts"), F.sum(F.size("_terms")).alias("spans")).first()
+    key = F.md5(whole_text())
+    whole = F.concat("spans", F.coalesce("_terms", F.array().cast(SPAN)))
+    if size["texts"] + (size["spans"] or 0) <= FEW_TERMS:
+        joined = texts.withColumn("_key", key).join(F.broadcast(added), "_key", "left")
+        return joined.withColumn("spans", whole).drop("_key", "_terms")
+    holding = texts.where(F.size("spans") > 0).withColumn("_key", key).join(added, "_key", "left")
+    return holding.withColumn("spans", whole).drop("_key", "_terms").unionByName(texts.where(F.size("spans") == 0))
 
 
 def sanitise(found: DataFrame) -> DataFrame:

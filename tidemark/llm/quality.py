@@ -7,6 +7,7 @@ half fits). It is a log likelihood ratio: the fitted log odds less those of the
 Sites: the mean posterior of every host and of every path below it, over all documents, shrunk to the
 host's and the corpus's. How strongly follows from the data: the strength is that of the beta prior
 whose variance matches the spread between sites that sampling noise leaves over (method of moments).
+A document is left out of the sums of its own site.
 Final log odds are those of the path's shrunk mean plus the evidence.
 """
 
@@ -18,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm.common import slices, whole_text
 from tidemark.session import written
 
 SAMPLE, WORDS, SEEN, TELLING = 16_000, 512, 3, 12.0
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 RIDGE, CLIP, KEEP_AT = 1e-2, 12.0, 0.5
 SYMBOLS = "!#$%&*|@~^_=+<>{}[]\\/"
 
@@ -136,16 +138,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                  float(np.log(np.clip(good, 0.01, 0.99) / (1 - np.clip(good, 0.01, 0.99)))))
 
 
-def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``evidence``."""
+def with_evidence(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
+    """``_row`` (the row of ``docs(text, ...)``; its text only with ``whole``) and ``_evidence``.
+
+    A row goes through Python once, as one struct, so that no column can clash.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [name for name in docs.columns if whole or name != "text"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", BATCH_BYTES):
-            yield batch.append_column("evidence", pa.array(shared.value.evidence(batch.column("text").to_pylist()), pa.float64()))
+        for batch in slices(batches, "_row", BATCH_BYTES, "text") if whole else slices(batches, "_text", BATCH_BYTES):
+            texts = pa.compute.struct_field(batch.column("_row"), "text") if whole else batch.column("_text")
+            evidence = pa.array(shared.value.evidence(texts.to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), evidence], ["_row", "_evidence"])
 
-    schema = docs.drop("evidence").schema.add("evidence", "double")
-    return docs.drop("evidence").mapInArrow(scored, schema)
+    rows = docs.select(F.struct(*kept).alias("_row"), *([] if whole else [F.col("text").alias("_text")]))
+    return rows.mapInArrow(scored, T.StructType([rows.schema["_row"], T.StructField("_evidence", T.DoubleType())]))
 
 
 def strength(mean: Column, between: Column) -> Column:
@@ -157,15 +165,19 @@ def logit(p: Column) -> Column:
     return F.log(p) - F.log(1 - p)
 
 
-def site_posteriors(evidence: DataFrame, host: str, path: str, base: float) -> DataFrame:
-    """``_host, _path, host_posterior, path_posterior`` per path of ``evidence(host, path, evidence)``.
+def probability_of(evidence: Column, base: float) -> Column:
+    return 1 / (1 + F.exp(-(evidence + F.lit(base))))
+
+
+def site_sums(evidence: DataFrame, host: Column, path: Column, base: float) -> tuple[DataFrame, float, float, float]:
+    """``_host, _path, n, s, hn, hs`` per path of ``evidence(_evidence, ...)``, and what all sites share:
+    the mean posterior, the strength of its prior, and the variance between a host's paths.
 
     Counts are combined before they are exchanged, so a host with a third of the rows is no hot key.
     """
-    p = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(base))))
-    paths = evidence.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(
-        F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
-    paths = written(paths, "quality-paths")
+    p = probability_of(F.col("_evidence"), base)
+    paths = written(evidence.groupBy(host.alias("_host"), path.alias("_path")).agg(
+        F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")), "quality-paths")
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"))
     noise = F.greatest(F.lit(0.0), F.col("hq") / F.col("hn") - F.pow(F.col("hs") / F.col("hn"), 2)) / F.col("hn")
     whole = hosts.agg(
@@ -174,32 +186,39 @@ def site_posteriors(evidence: DataFrame, host: str, path: str, base: float) -> D
         (F.sum(noise * F.col("hn")) / F.sum("hn")).alias("noise")).first()
     mean = min(0.999, max(0.001, whole["mean"] if whole["mean"] is not None else 0.5))
     between = max(0.0, (whole["spread"] or 0.0) - (whole["noise"] or 0.0))
-    k = F.lit(float(min(1e6, max(1.0, mean * (1 - mean) / max(between, 1e-9) - 1))))
-    hosts = hosts.withColumn("host_posterior", (F.col("hs") + k * F.lit(mean)) / (F.col("hn") + k))
-    hosts = hosts.select(F.col("_host").alias("_h"), "host_posterior")
+    k = float(min(1e6, max(1.0, mean * (1 - mean) / max(between, 1e-9) - 1)))
+    hosts = hosts.select(F.col("_host").alias("_h"), "hn", "hs")
     joined = paths.join(hosts, paths["_host"].eqNullSafe(hosts["_h"])).drop("_h")
+    shrunk = (F.col("hs") + k * F.lit(mean)) / (F.col("hn") + k)
     inner = F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)) / F.col("n")
-    spread = joined.agg((F.sum(F.col("n") * (F.pow(F.col("s") / F.col("n") - F.col("host_posterior"), 2) - inner)) / F.sum("n")).alias("v")).first()["v"]
-    k_path = strength(F.col("host_posterior"), F.lit(float(max(0.0, spread or 0.0))))
-    return written(joined.select("_host", "_path", "host_posterior",
-                                 ((F.col("s") + k_path * F.col("host_posterior")) / (F.col("n") + k_path)).alias("path_posterior")), "quality-sites")
+    spread = joined.agg((F.sum(F.col("n") * (F.pow(F.col("s") / F.col("n") - shrunk, 2) - inner)) / F.sum("n")).alias("v")).first()["v"]
+    sites = written(joined.select("_host", "_path", "n", "s", "hn", "hs"), "quality-sites")
+    return sites, mean, k, float(max(0.0, spread or 0.0))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE,
-             keep_at: float = KEEP_AT) -> DataFrame:
+             keep_at: float = KEEP_AT, whole: bool = True) -> DataFrame:
     """``docs`` with evidence, host_posterior, path_posterior, probability and keep.
 
     A path is a pair of host and path value; nulls are values of their own. Null text counts as empty.
-    Repeated rows are documents each. Without labels the probability is the same for all. An empty table
-    gives an empty one. Columns of these names are replaced; others pass through.
+    Repeated rows are documents each. A document's site is judged by its other documents: its own posterior is
+    taken out of the sums of its path and host, so that its evidence counts once. Without labels the
+    probability is the same for all documents of a site. An empty table gives an empty one. Columns of these names are replaced;
+    others pass through, but for ``text`` with ``whole=False``. Every text is scored once.
     """
     added = ["evidence", "host_posterior", "path_posterior", "probability", "keep"]
-    docs = docs.drop(*added)
     model = fit(docs, labels, sample)
-    narrow = written(with_evidence(docs.select(host, path, "text"), model).drop("text"), "quality-evidence")
-    sites = site_posteriors(narrow, host, path, model.base)
-    scored = with_evidence(docs, model)
-    joined = scored.join(sites, scored[host].eqNullSafe(sites["_host"]) & scored[path].eqNullSafe(sites["_path"])).drop("_host", "_path")
+    scored = written(with_evidence(docs, model, whole), "quality-evidence")
+    sites, mean, k, spread = site_sums(scored, F.col("_row").getField(host), F.col("_row").getField(path), model.base)
+    joined = scored.join(sites, F.col("_row").getField(host).eqNullSafe(sites["_host"])
+                         & F.col("_row").getField(path).eqNullSafe(sites["_path"]))
+    own = probability_of(F.col("_evidence"), model.base)
+    of_host = (F.col("hs") - own + k * F.lit(mean)) / (F.col("hn") - 1 + k)
+    k_path = strength(F.col("host_posterior"), F.lit(spread))
+    of_path = (F.col("s") - own + k_path * F.col("host_posterior")) / (F.col("n") - 1 + k_path)
     inside = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("path_posterior")))
-    return (joined.withColumn("probability", 1 / (1 + F.exp(-(F.col("evidence") + logit(inside)))))
-            .withColumn("keep", F.col("probability") >= keep_at))
+    judged = (joined.withColumn("host_posterior", of_host).withColumn("path_posterior", of_path)
+              .withColumn("probability", 1 / (1 + F.exp(-(F.col("_evidence") + logit(inside)))))
+              .withColumn("keep", F.col("probability") >= keep_at))
+    others = [name for name in docs.columns if name not in added and (whole or name != "text")]
+    return judged.select(*[F.col("_row").getField(name).alias(name) for name in others], F.col("_evidence").alias("evidence"), *added[1:])

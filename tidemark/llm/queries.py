@@ -71,7 +71,8 @@ def op7_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_site_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    return quality.classify(docs, table(spark, folder, "labels"), whole=False).select(
         "doc_id", "source", "lang", "evidence", "host_posterior", "path_posterior", "probability", "keep")
 
 

@@ -423,7 +423,7 @@ def keep_one(docs: DataFrame, words: int = COPY_WORDS, similarity: float = SIMIL
     best = placed.groupBy("root").agg(F.min(F.struct("least", "node")).alias("best")).select("best.*")
     times = rows.select("node", null_last.alias("least")).groupBy("node", "least").agg(F.count("*").alias("times"))
     kept = written(best.join(times, ["node", "least"]).withColumnsRenamed({"node": "_node", "least": "_least", "times": "_times"}), "copies-kept")
-    named = docs.withColumns({"_node": text_node(), "_least": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
+    named = docs.select(F.struct(*docs.columns).alias("_row"), text_node().alias("_node"), null_last.alias("_least"))
     once = named.join(kept.where("_times = 1").drop("_times"), ["_node", "_least"], "left_semi")
     again = named.join(kept.where("_times > 1").drop("_times"), ["_node", "_least"], "left_semi").dropDuplicates(["_node", "_least"])
-    return once.unionByName(again).select(*docs.columns)
+    return once.unionByName(again).select("_row.*")
