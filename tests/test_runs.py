@@ -121,3 +121,67 @@ def test_scratch_is_cleared_after_errors_too(spark):
         raise ZeroDivisionError
     assert not os.path.exists(path)
     delete(spark, path)  # nothing there is no error
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bucketed_table_saves_the_exchange(spark, tmp_path):
+    from tidemark import schemas
+    from tidemark.operators.features import build_features
+
+    made = spark.range(400).select(
+        F.concat(F.lit("S"), F.col("id") % 40).alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 40).cast("int")).alias("date"),
+        *[F.lit(None).cast(field.dataType).alias(field.name) if field.name not in ("open", "high", "low", "close", "volume") else
+          (F.lit(10.0) + F.col("id") % 7).cast(field.dataType).alias(field.name)
+          for field in schemas.DAILY.fields if field.name not in ("symbol", "date")])
+    table = landed.write_bucketed(made, str(tmp_path / "daily"), 8)
+    files = [name for name in os.listdir(tmp_path / "daily") if name.endswith(".parquet")]
+    assert len(files) <= 8 and table.count() == 400
+    features = build_features(table)
+    assert "Exchange" not in plan_of(features) and "Window" in plan_of(features)
+    assert "Exchange" in plan_of(build_features(made))
+    months = table.groupBy("symbol").agg(F.max("date").alias("last"))
+    assert "Exchange" not in plan_of(table.hint("merge").join(months, "symbol"))
+    again = landed.read_bucketed(spark, str(tmp_path / "daily"), made.schema, 8)
+    compared = ["symbol", "date", "rsi_14", "ret_5"]
+    key = lambda row: (row["symbol"], row["date"])
+    assert sorted(build_features(again).select(*compared).collect(), key=key) == sorted(build_features(made).select(*compared).collect(), key=key)
+
+
+def test_series_are_read_in_blocks(spark, monkeypatch):
+    import datetime as dt
+    import random
+
+    from tidemark.functions import windows
+    from tidemark.operators import leads
+
+    monkeypatch.setattr(windows, "BLOCK_DAYS", 9)
+    draw = random.Random(5)
+    first = dt.date(2023, 12, 1)
+    dates = sorted(draw.sample([first + dt.timedelta(days=n) for n in range(300)], 120))
+    values = [None if draw.random() < 0.2 else round(30 + draw.random(), 3) for _ in dates]
+    rates = spark.createDataFrame(list(zip(dates, values)), "date date, usd_twd double")
+    known, ups, before = [], [], None
+    for value in values:
+        now = before if value is None else value
+        ups.append(bool(now is not None and before is not None and now / before - 1 > 0))
+        known.append(now)
+        before = now
+    want = [(d, float(up), float(n >= 2 and all(ups[n - 2:n + 1]))) for n, (d, up) in enumerate(zip(dates, ups))]
+    assert sorted(tuple(row) for row in leads.currency_signals(rates).collect()) == want and any(row[2] for row in want)
+    prices = rates.withColumnRenamed("usd_twd", "adj_close")
+    returns = leads.session_returns(prices, "tsm_lead_ret")
+    got = {row["date"]: row["value"] for row in returns.collect()}
+    for n, d in enumerate(dates):
+        back = known[n - 1] if n else None
+        assert got[d] == pytest.approx(known[n] / back - 1) if known[n] is not None and back is not None else got[d] is None
+    targets = spark.createDataFrame([(first + dt.timedelta(days=n),) for n in range(0, 310, 3)], "date date")
+    aligned = leads.align_prior_session(returns, targets, ("tsm_lead_ret",))
+    for row in aligned.collect():
+        earlier = [got[d] for d in dates if d < row["date"] and got[d] is not None]
+        assert row["value"] == (earlier[-1] if earlier else None)
+    for line in plan_of(aligned).splitlines():
+        if "Window [" in line and "block" not in line:
+            raise AssertionError(f"a window without blocks: {line}")

@@ -221,6 +221,13 @@ def _(s):
     return back.select(*KEY, *BAR.split(", "))
 
 
+@case("snk_02_bucketed_month_highs", "SELECT symbol, strftime(date, '%Y-%m') AS month, max(high) AS high, count(*) AS days FROM prices GROUP BY ALL")
+def _(s):
+    """Months per symbol over the bucketed table: the aggregate exchanges nothing."""
+    table = landed.write_bucketed(s.prices, fresh(s, "bucketed"), 16)
+    return table.groupBy("symbol", month_of("date").alias("month")).agg(F.max("high").alias("high"), F.count(F.lit(1)).alias("days"))
+
+
 @case("snk_03_result_tables", f"""
 SELECT 'labelled' AS name, symbol, date, {rounded("regret").split(" AS ")[0]} AS value FROM labelled UNION ALL
 SELECT 'oracle', symbol, oracle_date, {rounded("oracle_adjusted_open").split(" AS ")[0]} FROM oracle""")

@@ -4,44 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.config import OVERNIGHT_DUMP
 from tidemark.functions.scalars import holds, number, ratio
+from tidemark.functions.windows import last_known, running_count
 
 LEAD_COLUMNS = ("tsm_lead_ret", "sox_lead_ret", "usd_twd_up", "usd_twd_up_streak3")
 
 
-def by_series() -> WindowSpec:
-    return Window.partitionBy("series").orderBy("date")
-
-
-def _change(value: Column) -> Column:
-    """Change on the previous row, gaps filled with the last known value."""
-    known = F.last(value, ignorenulls=True).over(by_series().rowsBetween(Window.unboundedPreceding, 0))
-    before = F.last(value, ignorenulls=True).over(by_series().rowsBetween(Window.unboundedPreceding, -1))
-    return ratio(known, before) - 1.0
-
-
 def session_returns(prices: DataFrame, series: str) -> DataFrame:
-    """(series, date, value): the return of each session of one price series."""
+    """(series, date, value): the return of each session of one price series on the one before, gaps
+    filled with the last known price."""
     tagged = prices.select(F.lit(series).alias("series"), "date", number("adj_close").alias("price"))
-    return tagged.select("series", "date", _change(F.col("price")).alias("value"))
+    known = last_known(tagged, "series", "date", {"price": F.col("price")})
+    return known.select("series", "date", (ratio(F.col("price_upto"), F.col("price_before")) - 1.0).alias("value"))
 
 
 def currency_signals(fx: DataFrame) -> DataFrame:
     """Whether the rate rose today, and on three rows running; unknown changes are no rise."""
     tagged = fx.select(F.lit("fx").alias("series"), "date", number("usd_twd").alias("rate"))
-    rise = tagged.withColumn("up", holds(_change(F.col("rate")) > 0))
-    streak = (
-        F.col("up")
-        & F.lag("up", 1, False).over(by_series())
-        & F.lag("up", 2, False).over(by_series())
-    )
-    return rise.withColumn("streak", streak).select(
-        "date", F.col("up").cast("double").alias("usd_twd_up"),
-        F.col("streak").cast("double").alias("up_streak3"),
-    )
+    known = last_known(tagged, "series", "date", {"rate": F.col("rate")})
+    rise = known.select("series", "date", holds(ratio(F.col("rate_upto"), F.col("rate_before")) - 1.0 > 0).alias("up"))
+    placed = running_count(rise, "series", "date", "place")
+    fallen = last_known(placed, "series", "date", {"fall": F.when(~F.col("up"), F.col("place"))})
+    streak = F.col("place") - F.coalesce("fall_upto", F.lit(0)) >= 3
+    return fallen.select("date", F.col("up").cast("double").alias("usd_twd_up"), streak.cast("double").alias("up_streak3"))
 
 
 def align_prior_session(
@@ -49,9 +37,8 @@ def align_prior_session(
 ) -> DataFrame:
     """For each target date the last non-null value dated at least one day earlier.
 
-    ``source`` is (series, date, value) and ``targets`` holds distinct dates. Both are
-    bounded by the calendar, so one window per series orders a few thousand rows;
-    the symbols are joined on afterwards.
+    ``source`` is (series, date, value) and ``targets`` holds distinct dates. Each series is read in
+    blocks of days; the symbols are joined on afterwards.
     """
     asked = targets.select("date", F.explode(F.array(*map(F.lit, series))).alias("series")).select(
         "series", F.date_sub("date", 1).alias("ts"), F.lit(1).alias("tag"),
@@ -61,12 +48,8 @@ def align_prior_session(
         "series", F.col("date").alias("ts"), F.lit(0).alias("tag"), "value",
         F.lit(None).cast("date").alias("date"),
     )
-    order = Window.partitionBy("series").orderBy("ts", "tag").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        known.unionByName(asked)
-        .withColumn("value", F.last("value", ignorenulls=True).over(order))
-        .where("tag = 1").select("series", "date", "value")
-    )
+    carried = last_known(known.unionByName(asked), "series", "ts", {"value": F.col("value")}, ("tag",))
+    return carried.where("tag = 1").select("series", "date", F.col("value_upto").alias("value"))
 
 
 def lead_signals(tsm: DataFrame, sox: DataFrame, fx: DataFrame) -> DataFrame:
