@@ -25,7 +25,7 @@ PART = re.compile(f"[{SPACE}]*[{LETTER}]+(?=[{MARK}{SPACE}])|[{SPACE}]*[^{SPACE}
 PLAIN = re.compile(f" ?[{LETTER}]+")
 ODD = f"^ | $| [{SPACE}]|[{SPACE}] "
 #: Bytes of words and ids that a generation of a worker's memory holds; two generations are kept.
-KEPT = 48 << 20
+KEPT = 80 << 20
 #: What a remembered word takes besides its letters and ids.
 ENTRY = 200
 
@@ -53,6 +53,8 @@ class Memory:
         return found, missing
 
     def keep(self, word: str, value: bytes) -> None:
+        if word in self.young:
+            return
         self.held += len(word) + len(value) + ENTRY
         if self.held > KEPT:
             self.old, self.young, self.held = self.young, {}, 0
@@ -115,12 +117,17 @@ class Encoder:
         """Ids of each piece, put together from its parts."""
         plain = PLAIN.fullmatch
         split = [[name] if plain(name) else PART.findall(name) for name in names]
-        parts = list(dict.fromkeys(part for some in split for part in some))
-        found, missing = self.parts.look(parts)
-        for at, value in zip(missing, self._encode([parts[at] for at in missing])):
-            found[at] = value
-            self.parts.keep(parts[at], value)
-        known = dict(zip(parts, found))
+        parts = dict.fromkeys(part for some in split for part in some)
+        behind = [part for part in parts if part[0] == " " and " " not in part[1:]]
+        known: dict[str, bytes] = {}
+        apart = set(behind)
+        rest = [part for part in parts if part not in apart]
+        for memory, wanted, keys in ((self.spaced, behind, [part[1:] for part in behind]), (self.parts, rest, rest)):
+            found, missing = memory.look(keys)
+            for at, value in zip(missing, self._encode([wanted[at] for at in missing])):
+                found[at] = value
+                memory.keep(keys[at], value)
+            known.update(zip(wanted, found))
         return [known[some[0]] if len(some) == 1 else b"".join([known[part] for part in some]) for some in split]
 
     def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
