@@ -82,6 +82,25 @@ def test_spark_folds_equal_a_plain_loop(spark):
         np.testing.assert_allclose(here["predicted_remaining_log_ratio"], want["predicted_remaining_log_ratio"], rtol=1e-9)
 
 
+def test_states_merge_to_the_whole():
+    from tidemark.operators.expanding import Expanding
+
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        parts = [np.where(rng.random(n) < 0.3, np.nan, rng.normal(50, 1e-3, n).round(5)) for n in rng.integers(0, 9, 6)]
+        state = Expanding()
+        for n, part in enumerate(parts):
+            state.merge(Expanding(part))
+            whole = np.concatenate(parts[:n + 1])
+            fill = np.nanmedian(whole) if (~np.isnan(whole)).any() else 0.0
+            full = np.where(np.isnan(whole), fill, whole)
+            assert state.fill() == pytest.approx(fill) and state.missing == np.isnan(whole).sum()
+            if len(full):
+                assert state.moments() == pytest.approx((full.mean(), full.std()), rel=1e-9, abs=1e-9)
+    apart = Expanding(parts[0]).merge(Expanding(np.concatenate(parts[1:])))
+    assert apart.moments() == pytest.approx(state.moments(), abs=1e-9)
+
+
 def test_stored_folds_are_not_run_again(spark):
     frame = market()
     first = W.fingerprints(table(spark, frame), CONFIG, FEATURES)

@@ -194,13 +194,3 @@ def fit_and_score(train: pd.DataFrame, test: pd.DataFrame, features: list[str],
         "near_probability": near_probability(train, test, features, config),
         "predicted_remaining_log_ratio": remaining_log_ratio(train, test, features, config),
     })
-
-
-def preparation(train: pd.DataFrame, features: list[str]) -> pd.DataFrame:
-    """Fill value, gap flag, mean and spread per feature of one training set."""
-    scaler = Scaler(train[features].to_numpy(dtype=float))
-    n = len(features)
-    return pd.DataFrame({
-        "feature": features, "fill": scaler.fill, "has_gaps": scaler.gaps,
-        "mean": scaler.mean[:n], "spread": scaler.spread[:n],
-    })

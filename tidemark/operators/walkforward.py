@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.config import FEATURE_SETS, ModelConfig
 from tidemark.operators.compare import running_months
-from tidemark.operators.models import fit_and_score, preparation
+from tidemark.operators.expanding import Expanding
+from tidemark.operators.models import fit_and_score
 from tidemark.operators.quality import require_columns
 
 Estimator = Callable[[pd.DataFrame, pd.DataFrame, list[str], ModelConfig], pd.DataFrame]
@@ -186,20 +187,24 @@ def reservation_prices(scored: DataFrame, config: ModelConfig = ModelConfig()) -
 
 def fold_preparation(
     labelled: DataFrame, config: ModelConfig = ModelConfig(), features: Sequence[str] = FEATURE_SETS["all"],
-    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Fill values and scales that each fold's classifier uses, per feature."""
-    folds = expanding_folds(labelled, config.initial_months).select("symbol", "test_month")
-    names = list(features)
+    """Fill values and scales that each fold's classifier uses, per feature.
 
-    def run(rows: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        parts = [
-            preparation(train, names).assign(symbol=train["symbol"].iloc[0], test_month=fold["test_month"])
-            for fold, train, _ in _split(rows, group)
-        ]
-        order = ["symbol", "test_month", "feature", "fill", "has_gaps", "mean", "spread"]
-        return pd.concat(parts, ignore_index=True)[order] if parts else pd.DataFrame(columns=order)
-
-    schema = ("symbol string, test_month string, feature string, fill double, has_gaps boolean, "
-              "mean double, spread double")
-    return _cogroup(labelled, folds, names, buckets).applyInPandas(run, schema)
+    One pass per symbol and feature: a month is merged into the state of the months before it, so the values
+    of a fold are not read again by the next. A group holds one number per trading date.
+    """
+    names = list(features)
+    long = labelled.select("symbol", "month", *[F.col(name).cast("double").alias(name) for name in names]).unpivot(
+        ["symbol", "month"], names, "feature", "value")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = Expanding(), []
+        for at, (month, some) in enumerate(rows.groupby("month", sort=True)):
+            if at >= config.initial_months:
+                mean, spread = state.moments()
+                out.append((key[0], month, key[1], state.fill(), state.missing > 0, mean, spread))
+            state.merge(Expanding(some["value"].to_numpy()))
+        return pd.DataFrame(out, columns=["symbol", "test_month", "feature", "fill", "has_gaps", "mean", "spread"])
+
+    return long.groupBy("symbol", "feature").applyInPandas(
+        run, "symbol string, test_month string, feature string, fill double, has_gaps boolean, mean double, spread double")
