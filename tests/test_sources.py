@@ -118,6 +118,30 @@ def test_payload_files_carry_their_symbol(spark, tmp_path):
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "true")
 
 
+def test_errors_name_the_file_and_the_row(spark, tmp_path):
+    def land(name, body):
+        folder = tmp_path / name / "symbol=AB"
+        folder.mkdir(parents=True)
+        (folder / "one.json").write_text(body if isinstance(body, str) else json.dumps(body))
+        return landed.read_payloads(spark, str(tmp_path / name))
+
+    good = {"date": "2024-01-02", "MarginPurchaseTodayBalance": 1, "ShortSaleTodayBalance": 2}
+    bad = land("number", {"status": 200, "msg": "success", "data": [good, {**good, "ShortSaleTodayBalance": "n/a"}]})
+    with pytest.raises(PySparkException, match=r"number/symbol=AB/one.json row 2; ShortSaleTodayBalance=n/a"):
+        P.parse_margin(P.open_envelope(bad, tuple(good))).collect()
+    for name, body in (("cut", '{"status": 200, "msg": "success", "da'), ("quota", {"status": 402, "msg": "no", "data": []})):
+        with pytest.raises(PySparkException, match=f"payload refused: status, msg or data; .*{name}/symbol=AB/one.json"):
+            P.open_envelope(land(name, body), ("date",)).collect()
+    with pytest.raises(PySparkException, match=r"row 1; name=Someone; buy=1; sell=null"):
+        P.parse_institutions(P.open_envelope(land("class", {"status": 200, "msg": "success", "data": [
+            {"date": "2024-01-02", "name": "Someone", "buy": 1}]}), ("date", "name", "buy", "sell"))).collect()
+    with pytest.raises(PySparkException, match="NAV payload refused; .*nav/symbol=AB/one.json"):
+        P.parse_nav(land("nav", {"ResultCode": 1, "ResultMsg": "x", "Data": None})).collect()
+    held = spark.createDataFrame([("Q", json.dumps({"status": 200, "msg": "success", "data": [None]}))], "symbol string, payload string")
+    with pytest.raises(PySparkException, match="payload of Q"):
+        P.open_envelope(held, ("date",)).collect()
+
+
 def test_daily_file_with_byte_order_mark(spark, tmp_path):
     names = schemas.DAILY.fieldNames()
     values = {"symbol": "0050", "date": "2024-01-02", "institutional_available": "true", "feature_available_date": "",

@@ -22,9 +22,10 @@ def number(value: Column | str) -> Column:
     return F.when(F.abs(cast) < F.lit(math.inf), cast)
 
 
-def guard(ok: Column, value: Column, message: str) -> Column:
-    """``value`` where ``ok`` holds; otherwise (false or NULL) the job fails with ``message``."""
-    return F.when(ok, value).otherwise(F.raise_error(F.lit(message)))
+def guard(ok: Column, value: Column, message: str, *evidence: Column) -> Column:
+    """``value`` where ``ok`` holds; otherwise (false or NULL) the job fails with ``message`` and the evidence."""
+    said = F.concat(F.lit(message), *[part for one in evidence for part in (F.lit("; "), F.coalesce(one, F.lit("?")))])
+    return F.when(ok, value).otherwise(F.raise_error(said if evidence else F.lit(message)))
 
 
 def positive(*names: str) -> Column:

@@ -20,9 +20,9 @@ LEAD_FILES = {"tsm": "tsm_us.csv", "sox": "sox_us.csv", "fx": "usd_twd.csv"}
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, payload): each file is one response; the symbol comes from its folder."""
+    """(symbol, payload, file): each file is one response; the symbol comes from its folder."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("symbol").cast("string").alias("symbol"), F.col("value").alias("payload"))
+        F.col("symbol").cast("string").alias("symbol"), F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

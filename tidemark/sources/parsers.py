@@ -37,32 +37,52 @@ SPLIT_SNAP = 0.02
 # ------------------------------------------------------------- end fixed values
 
 
+def place(frame: DataFrame, position: Column | None = None) -> Column:
+    """Where a payload, or a row of it, came from: its file if known, else its symbol, and the row's number."""
+    own = F.concat(F.lit("payload of "), F.coalesce("symbol", F.lit("?")))
+    source = F.coalesce("file", own) if "file" in frame.columns else own
+    return source if position is None else F.concat(source, F.lit(" row "), position.cast("string"))
+
+
+def _rows(parsed: DataFrame, whole: Column, data: Column, message: str) -> DataFrame:
+    """(symbol, _at, r): the rows of whole payloads, each with its place; any other payload fails with its own."""
+    return parsed.select("symbol", place(parsed).alias("_file"), F.posexplode(guard(whole, data, message, place(parsed))).alias("_n", "r")).select(
+        "symbol", F.concat("_file", F.lit(" row "), (F.col("_n") + 1).cast("string")).alias("_at"), "r")
+
+
+def _evidence(rows: DataFrame, *raw: str) -> list[Column]:
+    """The place of a row, where it is known, and the texts that were refused."""
+    at = [F.col("_at")] if "_at" in rows.columns else []
+    return [*at, *[F.concat(F.lit(f"{name}="), F.coalesce(F.col(name).cast("string"), F.lit("null"))) for name in raw]]
+
+
 def open_envelope(payloads: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Rows of ``{status, msg, data: [{...}]}`` payloads; a status other than 200 fails."""
+    """Rows of ``{status, msg, data: [{...}]}`` payloads, with their place ``_at``; a status other than 200 fails.
+
+    Errors here and in the parsers name the file (or the symbol, where no file is known) and the row.
+    """
     row = ", ".join(f"`{name}`: string" for name in fields)
     parsed = payloads.withColumn(
         "_p", F.from_json("payload", f"status int, msg string, data array<struct<{row}>>"))
     whole = (F.col("_p.status") == 200) & F.col("_p.data").isNotNull() & ~F.exists(
         "_p.data", lambda item: item.isNull())
-    return parsed.select(
-        "symbol", F.explode(guard(whole, F.col("_p.data"), "payload refused: status, msg or data")).alias("r")
-    ).select("symbol", "r.*")
+    return _rows(parsed, whole, F.col("_p.data"), "payload refused: status, msg or data").select("symbol", "_at", "r.*")
 
 
 def _date(name: str = "date") -> Column:
     return F.to_date(F.substring(name, 1, 10)).alias("date")
 
 
-def _numeric(fields: Mapping[str, str], source: str) -> list[Column]:
+def _numeric(rows: DataFrame, fields: Mapping[str, str], source: str) -> list[Column]:
     """Renamed double columns; a missing or unreadable number fails."""
     return [
-        guard(number(raw).isNotNull(), number(raw), f"{source}: invalid number in {raw}").alias(name)
+        guard(number(raw).isNotNull(), number(raw), f"{source}: invalid number in {raw}", *_evidence(rows, raw)).alias(name)
         for raw, name in fields.items()
     ]
 
 
 def parse_prices(rows: DataFrame) -> DataFrame:
-    return rows.select("symbol", _date(), *_numeric(PRICE_FIELDS, "prices"))
+    return rows.select("symbol", _date(), *_numeric(rows, PRICE_FIELDS, "prices"))
 
 
 def parse_dividends(rows: DataFrame) -> DataFrame:
@@ -77,18 +97,19 @@ def parse_splits(rows: DataFrame) -> DataFrame:
     raw = F.try_divide(number("before_price"), number("after_price"))
     snapped = F.when(F.abs(raw - F.rint(raw)) <= SPLIT_SNAP, F.rint(raw)).otherwise(raw)
     return rows.where(F.col("type").contains(SPLIT_MARK)).select(
-        "symbol", _date(), guard(snapped > 0, snapped, "invalid split ratio").alias("split_ratio"))
+        "symbol", _date(), guard(snapped > 0, snapped, "invalid split ratio", *_evidence(rows, "before_price", "after_price")).alias("split_ratio"))
 
 
 def parse_margin(rows: DataFrame) -> DataFrame:
-    return rows.select("symbol", _date(), *_numeric(MARGIN_FIELDS, "margin"))
+    return rows.select("symbol", _date(), *_numeric(rows, MARGIN_FIELDS, "margin"))
 
 
 def parse_institutions(rows: DataFrame) -> DataFrame:
     """Net buying per investor class; unknown classes fail, one known class stays uncounted."""
     buy, sell = number("buy"), number("sell")
     known = F.col("name").isin(*INSTITUTION_NAMES) & buy.isNotNull() & sell.isNotNull()
-    net = rows.select("symbol", _date(), "name", guard(known, buy - sell, "unknown class or bad number").alias("net"))
+    net = rows.select("symbol", _date(), "name", guard(
+        known, buy - sell, "unknown class or bad number", *_evidence(rows, "name", "buy", "sell")).alias("net"))
 
     def total(*names: str) -> Column:
         return F.sum(F.when(F.col("name").isin(*names), F.col("net")).otherwise(0.0))
@@ -105,9 +126,7 @@ def parse_monthly_closes(payloads: DataFrame) -> DataFrame:
     """Exchange month files ``{stat, data: [[date, close], ...]}`` without their average row."""
     parsed = payloads.withColumn("_p", F.from_json("payload", "stat string, data array<array<string>>"))
     whole = (F.col("_p.stat") == "OK") & F.col("_p.data").isNotNull()
-    rows = parsed.select(
-        "symbol", F.explode(guard(whole, F.col("_p.data"), "month file refused")).alias("r")
-    ).where((F.size("r") >= 2) & ~F.get("r", F.lit(0)).contains(AVERAGE_MARK))
+    rows = _rows(parsed, whole, F.col("_p.data"), "month file refused").where((F.size("r") >= 2) & ~F.get("r", F.lit(0)).contains(AVERAGE_MARK))
     return rows.select(
         "symbol", roc_date(F.get("r", F.lit(0))).alias("date"),
         plain_number(F.get("r", F.lit(1))).alias("official_close"))
@@ -119,21 +138,20 @@ def parse_nav(payloads: DataFrame) -> DataFrame:
     parsed = payloads.withColumn(
         "_p", F.from_json("payload", f"ResultCode int, ResultMsg string, Data array<struct<{row}>>"))
     whole = (F.col("_p.ResultCode") == 0) & F.col("_p.Data").isNotNull()
-    rows = parsed.select(
-        "symbol", F.explode(guard(whole, F.col("_p.Data"), "NAV payload refused")).alias("r")
-    ).select("symbol", "r.*")
-    return rows.select("symbol", _date("UPDATE_T"), *_numeric(NAV_FIELDS, "nav")).where(
+    rows = _rows(parsed, whole, F.col("_p.Data"), "NAV payload refused").select("symbol", "_at", "r.*")
+    return rows.select("symbol", _date("UPDATE_T"), *_numeric(rows, NAV_FIELDS, "nav")).where(
         "nav > 0 AND issuer_market_price > 0")
 
 
 def parse_us_prices(rows: DataFrame) -> DataFrame:
     price = number("Adj_Close")
-    return rows.select("symbol", _date(), guard(price > 0, price, "invalid adjusted close").alias("adj_close"))
+    return rows.select("symbol", _date(), guard(
+        price > 0, price, "invalid adjusted close", *_evidence(rows, "Adj_Close")).alias("adj_close"))
 
 
 def parse_us_ohlc(rows: DataFrame) -> DataFrame:
     """Vendor bars; prices must be positive and ordered, volume not negative."""
-    bars = rows.select("symbol", _date(), *_numeric(US_FIELDS, "US prices"))
+    bars = rows.select("symbol", _date(), *_numeric(rows, US_FIELDS, "US prices"))
     sane = positive("open", "high", "low", "close", "adj_close") & (F.col("volume") >= 0) & ohlc_ordered()
     return bars.withColumn("adj_close", guard(sane, F.col("adj_close"), "US prices: invalid bar"))
 
