@@ -178,6 +178,20 @@ def _(s):
     return folds_to_score(wanted, stored).groupBy("symbol", "feature_set").agg(F.count(F.lit(1)).alias("folds"))
 
 
+@case("join_11_stored_predictions", """
+SELECT symbol, count(*) AS folds, min(month) AS first, max(month) AS last FROM (
+  SELECT DISTINCT symbol, month FROM oos WHERE month LIKE '%-02' OR month LIKE '%-05') GROUP BY symbol""")
+def _(s):
+    """Folds to score beside stored predictions of which February's are stale and May's were never made."""
+    month = F.substring("month", 6, 2)
+    print_ = F.when(month == "02", F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    stored = s.predictions.withColumns({"feature_set": F.lit("all"), "fingerprint": print_}).where(month != "05")
+    wanted = s.predictions.select(
+        "symbol", F.lit("all").alias("feature_set"), F.col("month").alias("test_month"), F.lit(1).cast("long").alias("fingerprint")).distinct()
+    return folds_to_score(wanted, written(stored.select("symbol", "feature_set", "month", "date", "near_probability", "fingerprint"), "stored")
+                          ).groupBy("symbol").agg(F.count(F.lit(1)).alias("folds"), F.min("test_month").alias("first"), F.max("test_month").alias("last"))
+
+
 # ---------------------------------------------------------------------- corporate actions
 @case("adj_01_merge_events", f"""
 SELECT symbol, date, {rounded("cash", 9).replace("AS cash", "AS cash_dividend")}, ratio AS split_ratio FROM (
