@@ -439,6 +439,34 @@ def _(s):
         F.count(F.lit(1)).alias("rows"), F.count_if("near_optimal").alias("near"))
 
 
+@case("dq_11_refusals", """
+SELECT symbol, "case", refused FROM (SELECT DISTINCT symbol FROM prices), (VALUES
+  ('near 0.05', FALSE), ('near 0', FALSE), ('near -0.1', TRUE), ('near 1.5', TRUE), ('near as flag', TRUE), ('deadline 5', FALSE),
+  ('deadline 0', TRUE), ('deadline as flag', TRUE), ('month 1995-02', FALSE), ('month 1995-13', TRUE), ('month 95-02', TRUE)) t("case", refused)""")
+def _(s):
+    """Good and bad settings of a policy, a label threshold and a first month, tried before any job starts."""
+    from tidemark.config import Policy, check_month, check_near_threshold
+
+    tried = {
+        "near 0.05": lambda: check_near_threshold(0.05), "near 0": lambda: check_near_threshold(0.0),
+        "near -0.1": lambda: check_near_threshold(-0.1), "near 1.5": lambda: check_near_threshold(1.5),
+        "near as flag": lambda: check_near_threshold(True), "deadline 5": lambda: Policy("p", deadline=5),
+        "deadline 0": lambda: Policy("p", deadline=0), "deadline as flag": lambda: Policy("p", deadline=True),
+        "month 1995-02": lambda: check_month("1995-02"), "month 1995-13": lambda: check_month("1995-13"),
+        "month 95-02": lambda: check_month("95-02"),
+    }
+
+    def refused(attempt) -> bool:
+        try:
+            attempt()
+        except (TypeError, ValueError):
+            return True
+        return False
+
+    each = [F.struct(F.lit(name).alias("case"), F.lit(refused(attempt)).alias("refused")) for name, attempt in tried.items()]
+    return s.prices.select("symbol").distinct().select("symbol", F.inline(F.array(*each)))
+
+
 @case("dq_12_one_purchase_per_month", """
 SELECT symbol, 'fixed_day_1' AS strategy, month, CAST(2 AS BIGINT) AS rows FROM day1 WHERE month LIKE '%-03'""")
 def _(s):
