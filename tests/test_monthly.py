@@ -303,3 +303,11 @@ def test_oracle_distribution_on_a_known_table(spark):
     assert (got["months"], got["median_day"], got["mode_day"]) == (6, 6.0, 1)
     assert got["mean_day"] == pytest.approx(46 / 6) and got["first_day_rate"] == pytest.approx(2 / 6)
     assert got["first_5_rate"] == pytest.approx(2 / 6) and got["first_10_rate"] == pytest.approx(4 / 6)
+
+
+@pytest.mark.parametrize("simulations", [1, 499, 500, 501, 2_300])
+def test_simulations_of_one_symbol_go_to_several_tasks(spark, simulations):
+    dealt = C.dealt_simulations(spark.createDataFrame([("A", [1.0])], "symbol string, s array<double>"), ("symbol",), simulations)
+    found = dealt.withColumn("task", F.spark_partition_id()).toPandas()
+    assert sorted(found["sim"]) == list(range(simulations)) and set(found["symbol"]) == {"A"}
+    assert simulations < 2_300 or found["task"].nunique() > 1

@@ -85,6 +85,19 @@ def hashed_start(simulation: Column, block: Column, length: Column, seed: int) -
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % length
 
 
+#: Simulations of one key that a task draws together.
+PORTION = 500
+
+
+def dealt_simulations(rows: DataFrame, key: Sequence[str], simulations: int) -> DataFrame:
+    """Each row once per simulation, with its number ``sim``; a key's portions of simulations go to tasks of
+    their own, with one copy of the row each. What follows merges partial results by key."""
+    last = F.lit((simulations - 1) // PORTION)
+    dealt = spread(rows.withColumn("_portion", F.explode(F.sequence(F.lit(0), last))), *key, "_portion")
+    first = F.col("_portion") * PORTION
+    return dealt.withColumn("sim", F.explode(F.sequence(first, F.least(first + PORTION, F.lit(simulations)) - 1))).drop("_portion")
+
+
 def hashed_interval(
     paired: DataFrame, key: Sequence[str] = PAIR_KEY, block: int = OOS_BLOCK,
     simulations: int = BOOTSTRAP_SIMULATIONS, seed: int = BOOTSTRAP_SEED,
@@ -92,8 +105,8 @@ def hashed_interval(
     """The same bootstrap without Python, with starts that SQL can repeat.
 
     A block's sum is a difference of running sums on the doubled circle, so a simulation
-    adds ceil(n / block) numbers instead of n. A key's simulations stay in the task that
-    holds its series; keys are spread over the cluster.
+    adds ceil(n / block) numbers instead of n. Keys and portions of their simulations are
+    spread over the cluster.
     """
     series = spread(paired, *key).groupBy(*key).agg(monthly_series().alias("s")).where(F.size("s") >= 2)
     shaped = series.select(
@@ -102,7 +115,7 @@ def hashed_interval(
         F.expr("aggregate(concat(s, s), array(0D), (a, x) -> concat(a, array(a[size(a) - 1] + x)))")
         .alias("running"),
     ).withColumn("blocks", F.ceil(F.col("n") / F.col("block")).cast("int"))
-    simulated = shaped.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    simulated = dealt_simulations(shaped, key, simulations)
 
     def block_sum(number: Column) -> Column:
         start = hashed_start(F.col("sim"), number, F.col("n"), seed).cast("int")
@@ -259,8 +272,7 @@ def hashed_random_strategy(
     labelled: DataFrame, simulations: int = BOOTSTRAP_SIMULATIONS, seed: int = BOOTSTRAP_SEED
 ) -> DataFrame:
     """The same without Python, drawing by digest so that SQL can repeat it."""
-    simulated = _month_lists(labelled).withColumn(
-        "sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    simulated = dealt_simulations(_month_lists(labelled), ("symbol",), simulations)
 
     def drawn(values: Column, number: Column) -> Column:
         return F.get(values, hashed_start(F.col("sim"), number, F.size(values), seed).cast("int"))
