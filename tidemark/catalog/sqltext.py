@@ -214,6 +214,21 @@ _EOD = {
     "fund_flow_5": _change("ou", 5),
 }
 STAGES["eod"] = "SELECT *, " + ",\n  ".join(f"{sql} AS {name}" for name, sql in _EOD.items()) + "\nFROM eod_base"
+
+# Stages that say in which order a running product is taken: row by row, by date, as the running frame of the
+# Spark plan does. A window aggregate leaves the order to the engine, and doubles multiplied in another order
+# differ in the last digits: enough to fall on the other side of a rounding step somewhere in a large market.
+_GROSS = "coalesce((close + cash_dividend) * split_ratio / lag(close) OVER (PARTITION BY symbol ORDER BY date), 1e0)"
+IN_DATE_ORDER = {
+    "running": f"""
+SELECT symbol, list_reduce(list([gross_return] ORDER BY date),
+                           lambda done, added: list_append(done, done[-1] * added[1])) AS products
+FROM (SELECT symbol, date, {_GROSS} AS gross_return FROM ({STAGES["with_events"]})) GROUP BY symbol""",
+    "indexed": f"""
+SELECT e.* EXCLUDE (place), 100e0 * products[place] AS total_return_index
+FROM (SELECT *, {_GROSS} AS gross_return, row_number() OVER (PARTITION BY symbol ORDER BY date) AS place
+      FROM with_events) e JOIN running USING (symbol)""",
+}
 STAGES["eod_rsi"] = """
 SELECT *, CASE WHEN loss = 0 AND gain > 0 THEN 100e0 WHEN loss = 0 AND gain = 0 THEN 50e0
                ELSE 100e0 - 100e0 / (1e0 + gain / nullif(loss, 0)) END AS rsi_14

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.ingest import fresh, year_files
 from tidemark.catalog.monthly import PROFILE, WEALTH, _ranks
 from tidemark.catalog.registry import case, columns, tidy
-from tidemark.catalog.sqltext import FEATURE_LIST, METRICS, rounded
+from tidemark.catalog.sqltext import FEATURE_LIST, IN_DATE_ORDER, METRICS, rounded
 from tidemark.config import BOOTSTRAP_SIMULATIONS, FEATURE_SETS, TW_0050, ModelConfig
 from tidemark.functions import scalars as X
 from tidemark.operators import compare as C, metrics as M, selection as S, walkforward as W
@@ -457,7 +457,7 @@ def _(s):
 
 @case("e2e_01_prepare_wide", f"""
 SELECT symbol, date, {rounded("ret_20, rsi_14, volume_z_20, fund_flow_5, regret, remaining_min_log_ratio")},
-       trading_day, days_in_month, oracle_date, near_optimal FROM labelled""", symbols="supplier")
+       trading_day, days_in_month, oracle_date, near_optimal FROM labelled""", symbols="supplier", **IN_DATE_ORDER)
 def _(s):
     parts = research.prepare(s.daily, FIRST_MONTH)
     return columns(parts.labelled, "symbol, date, ret_20, rsi_14, volume_z_20, fund_flow_5, regret, remaining_min_log_ratio",
