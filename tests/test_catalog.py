@@ -52,7 +52,7 @@ def test_ordered_sql_equals_the_operators_to_the_last_bit(spark, stage, value):
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="tables are not at hand")
-@pytest.mark.parametrize("name", ["e2e_01_prepare_wide"])
+@pytest.mark.parametrize("name", ["lab_10_monthly_oracle_wide", "e2e_01_prepare_wide"])
 def test_a_value_beside_a_rounding_step(spark, tmp_path, name):
     """The adjusted open of S722 in June 1999 is 12.5734524999 but for its last digits."""
     for table in ("lineitem", "orders"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import case, columns, tidy
-from tidemark.catalog.sqltext import METRICS, first_hit, rounded
+from tidemark.catalog.sqltext import IN_DATE_ORDER, METRICS, first_hit, rounded
 from tidemark.config import ALL_FEATURES, POLICIES, RANGE_FEATURES, RANGE_FEATURES_LOCAL
 from tidemark.operators import metrics as M, selection as S
 from tidemark.operators.walkforward import expanding_folds
@@ -72,7 +72,8 @@ def _(s):
     return columns(s.oracle, "oracle_adjusted_open", ORACLE)
 
 
-@case("lab_10_monthly_oracle_wide", f"SELECT {ORACLE}, {rounded('oracle_adjusted_open')} FROM oracle", symbols="supplier")
+@case("lab_10_monthly_oracle_wide", f"SELECT {ORACLE}, {rounded('oracle_adjusted_open')} FROM oracle", symbols="supplier",
+      **IN_DATE_ORDER)
 def _(s):
     return columns(s.oracle, "oracle_adjusted_open", ORACLE)
 
