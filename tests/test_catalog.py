@@ -64,3 +64,15 @@ def test_a_value_beside_a_rounding_step(spark, tmp_path, name):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
     got, want = case.run(spark, str(tmp_path)).toPandas(), connection.sql(case.sql).df()
     assert len(got) and compare(canonical(got), canonical(want)) == ""
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="tables are not at hand")
+def test_outside_series_are_read_from_the_orders_once(spark):
+    """The leads read each series several times over; the orders are too large for that."""
+    stages = Stages(spark, FOLDER, "flag")
+    read = [file for series in (stages.tsm, stages.sox, stages.fx) for file in series.inputFiles()]
+    assert read and not any("orders.parquet" in file for file in read)
+    plain = spark.read.parquet(f"{FOLDER}/orders.parquet").where("o_orderpriority = '3-MEDIUM'")
+    want = plain.groupBy("o_orderdate").avg("o_totalprice").collect()
+    got = {row.date: row.usd_twd for row in stages.fx.collect()}
+    assert got == pytest.approx({row[0].date(): row[1] for row in want})

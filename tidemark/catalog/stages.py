@@ -22,6 +22,10 @@ class Stages(Market):
     def institutions(self) -> DataFrame:
         return written(parsers.parse_institutions(self.institutions_raw), "institutions")
 
+    @cached_property
+    def quotes(self) -> DataFrame:
+        return written(super().quotes, "quotes")  # the leads are read many times over
+
     @cached_property
     def adjusted(self) -> DataFrame:
         m = self.landed  # one scan of the facts for all three

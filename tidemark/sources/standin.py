@@ -26,6 +26,8 @@ NAMES = {
     "1-URGENT": "Foreign_Investor", "2-HIGH": "Investment_Trust", "3-MEDIUM": "Dealer",
     "4-NOT SPECIFIED": "Dealer_self", "5-LOW": "Foreign_Dealer_Self",
 }
+#: Orders of these priorities play the two lead series and the currency.
+OUTSIDE = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 
 
 def _day(text: str) -> Column:
@@ -148,19 +150,24 @@ class Market:
         return self.prices.select(
             *KEY, "open", "high", "low", "close", (F.col("close") * factor).alias("adj_close"), "volume")
 
+    @cached_property
+    def quotes(self) -> DataFrame:
+        """Mean order value by day and priority: what the outside series are read from."""
+        return self.table("orders").where(F.col("o_orderpriority").isin(*OUTSIDE)).groupBy(
+            F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("priority")
+        ).agg(F.avg("o_totalprice").alias("value"))
+
     def _by_priority(self, priority: str, name: str) -> DataFrame:
-        orders = self.table("orders").where(F.col("o_orderpriority") == priority)
-        return orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
-            F.avg("o_totalprice").alias(name))
+        return self.quotes.where(F.col("priority") == priority).select("date", F.col("value").alias(name))
 
     @cached_property
     def tsm(self) -> DataFrame:
-        return self._by_priority("1-URGENT", "adj_close")
+        return self._by_priority(OUTSIDE[0], "adj_close")
 
     @cached_property
     def sox(self) -> DataFrame:
-        return self._by_priority("2-HIGH", "adj_close")
+        return self._by_priority(OUTSIDE[1], "adj_close")
 
     @cached_property
     def fx(self) -> DataFrame:
-        return self._by_priority("3-MEDIUM", "usd_twd")
+        return self._by_priority(OUTSIDE[2], "usd_twd")
