@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -272,3 +273,23 @@ def test_repeats_of_odd_rows(spark, odd, nothing):  # noqa: F811
     plain = " ".join(f"u{n}" for n in range(3_000))
     kept = {row["doc_id"]: row["kept"] for row in repeats.remove(docs_of(spark, [plain, "x" * 401, "tail", LONG]), texts=True).collect()}
     assert [bytes(kept[n]) for n in range(4)] == [plain.encode(), b"", b"tail", b""]  # the last is periodic
+
+
+# ------------------------------------------------------------------------------- encoder
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_new_word_of_letters_is_looked_for_once(name, monkeypatch):
+    """Words behind a space go to the model after one look; ids stay the library's own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import encode
+
+    path, asked = public_tokenizers.path(name), []
+    look = encode.Memory.look
+    monkeypatch.setattr(encode.Memory, "look", lambda self, words: asked.extend(words) or look(self, words))
+    texts = ["Head arrationf Zérouñé tire.\nAnwhre it's", "éierouré arrationf,arrationf x y", "", None, " lead <|im_end|>  two"]
+    ids, where = encode.Encoder(path).batch(pa.array(texts), 7)
+    library = Tokenizer.from_file(path)
+    for n, text in enumerate(texts):
+        assert ids[where[n]:where[n + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 7]
+    assert asked.count("Zérouñé") == 1

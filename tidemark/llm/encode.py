@@ -8,9 +8,11 @@ pattern, which keeps every white-space run whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,14 @@ class Memory:
                     self.keep(words[at], value)
         return found, missing
 
+    def learn(self, words: list[str], values: list[bytes]) -> None:
+        """``keep`` for many words that are not known."""
+        for word, value in zip(words, values):
+            self.held += len(word) + len(value) + ENTRY
+            if self.held > KEPT:
+                self.old, self.young, self.held = self.young, {}, 0
+            self.young[word] = value
+
     def keep(self, word: str, value: bytes) -> None:
         if word in self.young:
             return
@@ -91,25 +101,35 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    def _plain(self, words: list[str], space: str = "") -> list[bytes]:
+        """Ids of words of letters, each one pre-token: straight to the library's model, ``space`` before each."""
+        tokenize, letters, lower = self.tokenizer.model.tokenize, self.letters, self.lower
+        before = "" if lower else space.replace(" ", letters[32])
+        ids: list[int] = []
+        bounds = [0]
+        for word in words:
+            if lower:
+                word = word.lower()
+            if not word.isascii():
+                word = "".join([letters[byte] for byte in word.encode()])
+            ids += [token.id for token in tokenize(before + word)]
+            bounds.append(len(ids) * 4)
+        held = np.array(ids, np.uint32).tobytes()
+        return [held[begin:end] for begin, end in zip(bounds, bounds[1:])]
+
     def _encode(self, names: list[str]) -> list[bytes]:
         """Ids of pieces that the pre-tokenizer does not join with others; each is looked at once."""
-        tokenize, letters, lower = self.tokenizer.model.tokenize, self.letters, self.lower
-        found: list[bytes | None] = []
-        rest = []
-        for name in names:
-            if PLAIN.fullmatch(name):  # one pre-token: straight to the library's model
-                word = name.strip().lower() if lower else name
-                if word.isascii():
-                    word = word.replace(" ", letters[32])
-                else:
-                    word = "".join([letters[byte] for byte in word.encode()])
-                found.append(array("I", [token.id for token in tokenize(word)]).tobytes())
-            else:
-                rest.append(len(found))
-                found.append(None)
-        if rest:
-            made = self.tokenizer.encode_batch_fast([names[at] for at in rest], add_special_tokens=False)
-            for at, one in zip(rest, made):
+        found: list[bytes | None] = [None] * len(names)
+        plain = PLAIN.fullmatch
+        kinds: dict[str, list[int]] = {" ": [], "": [], "rest": []}
+        for at, name in enumerate(names):
+            kinds["rest" if not plain(name) else " " if name[0] == " " else ""].append(at)
+        for space in (" ", ""):
+            for at, value in zip(kinds[space], self._plain([names[at][len(space):] for at in kinds[space]], space)):
+                found[at] = value
+        if kinds["rest"]:
+            made = self.tokenizer.encode_batch_fast([names[at] for at in kinds["rest"]], add_special_tokens=False)
+            for at, one in zip(kinds["rest"], made):
                 found[at] = array("I", one.ids).tobytes()
         return found
 
@@ -132,6 +152,15 @@ class Encoder:
 
     def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end``; where each text's ids begin, and the total."""
+        collects = gc.isenabled()
+        gc.disable()  # hundreds of thousands of short lists of words, none in a cycle
+        try:
+            return self._batch(texts, end)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         apart = pc.match_substring_regex(texts, ODD)
         own: dict[int, np.ndarray] = {}
@@ -152,10 +181,18 @@ class Encoder:
         coded = flat.dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         first = bounds[:-1].astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         heads = [words[c] for c in codes[first].tolist()]  # no space before these
         found, missing = self.spaced.look(words)
-        for at, value in zip(missing, self._pieces([" " + words[at] for at in missing])):
+        letters = pc.match_substring_regex(coded.dictionary.take(pa.array(missing, pa.int64())), f"^[{LETTER}]+$").to_pylist()
+        whole = list(compress(missing, letters))
+        new = [words[at] for at in whole]
+        values = self._plain(new, " ")
+        self.spaced.learn(new, values)  # before the other words: these are often parts of them
+        for at, value in zip(whole, values):
+            found[at] = value
+        mixed = [at for at in missing if found[at] is None]
+        for at, value in zip(mixed, self._pieces([" " + words[at] for at in mixed])):
             found[at] = value
             self.spaced.keep(words[at], value)
         codes[first] = len(words) + np.arange(len(first))
