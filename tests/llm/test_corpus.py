@@ -363,6 +363,61 @@ def test_kmeans_tree_recall(spark, cloud, broken):
     assert rows(kmtree.nearest(vectors_of(spark, few))) == [{"query_id": 0, "rank": 1, "vec_id": 3, "score": 2 ** 0.5}]
 
 
+def test_kmeans_tree_sends_the_driver_its_sample_only(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    values = rng.normal(size=(4_000, 64)).astype(np.float32)
+    frame = vectors_of(spark, [(n, row.tolist(), 1) for n, row in enumerate(values)]).repartition(16, "vec_id")
+    settings = {"spark.sql.files.openCostInBytes": "128k", "spark.sql.files.maxPartitionBytes": "256k"}  # many tasks
+    monkeypatch.setattr(kmtree, "SAMPLE", 500)
+    monkeypatch.setattr(kmtree, "LEAF_ROWS", 40)
+    monkeypatch.setattr(kmtree, "GROUP_ROWS", 300)
+    monkeypatch.setattr(kmtree, "GROUPS", 1_000)
+    monkeypatch.setattr(kmtree, "calibrate", lambda tree, *rest: tree.leaves)  # every query asks every leaf
+    old = {key: spark.conf.get(key) for key in settings}
+    listed = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(
+        None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    before = max([listed().apply(n).stageId() for n in range(listed().size())], default=-1)
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        found = kmtree.nearest(frame)
+        got = sorted(tuple(row) for row in found.collect())
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    stages = [stage for n in range(listed().size()) if (stage := listed().apply(n)).stageId() > before]
+    assert len(stages) > 5 and max(stage.resultSize() for stage in stages) < 1.5 * 500 * 64 * 8
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    doubles = [(n, row.astype(float).tolist(), 1) for n, row in enumerate(values)]
+    want = plain_search(doubles, 100, 10, lambda a, b: float(np.sqrt(np.square(np.array(b) - np.array(a)).sum())), False)
+    assert got == want
+
+
+def test_kmeans_tree_measures_the_nearest_exactly():
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 1e-170, 1e160):  # squares that vanish and that overflow
+        values = rng.integers(-3, 4, (3_000, 5)) * scale  # many ties
+        ids = rng.permutation(3_000)
+        ids[:40] = 7
+        names = np.array([7, *ids[100:130]])
+        asked = np.vstack([values[:1], values[100:130]])
+        near = kmtree.Candidates(ids, values)
+        spans = [(0, 500, np.arange(31)), (500, 505, np.arange(0, 31, 2)), (900, 3_000, np.arange(1, 31))]
+        seen = np.concatenate([near.nearest(names[a:a + 9], asked[a:a + 9], 10, [
+            (first, last, np.flatnonzero(np.isin(np.arange(a, min(a + 9, 31)), who))) for first, last, who in spans]).to_pandas() for a in range(0, 31, 9)])
+        with np.errstate(over="ignore"):
+            want = [(names[n], ids[row], score) for n in range(31) for score, _, row in sorted(
+                (np.sqrt(np.square(values[row] - asked[n]).sum()), ids[row], row)
+                for a, b, who in spans if n in who for row in range(a, b) if ids[row] != names[n])[:10]]
+        assert sorted(map(tuple, seen)) == sorted(want)
+
+
+def test_kmeans_tree_groups_hold_every_leaf():
+    groups = kmtree.Groups([2, 0, 1, 4, 3], {0: 40, 1: 250, 2: 50, 3: 100}, 100)
+    assert [leaves.tolist() for leaves in groups.leaves] == [[1], [1], [1], [2, 0, 4], [3]]
+    assert groups.first.tolist() == [3, 0, 3, 4, 3] and groups.lots.tolist() == [1, 3, 1, 1, 1]
+
+
 def test_kmeans_tree_combines_a_tasks_answers(monkeypatch):
     rng = np.random.default_rng(9)
     parts = [kmtree.rows_out([(np.full(5, q), rng.integers(0, 90, 5), rng.integers(0, 9, 5) / 4)]) for q in rng.integers(0, 6, 80)]

@@ -6,6 +6,10 @@ tree with a priority queue over unexplored branches, nearest centre first, and s
 it visits the first ``visits`` of them. That number is calibrated: for ``PROBES`` queries the true
 neighbours are found by a scan over all rows, and visits widen until the share of them that lies in
 visited leaves reaches ``RECALL``.
+
+Rows and queries meet in groups of leaves: a group's rows stay in one task's memory, and every query that visits
+some of its leaves goes there once, with a bit for each. The driver holds the sample, the tree and the leaves'
+row counts, all bounded; neither queries nor rows are broadcast.
 """
 
 from __future__ import annotations
@@ -15,14 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import FloatType
 
-from tidemark.llm.vectors import clean, matrix, paged
+from tidemark.llm.vectors import clean, matrix, packed
 from tidemark.session import written
 
 SAMPLE, PROBES, RECALL = 20_000, 200, 0.98
 BRANCHES, LEAF_ROWS, LEAVES, ROUNDS = 8, 256, 4_096, 12
-PAGE_ROWS, BLOCK, HELD = 2_048, 256, 200_000
+BLOCK, HELD = 256, 200_000
+#: Groups of leaves: about so many, of so many rows at least and so many bytes (as doubles) at most.
+GROUPS, GROUP_ROWS, GROUP_BYTES = 48, 4_096, 64 << 20
+#: Entries of a block of distances, and over how many of them one minimum is taken.
+ENTRIES, FOLD = 1 << 21, 16
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -86,16 +95,99 @@ class KMeansTree:
     def leaves_by_nearness(self, query: np.ndarray, most: int) -> list[int]:
         """The first ``most`` leaves of a best-bin-first traversal."""
         queue, order = [(0.0, 0)], []
+        known = np.square(self.centers - query).sum(1).tolist() if 4 * most >= self.leaves else None  # most will be asked for
         while queue and len(order) < most:
             _, node = heapq.heappop(queue)
             if self.last[node] == 0:
                 order.append(self.leaf[node])
                 continue
             a, b = self.first[node], self.last[node]
-            for child, far in zip(range(a, b), np.square(self.centers[a:b] - query).sum(1).tolist()):
+            for child, far in zip(range(a, b), known[a:b] if known else np.square(self.centers[a:b] - query).sum(1).tolist()):
                 heapq.heappush(queue, (far, child))
         return order
 
+    def leaves_in_order(self) -> list[int]:
+        """All leaves, those of one branch together."""
+        todo, order = [0], []
+        while todo:
+            node = todo.pop()
+            if self.last[node] == 0:
+                order.append(self.leaf[node])
+            todo += range(self.first[node], self.last[node])
+        return order
+
+
+class Groups:
+    """Leaves in groups of at most ``most`` rows; a leaf of more rows has several groups, to which its rows are dealt in turn."""
+
+    def __init__(self, order: list[int], counts: dict[int, int], most: int) -> None:
+        self.first, self.lots = np.zeros(len(order), np.int32), np.ones(len(order), np.int32)
+        self.leaves: list[np.ndarray] = []  # of each group
+        open_: list[int] = []
+        held = 0
+
+        def close() -> None:
+            if open_:
+                self.first[open_] = len(self.leaves)
+                self.leaves.append(np.array(open_))
+                open_.clear()
+
+        for leaf in order:
+            count = counts.get(leaf, 0)
+            if count > most:
+                self.first[leaf], self.lots[leaf] = len(self.leaves), -(-count // most)
+                self.leaves += [np.array([leaf])] * int(self.lots[leaf])
+                continue
+            if held + count > most:
+                close()
+                held = 0
+            open_.append(leaf)
+            held += count
+        close()
+
+
+class Candidates:
+    """Rows that blocks of queries meet."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
+        self.ids, self.met = ids, np.empty((len(ids), values.shape[1] + 1))
+        self.values, length = self.met[:, :-1], self.met[:, -1]
+        self.values[:] = values
+        with np.errstate(over="ignore"):
+            np.square(values).sum(1, out=length)
+        self.longest, self.width = length.max(), -(-len(ids) // FOLD)
+        self.block = max(1, min(BLOCK, ENTRIES // (FOLD * self.width)))
+
+    def nearest(self, names: np.ndarray, asked: np.ndarray, k: int, spans: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        """Each query's ``k`` nearest of the rows it may see; spans: rows ``first:last`` and the numbers of their queries.
+
+        The squared length of a row less twice its product with the query orders as the distance does, but for
+        rounding. It leaves out what is farther than the ``k`` nearest by more than that; the rest is measured.
+        """
+        with np.errstate(over="ignore"):
+            reach = np.square(asked).sum(1) + self.longest
+        if not reach.max() < 1e300:  # squares of huge values overflow
+            with np.errstate(over="ignore"):
+                return nearest_kept(rows_out([
+                    nearest_of(names[n], np.sqrt(np.square(self.values[a:b] - asked[n]).sum(1)), self.ids[a:b], k)
+                    for a, b, who in spans for n in who.tolist()]), k)
+        near = np.full((len(names), FOLD * self.width), np.inf)
+        sought = np.column_stack([-2 * asked, np.ones(len(asked))])
+        for a, b, who in spans:
+            near[who, a:b] = sought[who] @ self.met[a:b].T
+        for row in np.flatnonzero(np.isin(self.ids, names)):
+            near[names == self.ids[row], row] = np.inf
+        bar = np.full(len(names), np.inf)
+        if self.width >= k:  # k of the least values of parts: at least k rows are as near
+            bar = np.partition(near.reshape(len(names), FOLD, self.width).min(1), k - 1, axis=1)[:, k - 1]
+        bar = bar + 8 * (asked.shape[1] + 8) * np.finfo(float).eps * reach + np.finfo(float).tiny
+        query, row = np.nonzero(near <= np.minimum(bar, np.finfo(float).max)[:, None])
+        score, step = np.empty(len(row)), max(1, ENTRIES // asked.shape[1])
+        for at in range(0, len(row), step):
+            some = slice(at, at + step)
+            score[some] = np.sqrt(np.square(self.values[row[some]] - asked[query[some]]).sum(1))
+        return nearest_kept(rows_out([(names[query], self.ids[row], score)]), k)
+
 
 def best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -147,26 +239,66 @@ def nearest_of(query: int, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple
     return np.full(len(order), query), ids[order], scores[order]
 
 
-def exact_nearest(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
+def by_leaf(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], leaves: np.ndarray) -> tuple[Candidates, np.ndarray]:
+    """The rows of some batches (leaf, ids, values) in the order of ``leaves``, and where each leaf begins; empties the list."""
+    leaf = np.concatenate([batch[0] for batch in held])
+    place = np.argsort(leaves)[np.searchsorted(np.sort(leaves), leaf)]
+    order = np.argsort(place, kind="stable")
+    to = np.empty(len(order), np.int64)
+    to[order] = np.arange(len(order))
+    ids, values = np.empty(len(order), np.int64), np.empty((len(order), held[0][2].shape[1]))
+    at = len(order)
+    while held:
+        _, some, vectors = held.pop()
+        at -= len(some)
+        ids[to[at:at + len(some)]], values[to[at:at + len(some)]] = some, vectors
+    return Candidates(ids, values), np.searchsorted(place[order], np.arange(len(leaves) + 1))
+
+
+def drawn(rows: DataFrame, hashed: Column, most: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and values of the ``most`` of ``total`` rows that come first by ``hashed`` (64 bits), then by vector.
+
+    Only rows with hashes low enough are ordered, and a task hands on the packed rows: the driver gets no others.
+    """
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("vec_id").to_numpy().tobytes()], pa.binary()),
+                     pa.array([packed(matrix(batch.column("vector")))], pa.binary())], ["ids", "values"])
+
+    share = (most + 8 * most ** 0.5) / max(1, total)
+    while True:
+        low = rows.where(hashed < int(share * 2.0 ** 64 - 2.0 ** 63)) if share < 0.9 else rows
+        got = low.orderBy(hashed, "vector").limit(most).mapInArrow(together, "ids binary, values binary").collect()
+        ids = np.frombuffer(b"".join(row["ids"] for row in got), np.int64)
+        if share >= 0.9 or len(ids) >= min(most, total):
+            return ids, np.frombuffer(b"".join(row["values"] for row in got)).reshape(len(ids), -1 if len(ids) else 0)
+        share *= 2
+
+
+def exact_nearest(rows: DataFrame, names: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """True neighbours of a bounded list of queries, by one scan over all rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(queries)
+    shared = rows.sparkSession.sparkContext.broadcast((names, queries))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values, ids = matrix(batch.column("vector")), batch.column("vec_id").to_numpy()
-            yield rows_out([nearest_of(name, np.sqrt(np.square(values - np.array(query)).sum(1)), ids, k)
-                            for name, query in shared.value])
+            near = Candidates(batch.column("vec_id").to_numpy(), matrix(batch.column("vector")))
+            for at in range(0, len(names), near.block):
+                some = names[at:at + near.block]
+                yield near.nearest(some, queries[at:at + near.block], k, [(0, batch.num_rows, np.arange(len(some)))])
 
     return best(rows.select("vec_id", "vector").mapInArrow(lambda batches: combined(scan(batches), k), FOUND), k)
 
 
-def calibrate(tree: KMeansTree, queries: list[tuple[int, list[float]]], truth: dict[int, list[int]], recall: float) -> int:
+def calibrate(tree: KMeansTree, queries: list[tuple[int, np.ndarray]], truth: dict[int, list[int]], recall: float) -> int:
     """Visits after which ``recall`` of the true neighbours (given by leaf) have been met."""
     ranks: list[int] = []
     for name, query in queries:
-        place = {leaf: n for n, leaf in enumerate(tree.leaves_by_nearness(np.array(query), tree.leaves))}
+        place = {leaf: n for n, leaf in enumerate(tree.leaves_by_nearness(query, tree.leaves))}
         ranks += [place[leaf] + 1 for leaf in truth.get(name, [])]
     if not ranks:
         return tree.leaves
@@ -184,7 +316,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
     counts once, by its shortest, then smallest vector. A query that finds fewer than ``k`` rows in its leaves
     visits all leaves. An empty table gives an empty one. Other columns are not read.
     """
-    given = written(clean(vectors, zero=False), "kmtree-rows", "dims")
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)  # stored as they came, compared as doubles
+    rows = clean(vectors, zero=False).withColumn("vector", F.col("vector").cast("array<float>" if single else "array<double>"))
+    given = written(rows, "kmtree-rows", "dims")
     asked = given.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dims", "vector")).alias("q"))
     asked = written(asked.select("vec_id", "q.*"), "kmtree-queries", "dims")
     found = None
@@ -201,61 +335,99 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
 def nearest_of_length(rows: DataFrame, queries: DataFrame, total: int, k: int, recall: float) -> DataFrame:
     """``nearest`` for written rows and queries (vec_id, vector) of one length."""
     spark = rows.sparkSession
-    sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vector").toPandas()["vector"]
-    tree = KMeansTree(np.stack(list(sample)), max(1, min(LEAVES, total // LEAF_ROWS)))
+    tree = KMeansTree(drawn(rows, F.xxhash64("vec_id"), SAMPLE, total)[1], max(1, min(LEAVES, total // LEAF_ROWS)))
     shared = spark.sparkContext.broadcast(tree)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 leaf = shared.value.assign(matrix(batch.column("vector")))
-                yield batch.append_column("leaf", pa.array(leaf, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(leaf, pa.int32())], ["vec_id", "leaf"])
 
-    index = written(rows.mapInArrow(indexed, "vec_id long, vector array<double>, leaf int"), "kmtree-index")
-    probes = [(row["vec_id"], row["vector"]) for row in queries.orderBy(F.xxhash64(F.lit(3), "vec_id")).limit(PROBES).collect()]
-    known = exact_nearest(rows, probes, k).select("query_id", "vec_id")  # at most PROBES * k rows
-    true = known.join(index.select("vec_id", "leaf"), "vec_id").distinct()
+    index = written(rows.mapInArrow(indexed, "vec_id long, leaf int"), "kmtree-index")
+    asked = queries.count()
+    names, probes = drawn(queries, F.xxhash64(F.lit(3), "vec_id"), PROBES, asked)
+    known = exact_nearest(rows, names, probes, k).select("query_id", "vec_id")  # at most PROBES * k rows
+    true = index.join(F.broadcast(known), "vec_id").select("query_id", "vec_id", "leaf").distinct()
     leaves: dict[int, list[int]] = {}
     for row in true.collect():  # at most PROBES * k rows
         leaves.setdefault(row["query_id"], []).append(row["leaf"])
-    visits = calibrate(tree, probes, leaves, recall)
+    visits = calibrate(tree, list(zip(names.tolist(), probes)), leaves, recall)
 
-    pages = written(paged(index, "leaf", PAGE_ROWS), "kmtree-pages")
+    counts = {row["leaf"]: row["count"] for row in index.groupBy("leaf").count().collect()}  # at most LEAVES rows
+    dims = tree.centers.shape[1]
+    most = max(1, min(max(GROUP_ROWS, -(-total // GROUPS)), GROUP_BYTES // (8 * dims)))
+    groups = spark.sparkContext.broadcast(Groups(tree.leaves_in_order(), counts, most))
+    dealt = f"group int, asked boolean, leaf int, visits binary, vec_id long, vector {rows.schema['vector'].dataType.simpleString()}"
 
-    def search(wanted: DataFrame, most: int) -> DataFrame:
-        def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                orders = [shared.value.leaves_by_nearness(query, most) for query in matrix(batch.column("vector"))]
-                row = np.repeat(np.arange(len(orders)), [len(order) for order in orders])
-                leaf = np.concatenate([np.array(order, np.int32) for order in orders])
-                yield batch.take(pa.array(row)).append_column("leaf", pa.array(leaf))
+    def row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, lots, at = groups.value.first, groups.value.lots, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaf = shared.value.assign(matrix(batch.column("vector")))
+            turn = np.arange(at, at + len(leaf))
+            at += len(leaf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((first[leaf] + turn % lots[leaf]).astype(np.int32)), pa.array(np.zeros(len(leaf), bool)), pa.array(leaf, pa.int32()),
+                 pa.nulls(len(leaf), pa.binary()), batch.column("vec_id"), batch.column("vector")],
+                ["group", "asked", "leaf", "visits", "vec_id", "vector"])
+
+    def search(wanted: DataFrame, count: int, most: int) -> DataFrame:
+        def query_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in (batch.slice(at, BLOCK) for batch in batches for at in range(0, batch.num_rows, BLOCK)):
+                visit = np.full((part.num_rows, shared.value.leaves), most >= shared.value.leaves)
+                if most < shared.value.leaves:
+                    for n, query in enumerate(matrix(part.column("vector"))):
+                        visit[n, shared.value.leaves_by_nearness(query, most)] = True
+                for group, leaves in enumerate(groups.value.leaves):
+                    if len(who := np.flatnonzero(visit[:, leaves].any(1))):
+                        bits = np.packbits(visit[np.ix_(who, leaves)], axis=1)
+                        some = part.take(pa.array(who))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(who), group, np.int32)), pa.array(np.ones(len(who), bool)), pa.nulls(len(who), pa.int32()),
+                             pa.array([row.tobytes() for row in bits], pa.binary()), some.column("vec_id"), some.column("vector")],
+                            ["group", "asked", "leaf", "visits", "vec_id", "vector"])
 
         def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A group's rows come first and are held; its queries meet them block by block, leaf by leaf."""
+            group, held, near, bounds = None, [], None, np.zeros(0)
             for batch in batches:
-                for at in range(batch.num_rows):
-                    asked_ids, asked, ids, values = (
-                        np.frombuffer(batch.column(name)[at].as_py(), kind)
-                        for name, kind in (("asked_ids", np.int64), ("asked", np.float64), ("ids", np.int64), ("values", np.float64)))
-                    asked, values = asked.reshape(len(asked_ids), -1), values.reshape(len(ids), -1)
-                    yield rows_out([nearest_of(name, np.sqrt(np.square(values - query).sum(1)), ids, k)
-                                    for name, query in zip(asked_ids.tolist(), asked)])
+                number, ask = batch.column("group").to_numpy(), batch.column("asked").to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(np.diff(number * 2 + ask, prepend=-1))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                    part = batch.slice(a, b - a)
+                    if number[a] != group:
+                        group, held, near = number[a], [], None
+                    ids, values = part.column("vec_id").to_numpy(), matrix(part.column("vector"))
+                    if not ask[a]:
+                        held.append((part.column("leaf").to_numpy(), ids, values))
+                        continue
+                    leaves = groups.value.leaves[group]
+                    if held:
+                        near, bounds = by_leaf(held, leaves)
+                    if near is None:  # a group without rows
+                        continue
+                    visit = np.frombuffer(b"".join(part.column("visits").to_pylist()), np.uint8).reshape(len(ids), -1)
+                    visit = np.unpackbits(visit, axis=1, count=len(leaves)).astype(bool)
+                    for at in range(0, len(ids), near.block):
+                        some = slice(at, at + near.block)
+                        spans = [(bounds[n], bounds[n + 1], np.flatnonzero(visit[some, n])) for n in range(len(leaves)) if bounds[n] < bounds[n + 1]]
+                        yield near.nearest(ids[some], values[some], k, spans)
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return combined(answers(batches), k)
 
-        # pages of rows meet blocks of queries of their leaf; both are bounded, whatever a leaf holds
-        blocks = paged(wanted.mapInArrow(routes, "vec_id long, vector array<double>, leaf int"), "leaf", BLOCK)
-        blocks = blocks.withColumnsRenamed({"ids": "asked_ids", "values": "asked"})
-        met = pages.join(blocks, "leaf").select("asked_ids", "asked", "ids", "values").mapInArrow(meet, FOUND)
-        return best(met, k)
+        spread = wanted.repartition(max(1, count // BLOCK), "vec_id")
+        both = rows.mapInArrow(row_groups, dealt).unionByName(spread.mapInArrow(query_groups, dealt))
+        both = both.repartitionById(len(groups.value.leaves), "group").sortWithinPartitions("group", "asked")
+        return best(both.mapInArrow(meet, FOUND), k)
 
-    found = search(queries, visits)
+    found = search(queries, asked, visits)
     if visits < tree.leaves:
         found = written(found, "kmtree-found")
         short = queries.join(found.where(F.col("rank") == min(k, total - 1)).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
         again = written(short, "kmtree-short")
         if not again.isEmpty():
-            found = found.join(again.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(search(again, tree.leaves))
+            found = found.join(again.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(search(again, asked, tree.leaves))
     return found.select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,7 @@
-"""Vectors as the searches take them: rows, usable ones only, values as one binary column."""
+"""Vectors as the searches take them: rows, usable ones only, values as a matrix or packed."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,45 +22,11 @@ def clean(vectors: DataFrame, column: str = "embedding", zero: bool = True) -> D
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """The rows of an array<double> column, all of one length."""
+    """The rows of an array<double> or array<float> column, all of one length, as doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64, copy=False)
 
 
 def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
-
-
-def paged(rows: DataFrame, by: str, limit: int, spread: int = 8) -> DataFrame:
-    """``by, ids, values``: rows of one ``by`` value in pages of at most ``limit``, as little-endian binary.
-
-    Each value's rows are dealt to ``spread`` tasks, and a task holds one page at a time.
-    """
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key, count = None, 0
-
-        def close() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key], pa.int32()), pa.array([rows["vec_id"].to_numpy().tobytes()], pa.binary()),
-                 pa.array([packed(matrix(rows["vector"]))], pa.binary())], [by, "ids", "values"])
-
-        for batch in batches:
-            keys = batch.column(by).to_numpy()
-            first = 0
-            while first < len(keys):
-                if held and (keys[first] != key or count >= limit):
-                    yield close()
-                    count = 0
-                key = int(keys[first])
-                last = min(int(np.searchsorted(keys, key, "right")), first + limit - count)
-                held.append(batch.slice(first, last - first))
-                count, first = count + last - first, last
-        if held:
-            yield close()
-
-    return (rows.select(by, "vec_id", "vector").repartition(by, F.pmod(F.xxhash64("vec_id"), F.lit(spread)))
-            .sortWithinPartitions(by).mapInArrow(pages, f"{by} int, ids binary, values binary"))
